@@ -107,7 +107,8 @@ def frequent_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def association_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rules = baskets.mine_rules(tables.clicks(spark, folder).interactions, MIN_SUPPORT, MIN_CONFIDENCE)
+    owned = filters.seen_items(tables.clicks(spark, folder).interactions)
+    rules = baskets.mine_rules(owned, MIN_SUPPORT, MIN_CONFIDENCE)
     return rules.select(
         F.array_join(F.sort_array("antecedent"), ",").alias("antecedent"),
         F.array_join("consequent", ",").alias("consequent"),
@@ -119,9 +120,9 @@ def association_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def matched_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Best confidence per user and consequent over every rule the user's basket meets."""
-    rows = tables.clicks(spark, folder).interactions
-    rules = baskets.mine_rules(rows, MIN_SUPPORT, MIN_CONFIDENCE)
-    met = baskets.matched_confidence(rules, filters.seen_items(rows))
+    owned = filters.seen_items(tables.clicks(spark, folder).interactions)
+    rules = baskets.mine_rules(owned, MIN_SUPPORT, MIN_CONFIDENCE)
+    met = baskets.matched_confidence(rules, owned)
     return met.select(USER_ID, ITEM_ID, shown("confidence").alias("confidence"))
 
 

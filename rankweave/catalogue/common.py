@@ -50,16 +50,16 @@ def retail(spark: SparkSession, folder: str) -> Dataset:
     return tables.retail(spark, folder)
 
 
-def retail_features(spark: SparkSession, folder: str) -> Features:
-    return Features.of(tables.retail(spark, folder), tables.RETAIL_REFERENCE)
+def retail_features(spark: SparkSession, folder: str, keep: bool = False) -> Features:
+    return Features.of(tables.retail(spark, folder), tables.RETAIL_REFERENCE, keep)
 
 
-def clicks_features(spark: SparkSession, folder: str) -> Features:
-    return Features.of(tables.clicks(spark, folder), tables.CLICKS_REFERENCE)
+def clicks_features(spark: SparkSession, folder: str, keep: bool = False) -> Features:
+    return Features.of(tables.clicks(spark, folder), tables.CLICKS_REFERENCE, keep)
 
 
-def votes_features(spark: SparkSession, folder: str) -> Features:
-    return Features.of(tables.votes(spark, folder), tables.CLICKS_REFERENCE)
+def votes_features(spark: SparkSession, folder: str, keep: bool = False) -> Features:
+    return Features.of(tables.votes(spark, folder), tables.CLICKS_REFERENCE, keep)
 
 
 def by_segment(features: Features) -> DataFrame:

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.catalogue.common import CLICKS, shown
-from rankweave.operators.numbering import ensure_checkpoint_dir
+from rankweave.operators.numbering import scratch
 from rankweave.schema import ITEM_ID
 from rankweave.sources import events, tables
 from rankweave.sources.store import FeatureStore
 from rankweave.streaming.ingest import ingest_stream
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which every executor can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _store(spark: SparkSession, folder: str, name: str) -> FeatureStore:
     store = FeatureStore(spark, scratch(spark, name))
     store.build(tables.clicks(spark, folder), tables.CLICKS_REFERENCE)

@@ -50,7 +50,7 @@ def _ranked(features: Features, heuristics: Heuristics) -> DataFrame:
 
 
 def recommend_popularity(spark: SparkSession, folder: str) -> DataFrame:
-    features = retail_features(spark, folder)
+    features = retail_features(spark, folder, keep=True)
     return _ranked(features, Heuristics("retail", {"popularity": SignalConfig(1.0)}))
 
 
@@ -59,12 +59,12 @@ def recommend_popularity_trends(spark: SparkSession, folder: str) -> DataFrame:
     signals = {"popularity": SignalConfig(0.4), "trends": SignalConfig(0.6)}
     chosen = Filters(exclude_seen=False, exclude_items=["1", "17"], require_features={"type": "SMALL"})
     return _ranked(
-        retail_features(spark, folder), Heuristics("retail", signals, top_k=10, filters=chosen)
+        retail_features(spark, folder, keep=True), Heuristics("retail", signals, top_k=10, filters=chosen)
     )
 
 
 def recommend_segments(spark: SparkSession, folder: str) -> DataFrame:
-    features = retail_features(spark, folder)
+    features = retail_features(spark, folder, keep=True)
     signals = {
         "popularity": SignalConfig(0.3),
         "segments": SignalConfig(0.7, {"assignments": by_segment(features)}),
@@ -74,11 +74,11 @@ def recommend_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommend_content(spark: SparkSession, folder: str) -> DataFrame:
     signals = {"content": SignalConfig(1.0)}
-    return _ranked(retail_features(spark, folder), Heuristics("retail", signals))
+    return _ranked(retail_features(spark, folder, keep=True), Heuristics("retail", signals))
 
 
 def recommend_sql_signals(spark: SparkSession, folder: str) -> DataFrame:
-    features = retail_features(spark, folder)
+    features = retail_features(spark, folder, keep=True)
     signals = {
         "popularity": SignalConfig(0.1),
         "content": SignalConfig(0.2),
@@ -90,12 +90,12 @@ def recommend_sql_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommend_rules(spark: SparkSession, folder: str) -> DataFrame:
     signals = {"popularity": SignalConfig(0.25), "rules": SignalConfig(0.75, RULE_PARAMS)}
-    return _ranked(clicks_features(spark, folder), Heuristics("clicks", signals, top_k=10))
+    return _ranked(clicks_features(spark, folder, keep=True), Heuristics("clicks", signals, top_k=10))
 
 
 def recommend_votes(spark: SparkSession, folder: str) -> DataFrame:
     """Survey mixture: the chosen option stays in the ranking."""
-    features = votes_features(spark, folder)
+    features = votes_features(spark, folder, keep=True)
     given = features.users.select(USER_ID, F.col("district").alias("cluster"))
     signals = {
         "popularity": SignalConfig(0.3),
@@ -107,12 +107,12 @@ def recommend_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommend_all_signals(spark: SparkSession, folder: str) -> DataFrame:
     """All six signals with learned clusters, factors and rules."""
-    return _ranked(retail_features(spark, folder), Heuristics("retail", ALL_SIX))
+    return _ranked(retail_features(spark, folder, keep=True), Heuristics("retail", ALL_SIX))
 
 
 def recommend_als(spark: SparkSession, folder: str) -> DataFrame:
     signals = {"als_cf": SignalConfig(1.0), "popularity": SignalConfig(0.1)}
-    return _ranked(clicks_features(spark, folder), Heuristics("clicks", signals))
+    return _ranked(clicks_features(spark, folder, keep=True), Heuristics("clicks", signals))
 
 
 def _pair_scores(spark: SparkSession, folder: str):
@@ -199,14 +199,16 @@ QUERIES = {
 _TRENDS = trends_sql("tr")
 
 
-def _ranked_sql(views: str, parts: dict[str, str], frame: str, k: int) -> str:
-    """``frame`` gives user_id, item_id and one raw score per signal; ``parts`` maps signal to
-    ``weight * score``."""
+def _ranked_sql(
+    views: str, parts: dict[str, str], frame: str, k: int, ids: str = "user_id, item_id"
+) -> str:
+    """``frame`` gives the ids and one score per signal; ``parts`` maps signal to ``weight * score``,
+    null where the signal is cold."""
     columns = ", ".join(f"round({expr}, 9) AS c_{name}" for name, expr in parts.items())
-    total = " + ".join(f"c_{name}" for name in parts)
+    total = " + ".join(f"coalesce(c_{name}, 0.0)" for name in parts)
     shown = ", ".join(f"round(c_{name}, 6) AS c_{name}" for name in parts)
     return f"""WITH {views},
-        contributions AS (SELECT user_id, item_id, {columns} {frame}),
+        contributions AS (SELECT {ids}, {columns} {frame}),
         summed AS (SELECT *, round({total}, 9) AS total FROM contributions),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, item_id)
                                   AS INTEGER) AS rank FROM summed)
@@ -282,9 +284,8 @@ ORACLES = {
         f"""FROM ru a JOIN seg b ON b.grp = a.segment JOIN pop USING (item_id) JOIN tr USING (item_id)
             LEFT JOIN con ON con.user_id = a.user_id AND con.item_id = b.item_id WHERE {_UNSEEN}""",
         20,
-    )
-    .replace("SELECT user_id, item_id, round(0.2", "SELECT a.user_id, b.item_id, round(0.2")
-    .replace("round(c_content + ", "round(coalesce(c_content, 0.0) + "),
+        "a.user_id, b.item_id",
+    ),
     "recommend_rules": _ranked_sql(
         f"{CLICKS}, {_CLICK_POPULARITY}, {RULES}, {RULE_SCORES}",
         {"popularity": "0.25 * cpop.score", "rules": "0.75 * rul.score"},

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.functions.scalars import contains_all
-from rankweave.operators.filters import seen_items
 from rankweave.schema import ITEM_ID, USER_ID
 
 RULES = T.StructType(
@@ -50,11 +49,12 @@ def baskets(owned: DataFrame, min_support: float | None = None) -> DataFrame:
     )
 
 
-def mine_rules(
-    interactions: DataFrame, min_support: float = 0.01, min_confidence: float = 0.2
-) -> DataFrame:
-    """Association rules ``(antecedent, consequent, confidence, lift, support)`` over user baskets."""
-    frequent = baskets(seen_items(interactions), min_support)
+def mine_rules(owned: DataFrame, min_support: float = 0.01, min_confidence: float = 0.2) -> DataFrame:
+    """Association rules ``(antecedent, consequent, confidence, lift, support)``.
+
+    ``owned`` holds distinct ``(user_id, item_id)`` rows; it is read several times.
+    """
+    frequent = baskets(owned, min_support)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
         frequent
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back.
+
+    Cuts lineage, survives the loss of executors, and what reads it later sees its size and can prune
+    columns.  Like checkpoints, the folders stay until the cluster cleans its checkpoint folder.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(
@@ -44,7 +56,7 @@ def number_rows(
     ``order`` has to be total up to rows that are equal in all columns.  The rows are range-partitioned
     on ``within + order`` and numbered inside each partition; a group of any size therefore spreads over
     as many partitions as it needs.  The sampled partition bounds must not move between the count and the
-    numbering, so the ranged rows are checkpointed.  Only per-partition counts (one row per shuffle
+    numbering, so the ranged rows are written out first.  Only per-partition counts (one row per shuffle
     partition) and per-group starts are joined back.
     """
     spark = df.sparkSession

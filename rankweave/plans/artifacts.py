@@ -87,7 +87,7 @@ def fit_saved(
     spark = features.items.sparkSession
     active = heuristics.active()
     known = {} if force else load(spark, root, active)
-    fitted = fit_all(features, heuristics, signals, known)
+    fitted = fit_all(features, heuristics, signals, known, keep=False)
     fresh = {n: a for n, a in fitted.artifacts.items() if n not in known}
     save(spark, fresh, root)
     return Fitted({**known, **load(spark, root, fresh)}, fitted.skipped)

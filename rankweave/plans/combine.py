@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scaling import fixed, total
 from rankweave.operators.filters import Filters, exclude_items, exclude_seen, require_features
-from rankweave.operators.numbering import number_rows
+from rankweave.operators.numbering import durable, number_rows
 from rankweave.plans.dense import dense_candidates
 from rankweave.plans.scores import (
     GROUP,
@@ -167,7 +167,8 @@ def _group_lists(
             .groupBy("lst", ITEM_ID)
             .agg(*[F.max(contribution(n)).alias(contribution(n)) for n in names])
         )
-    listed = listed.join(base.select(ITEM_ID), ITEM_ID, "left_semi")
+    # Read three times below.
+    listed = durable(listed.join(base.select(ITEM_ID), ITEM_ID, "left_semi"), "listed")
 
     taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
     wanted = places(
@@ -232,6 +233,8 @@ def _sparse(
     ordered = number_rows(
         base.withColumn("_total", total([F.col(contribution(s.signal)) for s in item_s])), order
     ).drop("_total")
+    # The same rows, but read from the written table.
+    base = ordered.drop("pos")
     listed = None
     if group_s:
         combos = limits.groupBy("lst", *groups).agg(F.max("limit").alias("depth"))
@@ -286,7 +289,7 @@ def combine(
     """``(user_id, rank, item_id, final_score, c_<signal>..., breakdown)`` for every user.
 
     ``candidates`` are the items the scores were scaled over; ``seen`` holds distinct
-    ``(user_id, item_id)`` pairs; ``items`` is needed for ``filters.require_features`` only.
+    ``(user_id, item_id)`` pairs of these users; ``items`` is needed for ``filters.require_features`` only.
     """
     if not scores:
         raise ValueError("combine needs the scores of at least one signal")
@@ -308,7 +311,7 @@ def combine(
     if not filters.exclude_seen:
         seen = None
     if seen is not None:
-        seen = seen.select(USER_ID, ITEM_ID).join(users.select(USER_ID), USER_ID, "left_semi")
+        seen = seen.select(USER_ID, ITEM_ID)
 
     if any(isinstance(s, DenseScores) for s in active):
         rows = dense_candidates(users, candidates, pool, active, weights, seen, top_k)

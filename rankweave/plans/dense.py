@@ -11,15 +11,15 @@ block (seen items, rule scores) has at most one entry per item of the block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.scaling import DIGITS, MINMAX, fixed
+from rankweave.functions.scaling import MINMAX, fixed
 from rankweave.operators.numbering import number_rows
+from rankweave.plans.blocks import BlockScorer
 from rankweave.plans.scores import (
     GROUP,
     GROUP_GRAIN,
@@ -31,175 +31,8 @@ from rankweave.plans.scores import (
 from rankweave.schema import ITEM_ID, SCORE, USER_ID
 
 ITEM_BLOCK = 32768
-MIN_USER_BLOCK = 1024
+MIN_USER_BLOCK = 512
 MAX_USER_BLOCK = 65536
-# Users multiplied at once inside a task; bounds the matrices to a few dozen megabytes.
-ROWS_AT_ONCE = 128
-
-
-def _fixed(x: np.ndarray) -> np.ndarray:
-    """Round half away from zero, as the column expression ``fixed`` does."""
-    scale = 10.0**DIGITS
-    return np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale
-
-
-def _matrix(column: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as rows plus a mask of the rows that have one; the others are zero."""
-    has = column.notna().to_numpy()
-    out = np.zeros((len(column), dim))
-    if has.any() and dim:
-        out[has] = np.stack(column[has].to_numpy())
-    return out, has
-
-
-def _scale(x: np.ndarray, stats: tuple[np.ndarray, ...], method: str) -> np.ndarray:
-    lo, hi, mean, sd = (s[:, None] for s in stats)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if method == MINMAX:
-            return np.where(lo == hi, 0.5, (x - lo) / (hi - lo))
-        return np.where(sd == 0, 0.0, (x - mean) / sd)
-
-
-def _stats(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    return x.min(axis=1), x.max(axis=1), x.mean(axis=1), x.std(axis=1)
-
-
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best finite entries per row; equal scores: lower column first."""
-    width = scores.shape[1]
-    if k < width:
-        cut = np.partition(scores, width - k, axis=1)[:, width - k]
-        above = scores > cut[:, None]
-        level = (scores == cut[:, None]) & np.isfinite(scores)
-        room = k - above.sum(axis=1)
-        keep = above | (level & (np.cumsum(level, axis=1) <= room[:, None]))
-    else:
-        keep = np.isfinite(scores)
-    return np.nonzero(keep & np.isfinite(scores))
-
-
-def _spread(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and value of every element of a column of arrays."""
-    filled = [(j, v) for j, v in enumerate(lists) if v is not None and len(v)]
-    if not filled:
-        return np.zeros(0, dtype=int), np.zeros(0)
-    rows = np.repeat([j for j, _ in filled], [len(v) for _, v in filled])
-    return rows, np.concatenate([np.asarray(v) for _, v in filled])
-
-
-class BlockScorer:
-    """Task-side half of ``dense_candidates``: one user block against one item block."""
-
-    def __init__(
-        self,
-        dense: Sequence[tuple[str, int, str, str, float]],
-        item_names: Sequence[str],
-        group_names: Sequence[str],
-        user_names: Sequence[str],
-        stats_given: bool,
-        k: int,
-    ) -> None:
-        self.dense = list(dense)
-        self.item_names = list(item_names)
-        self.group_names = list(group_names)
-        self.user_names = list(user_names)
-        self.stats_given = stats_given
-        self.k = k
-
-    def ranges(self, users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Per user and dense signal: extremes, count, sum and sum of squares over this block."""
-        for name, dim, missing, _, _ in self.dense:
-            vectors, has_vector = _matrix(items[f"v_{name}"], dim)
-            if missing == "drop":
-                vectors = vectors[has_vector]
-            for start in range(0, len(users), ROWS_AT_ONCE):
-                part = users.iloc[start : start + ROWS_AT_ONCE]
-                profiles, warm = _matrix(part[f"p_{name}"], dim)
-                if not warm.any() or not len(vectors):
-                    continue
-                x = profiles[warm] @ vectors.T
-                yield pd.DataFrame(
-                    {
-                        USER_ID: part[USER_ID].to_numpy()[warm],
-                        "signal": name,
-                        "lo": x.min(axis=1),
-                        "hi": x.max(axis=1),
-                        "n": float(x.shape[1]),
-                        "s1": x.sum(axis=1),
-                        "s2": (x * x).sum(axis=1),
-                    }
-                )
-
-    def top(self, users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if users.empty or items.empty:
-            return
-        items = items.sort_values("slot", ignore_index=True)
-        ids = items[ITEM_ID].to_numpy()
-        usable = items["ok"].to_numpy(dtype=bool)
-        base = {n: items[f"c_{n}"].to_numpy(dtype=float) for n in self.item_names}
-        common = sum(base.values(), np.zeros(len(items)))
-        matrices = {n: _matrix(items[f"v_{n}"], dim) for n, dim, *_ in self.dense}
-        listed = {}
-        for n in self.group_names:
-            slots, groups = _spread(items[f"lg_{n}"])
-            _, values = _spread(items[f"lc_{n}"])
-            listed[n] = {g: (slots[groups == g], values[groups == g]) for g in np.unique(groups)}
-        for start in range(0, len(users), ROWS_AT_ONCE):
-            part = users.iloc[start : start + ROWS_AT_ONCE].reset_index(drop=True)
-            yield self._chunk(part, ids, usable, base, common, matrices, listed)
-
-    def _chunk(self, users, ids, usable, base, common, matrices, listed) -> pd.DataFrame:
-        shape = (len(users), len(ids))
-        parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for name, dim, missing, method, weight in self.dense:
-            profiles, warm = _matrix(users[f"p_{name}"], dim)
-            vectors, has_vector = matrices[name]
-            x = profiles @ vectors.T
-            scored = has_vector if missing == "drop" else np.ones(len(ids), dtype=bool)
-            if self.stats_given:
-                stats = tuple(users[f"{s}_{name}"].to_numpy(dtype=float) for s in ("lo", "hi", "mean", "sd"))
-                warm = warm & ~np.isnan(stats[0])
-            elif scored.any():
-                stats = _stats(x[:, scored])
-            else:
-                stats, warm = (np.zeros(len(users)),) * 4, np.zeros(len(users), dtype=bool)
-            value = _fixed(weight * _scale(x, stats, method))
-            parts[name] = (np.where(scored[None, :] & warm[:, None], value, 0.0), warm)
-        for name in self.group_names:
-            floor = users[f"f_{name}"].to_numpy(dtype=float)
-            warm = ~np.isnan(floor)
-            value = np.repeat(np.where(warm, floor, 0.0)[:, None], shape[1], axis=1)
-            for j, group in enumerate(users[f"g_{name}"]):
-                if warm[j] and group in listed[name]:
-                    slots, values = listed[name][group]
-                    value[j, slots] = values
-            parts[name] = (value, warm)
-        for name in self.user_names:
-            floor = users[f"f_{name}"].to_numpy(dtype=float)
-            warm = ~np.isnan(floor)
-            value = np.repeat(np.where(warm, floor, 0.0)[:, None], shape[1], axis=1)
-            rows, slots = _spread(users[f"ls_{name}"])
-            _, values = _spread(users[f"lc_{name}"])
-            value[rows, slots.astype(int)] = values
-            parts[name] = (value, warm)
-        final = np.repeat(common[None, :], shape[0], axis=0)
-        for value, _ in parts.values():
-            final += value
-        final = _fixed(final)
-        warm_any = np.full(shape[0], bool(self.item_names))
-        for _, warm in parts.values():
-            warm_any |= warm
-        final[~warm_any] = -np.inf
-        final[:, ~usable] = -np.inf
-        rows, slots = _spread(users["skip"])
-        final[rows, slots.astype(int)] = -np.inf
-        row, column = _best(final, self.k)
-        out = {USER_ID: users[USER_ID].to_numpy()[row], ITEM_ID: ids[column]}
-        for name in self.item_names:
-            out[f"c_{name}"] = base[name][column]
-        for name, (value, warm) in parts.items():
-            out[f"c_{name}"] = np.where(warm[row], value[row, column], np.nan)
-        return pd.DataFrame(out)
 
 
 def item_slots(candidates: DataFrame) -> DataFrame:
@@ -216,7 +49,7 @@ def user_block_count(users: DataFrame) -> int:
     """Enough user blocks to keep the cluster busy, but none so small that items travel in vain."""
     spark = users.sparkSession
     n = users.count()
-    tasks = 2 * max(
+    tasks = 4 * max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     size = min(MAX_USER_BLOCK, max(MIN_USER_BLOCK, -(-n // tasks)))
@@ -233,6 +66,12 @@ def _paired(users: DataFrame, items: DataFrame, user_blocks: int, item_blocks: i
     if "ib" not in users.columns:
         left = users.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
     right = items.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
+    # The work per byte is high: small blocks must not be merged into few tasks.
+    spark = users.sparkSession
+    most = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(user_blocks * item_blocks, most)
+    left = left.repartition(partitions, "ub", "ib")
+    right = right.repartition(partitions, "ub", "ib")
     return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from rankweave.functions.scaling import MINMAX
 from rankweave.operators.filters import candidates as all_candidates
 from rankweave.operators.filters import seen_items
+from rankweave.operators.numbering import durable
 from rankweave.plans.combine import combine
 from rankweave.plans.heuristics import Heuristics
 from rankweave.plans.scores import DenseScores, Scores
@@ -33,9 +34,12 @@ def fit_all(
     signals: Mapping[str, Signal] = SIGNALS,
     known: Mapping[str, Artifacts] | None = None,
     force: bool = False,
+    keep: bool = True,
 ) -> Fitted:
     """Learn every active signal that is not in ``known`` (all of them with ``force``).
 
+    With ``keep`` the learned tables are written to the shared folder at once; without, they stay plans.
+
     A signal that cannot be learned, for example factors of an empty table, is skipped and reported; the
     others still serve.
     """
@@ -46,7 +50,8 @@ def fit_all(
             artifacts[name] = known[name]
             continue
         try:
-            artifacts[name] = signals[name].fit(features, heuristics.signals[name].fit_params())
+            fresh = signals[name].fit(features, heuristics.signals[name].fit_params())
+            artifacts[name] = fresh.kept() if keep else fresh
         except Exception as problem:  # noqa: BLE001 - one broken signal must not stop the others
             skipped[name] = f"{type(problem).__name__}: {problem}"
             log.warning("signal %s skipped: %s", name, skipped[name])
@@ -79,7 +84,10 @@ def recommend(
     fitted = fit_all(features, heuristics, signals) if fitted is None else fitted
     pool = all_candidates(features.items)
     scores = score_all(fitted, users, pool, heuristics.normalization, signals)
-    seen = seen_items(features.interactions, users) if heuristics.filters.exclude_seen else None
+    seen = None
+    if heuristics.filters.exclude_seen:
+        # Read several times below.
+        seen = durable(seen_items(features.interactions, users), "seen")
     return combine(
         users,
         pool,

@@ -9,7 +9,7 @@ your own is another ``Signal`` in the dictionary you pass on.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 from typing import Any
 
@@ -23,6 +23,7 @@ from rankweave.functions.scaling import MINMAX
 from rankweave.operators import aggregates, baskets
 from rankweave.operators.encode import IdIndex, Vectors, vectorize
 from rankweave.operators.filters import for_users, seen_items, with_value
+from rankweave.operators.numbering import durable
 from rankweave.operators.profiles import user_profiles
 from rankweave.plans.scores import (
     GROUP,
@@ -71,12 +72,19 @@ class Features:
     interaction_type: InteractionType = InteractionType.EXPLICIT
 
     @staticmethod
-    def of(dataset: Dataset, reference: datetime | date) -> Features:
-        """Aggregate a dataset on the fly, without a stored feature table."""
+    def of(dataset: Dataset, reference: datetime | date, keep: bool = False) -> Features:
+        """Aggregate a dataset on the fly, without a feature store.
+
+        With ``keep`` the interactions are written to the shared folder first; worth it when several
+        signals read them and they come out of a join.
+        """
+        rows = dataset.interactions
+        if keep:
+            rows = durable(rows, "interactions")
         return Features(
-            dataset.interactions,
-            aggregates.popularity(dataset.interactions),
-            aggregates.recency(dataset.interactions, reference),
+            rows,
+            aggregates.popularity(rows),
+            aggregates.recency(rows, reference),
             dataset.users,
             dataset.items,
             reference,
@@ -96,6 +104,11 @@ class Artifacts:
     settings: Mapping[str, Any] = field(default_factory=dict)
 
 
+    def kept(self) -> Artifacts:
+        """The same artifacts with every table written out, so that scoring does not repeat the fit."""
+        return replace(self, tables={n: durable(t, n) for n, t in self.tables.items()})
+
+
 @dataclass(frozen=True)
 class Signal:
     name: str
@@ -260,14 +273,16 @@ def score_als(
 
 
 def fit_rules(features: Features, params: Mapping[str, Any]) -> Artifacts:
+    owned = seen_items(features.interactions)
     rules = params.get("rules")
     if rules is None:
+        owned = durable(owned, "owned")
         rules = baskets.mine_rules(
-            features.interactions,
+            owned,
             float(params.get("min_support", DEFAULT_MIN_SUPPORT)),
             float(params.get("min_confidence", DEFAULT_MIN_CONFIDENCE)),
         )
-    return Artifacts({"rules": rules, "user_items": seen_items(features.interactions)})
+    return Artifacts({"rules": rules, "user_items": owned})
 
 
 def score_rules(

@@ -114,9 +114,9 @@ class FeatureStore:
         """All committed batches of the current generation."""
         state = self.current()
         stored = self.spark.read.schema(_STORED).parquet(f"{self.root}/interactions/gen={state.gen}")
-        # One log row per batch; the join prunes folders of batches that were not committed.
+        # One log row per batch; folders of batches that were not committed are left out.
         done = self.log().filter(F.col("gen") == state.gen).select("stream", "batch").distinct()
-        return stored.join(F.broadcast(done), ["stream", "batch"], "left_semi").select(
+        return stored.join(done, ["stream", "batch"], "left_semi").select(
             *INTERACTIONS.fieldNames()
         )
 
