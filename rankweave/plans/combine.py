@@ -125,8 +125,9 @@ def read_places(wanted: DataFrame, lists: DataFrame, keys: Sequence[str], by: st
         wanted = wanted.withColumn(
             "_salt", F.when(head, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0))
         )
-        copies = F.when(head, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        lists = lists.withColumn("_salt", F.explode(copies).cast("long"))
+        one, last = F.lit(0).cast("long"), F.lit(salts - 1).cast("long")
+        copies = F.when(head, F.sequence(one, last)).otherwise(F.array(one))
+        lists = lists.withColumn("_salt", F.explode(copies))
         return wanted.join(lists, [*keys, "pos", "_salt"]).drop("_salt", "pos")
     return wanted.join(lists, [*keys, "pos"]).drop("pos")
 
