@@ -23,11 +23,11 @@ from rankweave.catalogue.signals import (
     RULE_PARAMS,
     RULE_SCORES,
     SEGMENTS,
-    scores_of,
     trends_sql,
 )
 from rankweave.operators import filters
 from rankweave.operators.filters import Filters
+from rankweave.operators.numbering import durable
 from rankweave.plans.combine import (
     combine_full_outer,
     combine_union,
@@ -36,7 +36,7 @@ from rankweave.plans.combine import (
 )
 from rankweave.plans.heuristics import GENERAL_SIGNALS, SURVEY_TOP_K, Heuristics, SignalConfig
 from rankweave.plans.pairs import score_pairs
-from rankweave.plans.recommend import recommend
+from rankweave.plans.recommend import fit_all, recommend, score_all
 from rankweave.plans.signals import Features
 from rankweave.schema import BREAKDOWN, ITEM_ID, USER_ID
 
@@ -116,14 +116,17 @@ def recommend_als(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pair_scores(spark: SparkSession, folder: str):
-    features = retail_features(spark, folder)
-    scores = [
-        scores_of("popularity", features),
-        scores_of("trends", features),
-        scores_of("segments", features, {"assignments": by_segment(features)}),
-    ]
-    pairs = filters.seen_items(features.interactions)
-    return score_pairs(pairs, filters.candidates(features.items), scores)
+    features = retail_features(spark, folder, keep=True)
+    signals = {
+        "popularity": SignalConfig(0.1),
+        "segments": SignalConfig(0.6, {"assignments": by_segment(features)}),
+        "trends": SignalConfig(0.3),
+    }
+    fitted = fit_all(features, Heuristics("retail", signals))
+    users, items = features.users.select(USER_ID), filters.candidates(features.items)
+    scores = score_all(fitted, users, items)
+    pairs = durable(filters.seen_items(features.interactions), "pairs")
+    return score_pairs(pairs, items, scores)
 
 
 WEIGHTS = {"popularity": 0.1, "trends": 0.3, "segments": 0.6}

@@ -219,6 +219,8 @@ def _sparse(
         own = own.join(who.select(USER_ID), USER_ID, "left_semi").join(
             pool.select(ITEM_ID), ITEM_ID, "left_semi"
         )
+        # Read three times below.
+        own = durable(own, "own")
     passed = [d.select(USER_ID, ITEM_ID) for d in (seen, own) if d is not None]
     if passed:
         skip = reduce(DataFrame.unionByName, passed)

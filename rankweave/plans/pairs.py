@@ -22,7 +22,7 @@ from rankweave.schema import ITEM_ID, SCORE, USER_ID
 
 def _sparse_pairs(pairs: DataFrame, s: Scores) -> DataFrame:
     if s.grain == ITEM_GRAIN:
-        return pairs.join(s.listed, ITEM_ID)
+        return pairs.join(s.listed, ITEM_ID).select(USER_ID, ITEM_ID, SCORE)
     if s.grain == GROUP_GRAIN:
         keyed = pairs.join(s.members.select(USER_ID, GROUP), USER_ID).join(s.floor, GROUP)
         found = keyed.join(s.listed, [GROUP, ITEM_ID], "left")

@@ -289,9 +289,9 @@ def score_rules(
     art: Artifacts, users: DataFrame, candidates: DataFrame, method: str = MINMAX
 ) -> Scores:
     owned = for_users(art.tables["user_items"], users)
-    raw = baskets.matched_confidence(art.tables["rules"], owned).withColumnRenamed(
-        "confidence", RAW_SCORE
-    )
+    matched = baskets.matched_confidence(art.tables["rules"], owned)
+    # Read for the extremes, for the scores and again by the ranking.
+    raw = durable(matched.withColumnRenamed("confidence", RAW_SCORE), "matched")
     keys = owned.select(USER_ID).distinct()
     return keyed_scores("rules", USER_GRAIN, raw, keys, candidates, method=method)
 

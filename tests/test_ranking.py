@@ -192,11 +192,12 @@ def test_zscore(spark):
 
 
 def test_salted_list_heads(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         World(spark, 6).check(MIXES[4])
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_required_features(spark):
