@@ -204,16 +204,23 @@ _RECENCY = f"""WITH {RETAIL}
            round(sum(exp(-(0.693147 / 30.0) * date_diff('day', ts, DATE '2001-08-02'))), 6) AS recency_score
     FROM ri GROUP BY item_id"""
 
-# Single-item antecedents; the last part would add a row if some three items were frequent together.
+# Frequent item sets of any size, grown item by item together with their owners; every item of a set is
+# the consequent of one rule.  Needs WITH RECURSIVE.
 RULES = """
 ub AS (SELECT DISTINCT user_id u, item_id i FROM ci),
-nb AS (SELECT count(DISTINCT u) n FROM ub),
-fi AS (SELECT i, count(*) c FROM ub GROUP BY i HAVING count(*) >= ceil(0.3 * (SELECT n FROM nb))),
-fu AS (SELECT u, i FROM ub SEMI JOIN fi USING (i)),
-fp AS (SELECT a.i ante, b.i cons, count(*) c FROM fu a JOIN fu b ON a.u = b.u AND a.i <> b.i
-       GROUP BY 1, 2 HAVING count(*) >= ceil(0.3 * (SELECT n FROM nb))),
-rules AS (SELECT ante, cons, fp.c / fa.c confidence, (fp.c / fa.c) / (fc.c / n) lift, fp.c / n support
-          FROM fp JOIN fi fa ON fa.i = ante JOIN fi fc ON fc.i = cons, nb WHERE fp.c / fa.c >= 0.2)"""
+bl AS (SELECT u, list(i) b FROM ub GROUP BY u),
+nb AS (SELECT count(*) n, CAST(ceil(0.3 * count(*)) AS BIGINT) least FROM bl),
+fi AS (SELECT i, count(*) c, list(u) us FROM ub GROUP BY i HAVING count(*) >= (SELECT least FROM nb)),
+grown AS (SELECT [i] s, i last, us FROM fi
+          UNION ALL
+          SELECT list_append(g.s, f.i), f.i, list_intersect(g.us, f.us)
+          FROM grown g JOIN fi f ON f.i > g.last
+          WHERE len(list_intersect(g.us, f.us)) >= (SELECT least FROM nb)),
+sets AS (SELECT s, len(us) c FROM grown),
+split AS (SELECT list_filter(s, lambda e: e <> x) ante, x cons, c
+          FROM (SELECT s, unnest(s) x, c FROM sets WHERE len(s) > 1)),
+rules AS (SELECT ante, cons, split.c / a.c confidence, (split.c / a.c) / (fi.c / n) lift, split.c / n support
+          FROM split JOIN sets a ON a.s = ante JOIN fi ON fi.i = cons, nb WHERE split.c / a.c >= 0.2)"""
 
 _NUMBERED = """
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id, value) r FROM {0})"""
@@ -242,21 +249,14 @@ ORACLES = {
     "basket_lists": f"""WITH {CLICKS}
         SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items, CAST(count(*) AS INTEGER) n
         FROM (SELECT DISTINCT user_id, item_id FROM ci) GROUP BY user_id""",
-    "frequent_items": f"WITH {CLICKS}, {RULES} SELECT i AS item_id, c AS freq FROM fi",
-    "association_rules": f"""WITH {CLICKS}, {RULES}
-        SELECT ante AS antecedent, cons AS consequent, round(confidence, 6) AS confidence,
-               round(lift, 6) AS lift, round(support, 6) AS support
-        FROM rules
-        UNION ALL
-        SELECT 'three frequent items', '', 0.0, 0.0, 0.0
-        WHERE EXISTS (
-          SELECT 1 FROM (SELECT ante, cons FROM fp WHERE ante < cons) p
-          JOIN fu a ON a.i = p.ante JOIN fu b ON b.i = p.cons AND b.u = a.u
-          JOIN fu c ON c.u = a.u AND c.i > p.cons
-          GROUP BY p.ante, p.cons, c.i HAVING count(*) >= ceil(0.3 * (SELECT n FROM nb)))""",
-    "matched_rules": f"""WITH {CLICKS}, {RULES}
+    "frequent_items": f"WITH RECURSIVE {CLICKS}, {RULES} SELECT i AS item_id, c AS freq FROM fi",
+    "association_rules": f"""WITH RECURSIVE {CLICKS}, {RULES}
+        SELECT array_to_string(ante, ',') AS antecedent, cons AS consequent,
+               round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(support, 6) AS support
+        FROM rules""",
+    "matched_rules": f"""WITH RECURSIVE {CLICKS}, {RULES}
         SELECT u AS user_id, cons AS item_id, round(max(confidence), 6) AS confidence
-        FROM ub JOIN rules ON ante = i GROUP BY 1, 2""",
+        FROM bl JOIN rules ON list_has_all(b, ante) GROUP BY 1, 2""",
     "split_first_ten_test": f"""WITH {CLICKS}, {_NUMBERED.format('ci')}
         SELECT user_id, item_id, value, ts FROM n WHERE r BETWEEN 1 AND 10""",
     "split_first_ten_base": f"""WITH {CLICKS}, {_NUMBERED.format('ci')}

@@ -210,7 +210,7 @@ def _ranked_sql(
     columns = ", ".join(f"round({expr}, 9) AS c_{name}" for name, expr in parts.items())
     total = " + ".join(f"coalesce(c_{name}, 0.0)" for name in parts)
     shown = ", ".join(f"round(c_{name}, 6) AS c_{name}" for name in parts)
-    return f"""WITH {views},
+    return f"""WITH RECURSIVE {views},
         contributions AS (SELECT {ids}, {columns} {frame}),
         summed AS (SELECT *, round({total}, 9) AS total FROM contributions),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, item_id)

@@ -184,7 +184,7 @@ con AS (SELECT user_id, item_id, CASE WHEN hi = lo THEN 0.5 ELSE (x - lo) / (hi
 
 # Every user with every item; owners of no antecedent have raw score 0 everywhere.
 RULE_SCORES = """
-met AS (SELECT u, cons i, max(confidence) x FROM ub JOIN rules ON ante = i GROUP BY 1, 2),
+met AS (SELECT u, cons i, max(confidence) x FROM bl JOIN rules ON list_has_all(b, ante) GROUP BY 1, 2),
 rul_all AS (SELECT a.u user_id, c.i item_id, coalesce(x, 0.0) x, x IS NOT NULL AS listed
             FROM (SELECT DISTINCT u FROM ub) a CROSS JOIN (SELECT DISTINCT i FROM ub) c
             LEFT JOIN met ON met.u = a.u AND met.i = c.i),
@@ -212,8 +212,8 @@ ORACLES = {
     "signal_content": f"""WITH {RETAIL}, {VECTORS}, {CONTENT}
         SELECT user_id, item_id, round(score, 6) score
         FROM con SEMI JOIN ri USING (user_id, item_id)""",
-    "signal_rules": f"""WITH {CLICKS}, {RULES}, {RULE_SCORES}
+    "signal_rules": f"""WITH RECURSIVE {CLICKS}, {RULES}, {RULE_SCORES}
         SELECT user_id, item_id, round(score, 6) score FROM rul WHERE listed""",
-    "signal_rules_floor": f"""WITH {CLICKS}, {RULES}, {RULE_SCORES}
+    "signal_rules_floor": f"""WITH RECURSIVE {CLICKS}, {RULES}, {RULE_SCORES}
         SELECT DISTINCT user_id, round(floor, 6) + 0.0 AS floor FROM rul""",
 }
