@@ -15,7 +15,7 @@ from rankweave.plans.signals import SIGNALS, Artifacts, Features, Signal, als_fa
 from rankweave.plans.scores import item_scores
 from rankweave.sources import events, synthetic
 from rankweave.sources.store import FeatureStore
-from rankweave.streaming.ingest import ingest_step, ingest_stream
+from rankweave.streaming.ingest import ingest_events, ingest_step, ingest_stream, refit
 
 DAY = date(2026, 6, 2)
 
@@ -98,6 +98,25 @@ def test_ingest_is_idempotent_and_incremental_equals_full(spark, data, tmp_path)
     assert sorted(r["reason"] for r in rejects.collect()) == ["item_id", "user_id"]
 
 
+def test_bodies_are_ingested_and_signals_refitted(spark, data, tmp_path):
+    store = FeatureStore(spark, str(tmp_path / "s"))
+    store.bootstrap(data, DAY)
+    body = {"interactions": [{"user_id": f"u{n}", "item_id": "i3"} for n in range(4)]}
+    bodies = spark.createDataFrame([(json.dumps(body),)], "value string")
+    rows, _ = events.body_events(events.parse_bodies(bodies))
+    heuristics = Heuristics("s", {"popularity": SignalConfig(0.5), "als_cf": SignalConfig(0.5)}, top_k=1)
+    reports = []
+    root = str(tmp_path / "models")
+    n = ingest_events(
+        store, rows, 1, "bodies", lambda: DAY, refit(heuristics, root, report=reports.append), default_time=True
+    )
+    # No values at all: there is nothing to factorise, popularity still serves.
+    assert n == 4 and list(reports[0].artifacts) == ["popularity"] and list(reports[0].skipped) == ["als_cf"]
+    users = spark.createDataFrame([("u9",)], "user_id string")
+    row = recommend(store.features(), users, heuristics, reports[0]).first()
+    assert (row["item_id"], row["final_score"]) == ("i3", 0.5)
+
+
 def test_stream_reads_each_file_once(spark, data, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "s"))
     store.bootstrap(data, DAY)
