@@ -36,12 +36,26 @@ def canon_rows(columns, rows):
     return sorted(columns), sorted(tuple(canon(r[j]) for j in order) for r in rows)
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "timestamp": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def compare(spark, con, folder, query, sql):
     df = query(spark, folder)
     left = canon_rows(df.columns, [tuple(r) for r in df.collect()])
     done = con.execute(sql)
     columns = [d[0] for d in done.description]
+    types = {d[0]: str(d[1]) for d in done.description}
     right = canon_rows(columns, done.fetchall())
+    unlike = {c: (t, types.get(c)) for c, t in df.dtypes if TYPES.get(t) != types.get(c)}
+    if unlike:
+        return f"types {unlike}"
     if left[0] != right[0]:
         return f"columns {left[0]} vs {right[0]}"
     if left[1] != right[1]:

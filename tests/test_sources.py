@@ -18,14 +18,14 @@ def write(folder, name, text, encoding="utf-8"):
 
 
 def test_movie_files(spark, tmp_path):
-    ratings = write(tmp_path, "u.data", "196\t242\t3\t881250949\n186\t302\t4\t891717742\n")
-    people = write(tmp_path, "u.user", "1|24|M|technician|85711\n2|53|F|other|94043\n")
+    ratings = write(tmp_path, "ratings.tsv", "196\t242\t3\t881250949\n186\t302\t4\t891717742\n")
+    people = write(tmp_path, "people.psv", "1|24|M|technician|85711\n2|53|F|other|94043\n")
     flags = {"Comedy": "1|Two Mén (1995)", "none": "2|unknown"}
     lines = []
     for genre, head in flags.items():
         bits = "|".join("1" if g == genre else "0" for g in delimited.GENRES)
         lines.append(f"{head}|01-Jan-1995||http://x|{bits}")
-    titles = write(tmp_path, "u.item", "\n".join(lines) + "\n", "iso-8859-1")
+    titles = write(tmp_path, "titles.psv", "\n".join(lines) + "\n", "iso-8859-1")
     data = delimited.movies(spark, ratings, people, titles)
     first = data.interactions.orderBy(F.col(USER_ID).desc()).first()
     assert tuple(first) == ("196", "242", 3.0, datetime(1997, 12, 4, 15, 55, 49))
