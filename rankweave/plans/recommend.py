@@ -82,7 +82,8 @@ def recommend(
     Unknown users are ranked by the signals that do not depend on the user.
     """
     fitted = fit_all(features, heuristics, signals) if fitted is None else fitted
-    pool = all_candidates(features.items)
+    # Every signal joins the candidates.
+    pool = durable(all_candidates(features.items), "candidates")
     scores = score_all(fitted, users, pool, heuristics.normalization, signals)
     seen = None
     if heuristics.filters.exclude_seen:
