@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import packing
+from rankweave.llm import licenses, lm, packing, pii, secrets, syncmers
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +22,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), keep_ids=False)
+
+
+@_query
+def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_corpus(table(spark, folder, "documents"))
+
+
+@_query
+def op5_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
+@_query
+def op9_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(table(spark, folder, "documents"))
+
+
+ORACLES["op9_blob_ledger"] = secrets.ORACLE
+
+
+@_query
+def op3_license_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+ORACLES["op3_license_sentences"] = licenses.ORACLE
+
+
+@_query
+def op8_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))

@@ -82,19 +82,22 @@ class Words:
 
 
 class Hasher:
-    """Splits texts at ASCII white space and hashes the words, A-Z as a-z unless ``exact``.
+    """Splits texts at ASCII white space and hashes the words, A-Z as a-z unless ``exact``; with ``marks``
+    every ASCII character but letters and digits separates words.
 
     The hash is a polynomial over random byte values, taken from running sums, so the cost is a few array
     operations per byte whatever the words are.
     """
 
-    def __init__(self, exact: bool = False):
+    def __init__(self, exact: bool = False, marks: bool = False):
         low = np.arange(256, dtype=np.uint64)
         if not exact:
             low[65:91] += 32
         self.value = mix(low + np.uint64(1))
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
+        if marks:
+            self.space[:128] = [not chr(b).isalnum() for b in range(128)]
         self._powers(1 << 12)
 
     def _powers(self, n: int) -> None:
