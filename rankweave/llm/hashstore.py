@@ -115,28 +115,30 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
-def store(keys, column: str, name: str) -> tuple[str, int]:
-    """Write the distinct numbers of a column as a store without values: its folder and number of shards.
+def store(keys, column: str, name: str, value: str | None = None) -> tuple[str, int]:
+    """Write the distinct numbers of a column as a store: its folder and number of shards.
 
-    The table is read twice, so it should be a written one.
+    With ``value``, a small integer column, a number keeps its largest value as ``value`` ("i1").  The table is
+    read twice, so it should be a written one.
     """
     import pandas as pd
     from pyspark.sql import functions as F
 
     from rankweave.operators.numbering import scratch
 
-    spark = keys.sparkSession
-    keys = keys.select(F.col(column).alias("key")).filter(F.col("key").isNotNull()).distinct()
-    n = keys.count()
-    shards = 1 << max(0, (n >> 20).bit_length())
+    found = keys.select(F.col(column).alias("key"), (F.col(value) if value else F.lit(0)).alias("value"))
+    found = found.filter(F.col("key").isNotNull() & F.col("value").isNotNull()).groupBy("key").agg(F.max("value").alias("value"))
+    shards = 1 << max(0, (found.count() >> 20).bit_length())
     bits = shards.bit_length() - 1
-    folder = scratch(spark, name)
+    folder = scratch(keys.sparkSession, name)
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = np.sort(group["key"].to_numpy(np.int64).view(np.uint64))
-        write_shard(folder, f"{int(key[0]):06d}", found, {})
-        return pd.DataFrame({"n": [len(found)]})
+        numbers = group["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(numbers)
+        values = {"value": group["value"].to_numpy()[order].astype("i1")} if value else {}
+        write_shard(folder, f"{int(key[0]):06d}", numbers[order], values)
+        return pd.DataFrame({"n": [len(numbers)]})
 
     shard = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    keys.withColumn("shard", shard).groupBy("shard").applyInPandas(write, "n bigint").agg(F.sum("n")).first()
+    found.withColumn("shard", shard).groupBy("shard").applyInPandas(write, "n bigint").agg(F.sum("n")).first()
     return folder, shards

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import licenses, lm, packing, pii, secrets, syncmers
+from rankweave.llm import bagminhash, licenses, lm, packing, pii, quality, secrets, syncmers, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,18 @@ ORACLES["op3_license_sentences"] = licenses.ORACLE
 @_query
 def op8_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
+
+
+@_query
+def op4_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op2_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_corpus(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op7_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_corpus(table(spark, folder, "documents"), table(spark, folder, "labels"))
