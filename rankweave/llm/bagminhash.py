@@ -95,7 +95,7 @@ def signatures(bags: Bags, m: int = SIZE) -> np.ndarray:
         key, time, value = [], [], []
         low, length, piece = 0, 1, 0
         while len(gram):
-            seed, clock = words.mix(gram + _PIECE * np.uint64(piece)), np.zeros(len(gram))
+            seed, clock = words.mix(gram + np.uint64(int(_PIECE) * piece & (1 << 64) - 1)), np.zeros(len(gram))
             r, c, limit = row, count, horizon[row]
             while len(seed):
                 seed = seed + _STEP
@@ -161,7 +161,8 @@ def _pick(folder: str, shards: int):
             nodes = bags.nodes()
             distinct, place = np.unique(nodes, return_index=True)
             out = []
-            for node, k in zip(distinct[store.find(distinct)["index"] >= 0], place[store.find(distinct)["index"] >= 0], strict=True):
+            known = store.find(distinct)["index"] >= 0
+            for node, k in zip(distinct[known], place[known], strict=True):
                 if int(node) in sent:
                     continue
                 sent.add(int(node))
