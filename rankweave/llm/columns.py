@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,12 @@ def spans(text: Column, pattern: str, kind: str, keep: Callable[[Column, Column]
     return F.aggregate(found, start, step, lambda state: state["out"])
 
 
+def through_arrow(df: DataFrame, run: Callable) -> DataFrame:
+    """``df.mapInArrow(run)`` with the same columns, whatever their names; ``run`` sees them in order."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def no_spans() -> Column:
     return F.array().cast("array<struct<start:int,end:int,kind:string>>")
 

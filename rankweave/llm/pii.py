@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import hashstore as hs
 from rankweave.llm import text as words
+from rankweave.llm.columns import through_arrow
 from rankweave.operators.numbering import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -220,7 +221,7 @@ def _all_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, i
     return spans
 
 
-def _finding(folder: str, shards: int, replace: bool):
+def _finding(folder: str, shards: int, replace: bool, at: int = 1):
     """Spans of every text, or the text with its spans replaced."""
     import hashlib
 
@@ -240,7 +241,7 @@ def _finding(folder: str, shards: int, replace: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, hasher = hs.Store(folder, shards, {}) if shards else None, words.Hasher(marks=True)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at)
             data, offsets = words.raw(column)
             for i, j in words.slices(offsets):
                 hits: dict[int, list[tuple[int, int]]] = {}
@@ -263,12 +264,12 @@ def _finding(folder: str, shards: int, replace: bool):
                     base = [s for s in spans if s[0] < 4]
                     counts = [sum(k == q for k, _, _ in base) for q in range(4)]
                     rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-                kept = batch.slice(i, j - i).columns[:-1]
+                kept = batch.slice(i, j - i)
                 if replace:
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], schema=batch.schema)
+                    yield kept.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
                 else:
                     out = [pa.array(c) for c in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([kept[0], *out], names=["id", *NAMES])
+                    yield pa.RecordBatch.from_arrays([kept.column(0), *out], names=["id", *NAMES])
 
     return run
 
@@ -293,7 +294,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def sanitize(docs: DataFrame, text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The same rows and columns with every finding replaced by its kind in brackets; null stays null."""
     terms = disclosing_terms(docs, text_col, threshold)
-    others = [f"`{c}`" for c in docs.columns if c != text_col]
-    rows = docs.select(*others, F.col(f"`{text_col}`"))
-    changed = rows.mapInArrow(_finding(terms.folder, terms.shards, True), rows.schema)
-    return changed.select(*[f"`{c}`" for c in docs.columns])
+    return through_arrow(docs, _finding(terms.folder, terms.shards, True, docs.columns.index(text_col)))

@@ -75,7 +75,7 @@ def indicators(found: words.Words) -> tuple[np.ndarray, np.ndarray]:
         rows.append(row[n:][same])
         codes.append(run[same])
     place = (np.concatenate(codes) >> np.uint64(64 - BITS)).astype(np.int64)
-    both = np.unique(np.concatenate(rows).astype(np.int64) << BITS | place)
+    both = words.distinct(np.concatenate(rows).astype(np.int64) << BITS | place)
     return both >> BITS, both & ((1 << BITS) - 1)
 
 

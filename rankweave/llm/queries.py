@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import bagminhash, licenses, lm, packing, pii, quality, secrets, syncmers, toxicity
+from rankweave.llm import bagminhash, decontam, licenses, lm, packing, pii, quality, secrets, syncmers, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +69,11 @@ def op2_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op7_crf(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_corpus(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op6_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

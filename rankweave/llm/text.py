@@ -150,6 +150,14 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, row[keep]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in ascending order, by one sort."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def worker_state(name: str, make):
     """One object per Python worker process, made on first use and kept between tasks."""
     held = sys.modules.setdefault("_rankweave_worker", type(sys)("_rankweave_worker"))

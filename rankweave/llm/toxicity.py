@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from rankweave.llm import hashstore as hs
 from rankweave.llm import labelled as lb
 from rankweave.llm import text as words
+from rankweave.llm.columns import through_arrow
 from rankweave.operators.numbering import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -154,7 +155,7 @@ def _count(folder: str, shards: int):
         store, counts = hs.Store(folder, shards, lb.LABEL), np.zeros((2, 1 << EVIDENCE_BITS), np.int64)
         for batch, tokens in _sliced(batches, 1, lambda b: lb.look_up(store, b.column(0)) >= 0):
             label, found = lb.look_up(store, batch.column(0)) % 2, tokens.evidence()
-            pairs = np.unique((np.repeat(tokens.row[:, None], found.shape[1], 1).astype(np.int64) << EVIDENCE_BITS | found).ravel())
+            pairs = words.distinct((np.repeat(tokens.row[:, None], found.shape[1], 1).astype(np.int64) << EVIDENCE_BITS | found).ravel())
             row, place = pairs >> EVIDENCE_BITS, pairs & ((1 << EVIDENCE_BITS) - 1)
             for y in (0, 1):
                 counts[y] += np.bincount(place[label[row] == y], minlength=1 << EVIDENCE_BITS)
@@ -297,6 +298,23 @@ def _tag(model: Model):
     return run
 
 
+def _mild(model: Model, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.weights.astype(np.float32)
+        for batch, tokens in _sliced(batches, column):
+            gain = w[tokens.features()].sum(1) + w[-1]
+            post, _, _ = marginals(gain.astype(float), tokens.chain, tokens.place, model.move)
+            p = lb.sigmoid(model.slope * summary(post, tokens.row, tokens.rows) + model.shift)
+            yield batch.filter(pa.array(p < 0.5))
+
+    return run
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all columns."""
+    return through_arrow(docs, _mild(model, docs.columns.index(text_col)))
+
+
 def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, score, predicted and ``spans``, the toxic tokens as ``start:end`` in code points."""
     kind = docs.schema[id_col].dataType.simpleString()
