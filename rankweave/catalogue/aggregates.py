@@ -95,8 +95,9 @@ def require_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def basket_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent items per basket; a basket without one stays, empty."""
     owned = filters.seen_items(tables.clicks(spark, folder).interactions)
-    return baskets.baskets(owned).select(
+    return baskets.baskets(owned, MIN_SUPPORT).select(
         USER_ID, F.array_join("items", ",").alias("items"), F.size("items").alias("n")
     )
 
@@ -164,10 +165,8 @@ def split_blocks_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_hash_folds(spark: SparkSession, folder: str) -> DataFrame:
-    """Five hash folds put together again: every row once, whatever its fold."""
-    folded = splits.hash_folds(tables.retail_interactions(spark, folder), 5)
-    base, test = splits.fold_split(folded, 1)
-    return base.unionByName(test)
+    """Every row with its fold of five."""
+    return splits.hash_folds(tables.retail_interactions(spark, folder), 5)
 
 
 QUERIES = {
@@ -246,9 +245,10 @@ ORACLES = {
         SELECT DISTINCT item_id FROM rp WHERE item_id NOT IN ('1', '17', 'no such item')""",
     "exclude_items_table": f"WITH {RETAIL} SELECT DISTINCT item_id FROM rp WHERE size <> 1",
     "require_features": f"WITH {RETAIL} SELECT DISTINCT item_id FROM rp WHERE type = 'SMALL' AND size = 7",
-    "basket_lists": f"""WITH {CLICKS}
-        SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items, CAST(count(*) AS INTEGER) n
-        FROM (SELECT DISTINCT user_id, item_id FROM ci) GROUP BY user_id""",
+    "basket_lists": f"""WITH RECURSIVE {CLICKS}, {RULES}
+        SELECT u AS user_id, coalesce(string_agg(ub.i, ',' ORDER BY ub.i) FILTER (c IS NOT NULL), '') AS items,
+               CAST(count(c) AS INTEGER) n
+        FROM ub LEFT JOIN fi ON fi.i = ub.i GROUP BY u""",
     "frequent_items": f"WITH RECURSIVE {CLICKS}, {RULES} SELECT i AS item_id, c AS freq FROM fi",
     "association_rules": f"""WITH RECURSIVE {CLICKS}, {RULES}
         SELECT array_to_string(ante, ',') AS antecedent, cons AS consequent,
@@ -277,5 +277,7 @@ ORACLES = {
     "split_blocks_sizes": f"""WITH {RETAIL}
         SELECT fold, count(*) n
         FROM (SELECT CAST((row_number() OVER () - 1) // 20000 + 1 AS INTEGER) fold FROM ri) GROUP BY fold""",
-    "split_hash_folds": f"WITH {RETAIL} SELECT * FROM ri",
+    "split_hash_folds": f"""WITH {RETAIL}
+        SELECT *, CAST(CAST('0x' || substr(md5(user_id || '|' || item_id), 1, 8) AS BIGINT) % 5 + 1 AS INTEGER) fold
+        FROM ri""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.catalogue.aggregates import RULES
@@ -110,6 +111,40 @@ def recommend_all_signals(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(retail_features(spark, folder, keep=True), Heuristics("retail", ALL_SIX))
 
 
+def recommend_all_signals_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What has to hold for every user's ranking of all six signals, none of which may be skipped."""
+    features = retail_features(spark, folder, keep=True)
+    heuristics = Heuristics("retail", ALL_SIX)
+    fitted = fit_all(features, heuristics)
+    if fitted.skipped:
+        raise RuntimeError(f"skipped: {dict(fitted.skipped)}")
+    found = durable(recommend(features, features.users.select(USER_ID), heuristics, fitted), "found")
+    parts = F.aggregate(F.map_values(BREAKDOWN), F.lit(0.0), lambda s, x: s + x)
+    seen = filters.seen_items(features.interactions).withColumn("seen", F.lit(True))
+    before = F.lag("final_score").over(W.partitionBy(USER_ID).orderBy("rank"))
+    rows = found.join(seen, [USER_ID, ITEM_ID], "left").withColumn("before", before)
+    return rows.groupBy(USER_ID).agg(
+        ((F.count(F.lit(1)) == 20) & (F.max("rank") == 20) & (F.count_distinct("rank") == 20)).alias("ranks"),
+        F.every(F.coalesce(F.col("before") >= F.col("final_score"), F.lit(True))).alias("falling"),
+        F.every(F.abs(parts - F.col("final_score")) < 1e-9).alias("parts"),
+        F.every(F.col("seen").isNull()).alias("unseen"),
+    )
+
+
+def recommend_breakdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The breakdown as text, signals in order of name, cold ones left out."""
+    features = retail_features(spark, folder, keep=True)
+    signals = {
+        "popularity": SignalConfig(0.3),
+        "segments": SignalConfig(0.7, {"assignments": by_segment(features)}),
+    }
+    found = recommend(features, features.users.select(USER_ID), Heuristics("retail", signals, top_k=5))
+    entries = F.transform(
+        F.array_sort(F.map_entries(BREAKDOWN)), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 6))
+    )
+    return found.select(USER_ID, "rank", ITEM_ID, F.array_join(entries, ",").alias("parts"))
+
+
 def recommend_als(spark: SparkSession, folder: str) -> DataFrame:
     signals = {"als_cf": SignalConfig(1.0), "popularity": SignalConfig(0.1)}
     return _ranked(clicks_features(spark, folder, keep=True), Heuristics("clicks", signals))
@@ -190,6 +225,8 @@ QUERIES = {
     "recommend_rules": recommend_rules,
     "recommend_votes": recommend_votes,
     "recommend_all_signals": recommend_all_signals,
+    "recommend_all_signals_checked": recommend_all_signals_checked,
+    "recommend_breakdown": recommend_breakdown,
     "recommend_als": recommend_als,
     "combine_full_outer": combine_pairs_full_outer,
     "combine_union": combine_pairs_union,
@@ -207,12 +244,12 @@ def _ranked_sql(
 ) -> str:
     """``frame`` gives the ids and one score per signal; ``parts`` maps signal to ``weight * score``,
     null where the signal is cold."""
-    columns = ", ".join(f"round({expr}, 9) AS c_{name}" for name, expr in parts.items())
+    columns = ", ".join(f"round({expr}, 14) AS c_{name}" for name, expr in parts.items())
     total = " + ".join(f"coalesce(c_{name}, 0.0)" for name in parts)
     shown = ", ".join(f"round(c_{name}, 6) AS c_{name}" for name in parts)
     return f"""WITH RECURSIVE {views},
         contributions AS (SELECT {ids}, {columns} {frame}),
-        summed AS (SELECT *, round({total}, 9) AS total FROM contributions),
+        summed AS (SELECT *, round({total}, 14) AS total FROM contributions),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, item_id)
                                   AS INTEGER) AS rank FROM summed)
         SELECT user_id, rank, item_id, round(total, 6) AS final_score, {shown}
@@ -239,17 +276,28 @@ cpop_all AS (SELECT item_id, CAST(count(*) AS DOUBLE) x FROM ci GROUP BY item_id
 cpop AS (SELECT item_id, CASE WHEN hi = lo THEN 0.5 ELSE (x - lo) / (hi - lo) END score
          FROM cpop_all, (SELECT min(x) lo, max(x) hi FROM cpop_all))"""
 _PAIRS = f"""WITH {RETAIL}, {POPULARITY}, {_TRENDS}, {SEGMENTS},
-    c AS (SELECT i.user_id, i.item_id, round(0.1 * pop.score, 9) c_popularity,
-                 round(0.3 * tr.score, 9) c_trends, round(0.6 * seg.score, 9) c_segments
+    c AS (SELECT i.user_id, i.item_id, round(0.1 * pop.score, 14) c_popularity,
+                 round(0.3 * tr.score, 14) c_trends, round(0.6 * seg.score, 14) c_segments
           FROM (SELECT DISTINCT user_id, item_id FROM ri) i JOIN ru USING (user_id)
           JOIN pop ON pop.item_id = i.item_id JOIN tr ON tr.item_id = i.item_id
           JOIN seg ON seg.grp = ru.segment AND seg.item_id = i.item_id)
-    SELECT *, round(c_popularity + c_trends + c_segments, 9) final_score FROM c"""
+    SELECT *, round(c_popularity + c_trends + c_segments, 14) final_score FROM c"""
 _OLD = """
 old AS (SELECT DISTINCT user_id, item_id FROM ri WHERE ts < TIMESTAMP '2001-01-01'),
 new AS (SELECT DISTINCT user_id, item_id FROM ri WHERE ts >= TIMESTAMP '2001-01-01')"""
 
 ORACLES = {
+    "recommend_all_signals_checked": f"""WITH {RETAIL}
+        SELECT user_id, true AS ranks, true AS falling, true AS parts, true AS unseen FROM ru""",
+    "recommend_breakdown": "SELECT user_id, rank, item_id, printf('popularity=%.6f,segments=%.6f', c_popularity, "
+    "c_segments) AS parts FROM ("
+    + _ranked_sql(
+        f"{RETAIL}, {POPULARITY}, {SEGMENTS}",
+        {"popularity": "0.3 * pop.score", "segments": "0.7 * b.score"},
+        f"FROM ru a JOIN seg b ON b.grp = a.segment JOIN pop USING (item_id) WHERE {_UNSEEN}",
+        5,
+    )
+    + ")",
     "recommend_popularity": _ranked_sql(
         f"{RETAIL}, {POPULARITY}",
         {"popularity": "b.score"},

@@ -21,8 +21,8 @@ from rankweave.operators.filters import candidates, seen_items
 from rankweave.plans.dense import dense_ranges
 from rankweave.plans.pairs import score_pairs
 from rankweave.plans.scores import GROUP
-from rankweave.plans.signals import SIGNALS, Features, assign_clusters
-from rankweave.schema import ITEM_ID, SCORE, USER_ID, Applies
+from rankweave.plans.signals import DEFAULT_REG, SIGNALS, Features, als_factors, assign_clusters
+from rankweave.schema import ITEM_ID, SCORE, USER_ID, VALUE, Applies
 
 RULE_PARAMS = {"min_support": MIN_SUPPORT, "min_confidence": MIN_CONFIDENCE}
 
@@ -128,7 +128,68 @@ def signal_als_implicit(spark: SparkSession, folder: str) -> DataFrame:
     return _als(spark, folder, True)
 
 
+def kmeans_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every customer lies in the cluster with the nearest centre."""
+    features = retail_features(spark, folder)
+    vectors = vectorize(features.users, USER_ID, features.specs_for(Applies.USER))
+    model, assigned = assign_clusters(vectors, 8)
+    apart = [
+        F.aggregate(
+            F.zip_with("features", F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)),
+            F.lit(0.0),
+            lambda s, x: s + x,
+        )
+        for centre in model.clusterCenters()
+    ]
+    rows = vectors.table.join(assigned, USER_ID).withColumn("d", F.array(*apart))
+    return rows.select(USER_ID, (F.get("d", F.col("cluster")) <= F.array_min("d") + 1e-9).alias("nearest"))
+
+
+def _als_solved(spark: SparkSession, folder: str, implicit: bool) -> DataFrame:
+    """Whether a user's factors solve their regularised normal equations, given the item factors.
+
+    The gradient is summed per user and component; it may be a thousandth of the right-hand side.
+    """
+    features = clicks_features(spark, folder)
+    art = SIGNALS["als_cf"].fit(features, {"implicit": implicit})
+    users, items = als_factors(art)
+    rows = features.interactions.select(USER_ID, ITEM_ID, VALUE)
+    rows = rows.fillna(1.0, [VALUE]) if implicit else rows.filter(F.col(VALUE).isNotNull())
+    rows = rows.join(users.withColumnRenamed("features", "x"), USER_ID).join(items.withColumnRenamed("features", "v"), ITEM_ID)
+    dot = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+    sure = F.abs(VALUE)
+    left = dot * (sure if implicit else F.lit(1.0))
+    right = F.when(F.col(VALUE) > 0, 1 + sure).otherwise(0.0) if implicit else F.col(VALUE)
+    counts = (F.col(VALUE) > 0).cast("double") if implicit else F.lit(1.0)
+    each = rows.select(USER_ID, left.alias("l"), right.alias("r"), counts.alias("n"), F.posexplode("v").alias("k", "c"))
+    sums = each.groupBy(USER_ID, "k").agg(
+        F.sum(F.col("l") * F.col("c")).alias("l"), F.sum(F.col("r") * F.col("c")).alias("r"), F.sum("n").alias("n")
+    )
+    mine = users.select(USER_ID, F.posexplode("features").alias("k", "x"))
+    sums = sums.join(mine, [USER_ID, "k"])
+    if implicit:
+        # Every item counts once, seen or not.
+        one, two = (items.select(ITEM_ID, F.posexplode("features").alias(k, c)) for k, c in (("k", "a"), ("j", "b")))
+        square = one.join(two, ITEM_ID).groupBy("k", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+        all_ = mine.withColumnRenamed("k", "j").join(square, "j").groupBy(USER_ID, "k").agg(F.sum(F.col("g") * F.col("x")).alias("g"))
+        sums = sums.join(all_, [USER_ID, "k"]).withColumn("l", F.col("l") + F.col("g"))
+    gap = F.col("l") + F.lit(DEFAULT_REG) * F.col("n") * F.col("x") - F.col("r")
+    total = sums.groupBy(USER_ID).agg(F.sum(gap * gap).alias("gap"), F.sum(F.col("r") * F.col("r")).alias("size"))
+    return total.select(USER_ID, (F.sqrt("gap") <= 1e-3 * F.sqrt("size")).alias("solved"))
+
+
+def als_solved(spark: SparkSession, folder: str) -> DataFrame:
+    return _als_solved(spark, folder, False)
+
+
+def als_solved_implicit(spark: SparkSession, folder: str) -> DataFrame:
+    return _als_solved(spark, folder, True)
+
+
 QUERIES = {
+    "kmeans_nearest": kmeans_nearest,
+    "als_solved": als_solved,
+    "als_solved_implicit": als_solved_implicit,
     "signal_popularity": signal_popularity,
     "signal_trends": signal_trends,
     "signal_trends_halflife_90": signal_trends_halflife_90,
@@ -196,6 +257,9 @@ rul AS (SELECT user_id, item_id, listed,
         FROM rul_all WINDOW w AS (PARTITION BY user_id))"""
 
 ORACLES = {
+    "kmeans_nearest": f"WITH {RETAIL} SELECT user_id, true AS nearest FROM ru",
+    "als_solved": f"WITH {CLICKS} SELECT DISTINCT user_id, true AS solved FROM ci WHERE value IS NOT NULL",
+    "als_solved_implicit": f"WITH {CLICKS} SELECT DISTINCT user_id, true AS solved FROM ci",
     "signal_popularity": f"WITH {RETAIL}, {POPULARITY} SELECT item_id, round(score, 6) score FROM pop",
     "signal_trends": f"WITH {RETAIL}, {trends_sql('tr')} SELECT item_id, round(score, 6) score FROM tr",
     "signal_trends_halflife_90": f"""WITH {RETAIL}, {trends_sql('tr', '90.0')}

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 MINMAX = "minmax"
 ZSCORE = "zscore"
 
-# Scores that agree to this many decimals are ties; a tie goes to the smaller item id.
-DIGITS = 9
+# Contributions lie on a grid fine enough for every double between -1 and 1 that differs by more than the
+# rounding noise of a few additions.  A tie goes to the smaller item id.
+DIGITS = 14
+# A row whose spread is within the rounding noise of its values is flat.
+NOISE = 1e-15
 
 
 def minmax(x: Column, lo: Column, hi: Column) -> Column:
@@ -18,16 +21,17 @@ def minmax(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(flat, F.lit(0.5)).otherwise((x - lo) / (hi - lo))
 
 
-def zscore(x: Column, mean: Column, sd: Column) -> Column:
+def zscore(x: Column, mean: Column, sd: Column, lo: Column, hi: Column) -> Column:
     """``(x - mean) / sd``; 0 when all scores are equal."""
-    return F.when(sd.isNull() | (sd == 0), F.lit(0.0)).otherwise((x - mean) / sd)
+    flat = sd.isNull() | (sd == 0) | (hi - lo <= F.lit(NOISE) * F.greatest(F.abs(lo), F.abs(hi)))
+    return F.when(flat, F.lit(0.0)).otherwise((x - mean) / sd)
 
 
 def scaled(x: Column, stats: dict[str, Column], method: str = MINMAX) -> Column:
     if method == MINMAX:
         return minmax(x, stats["lo"], stats["hi"])
     if method == ZSCORE:
-        return zscore(x, stats["mean"], stats["sd"])
+        return zscore(x, stats["mean"], stats["sd"], stats["lo"], stats["hi"])
     raise ValueError(f"unknown normalization {method!r}")
 
 

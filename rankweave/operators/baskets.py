@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankweave.functions.scalars import contains_all
 from rankweave.schema import ITEM_ID, USER_ID
 
-RULES = T.StructType(
-    [
-        T.StructField("antecedent", T.ArrayType(T.StringType())),
-        T.StructField("consequent", T.ArrayType(T.StringType())),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("lift", T.DoubleType()),
-        T.StructField("support", T.DoubleType()),
-    ]
-)
-
 
 def frequent_items(owned: DataFrame, min_support: float) -> DataFrame:
     """``(item_id, freq)`` of items held by at least ``min_support`` of the baskets.

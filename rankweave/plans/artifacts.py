@@ -85,9 +85,10 @@ def fit_saved(
     The result reads from the saved tables, so later rankings do not repeat the learning.
     """
     spark = features.items.sparkSession
-    active = heuristics.active()
-    known = {} if force else load(spark, root, active)
-    fitted = fit_all(features, heuristics, signals, known, keep=False)
-    fresh = {n: a for n, a in fitted.artifacts.items() if n not in known}
-    save(spark, fresh, root)
-    return Fitted({**known, **load(spark, root, fresh)}, fitted.skipped)
+    known = {} if force else load(spark, root, heuristics.mixture)
+
+    def settle(name: str, fresh: Artifacts) -> Artifacts:
+        save(spark, {name: fresh}, root)
+        return load(spark, root, [name])[name]
+
+    return fit_all(features, heuristics, signals, known, settle=settle)

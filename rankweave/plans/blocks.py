@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-from rankweave.functions.scaling import DIGITS, MINMAX
+from rankweave.functions.scaling import DIGITS, MINMAX, NOISE
 from rankweave.schema import ITEM_ID, USER_ID
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,6 +55,8 @@ def _scale(x: np.ndarray, stats: tuple[np.ndarray, ...], method: str) -> np.ndar
     lo, hi, mean, sd = stats
     shift, width, flat = (lo, hi - lo, 0.5) if method == MINMAX else (mean, sd, 0.0)
     level = width == 0
+    if method != MINMAX:
+        level |= hi - lo <= NOISE * np.maximum(np.abs(lo), np.abs(hi))
     x -= shift[:, None]
     x /= np.where(level, 1.0, width)[:, None]
     if level.any():
@@ -62,10 +64,17 @@ def _scale(x: np.ndarray, stats: tuple[np.ndarray, ...], method: str) -> np.ndar
     return x
 
 
+def _products(profiles: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """All dot products; one that is no number counts 0."""
+    x = profiles @ vectors.T
+    return np.nan_to_num(x, copy=False, nan=0.0) if np.isnan(x).any() else x
+
+
 def _stats(x: np.ndarray, method: str) -> tuple[np.ndarray, ...]:
+    lo, hi = x.min(axis=1), x.max(axis=1)
     if method == MINMAX:
-        return x.min(axis=1), x.max(axis=1), np.zeros(len(x)), np.zeros(len(x))
-    return np.zeros(len(x)), np.zeros(len(x)), x.mean(axis=1), x.std(axis=1)
+        return lo, hi, np.zeros(len(x)), np.zeros(len(x))
+    return lo, hi, x.mean(axis=1), x.std(axis=1)
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +126,7 @@ class BlockScorer:
         self.k = k
 
     def ranges(self, users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Per user and dense signal: extremes, count, sum and sum of squares over this block."""
+        """Per user and dense signal: extremes, count, mean and squared deviations over this block."""
         for name, dim, missing, _, _ in self.dense:
             vectors, has_vector = _matrix(items[f"v_{name}"], dim)
             if missing == "drop":
@@ -128,7 +137,7 @@ class BlockScorer:
                 profiles, warm = _matrix(part[f"p_{name}"], dim)
                 if not warm.any() or not len(vectors):
                     continue
-                x = profiles[warm] @ vectors.T
+                x = _products(profiles[warm], vectors)
                 yield pd.DataFrame(
                     {
                         USER_ID: part[USER_ID].to_numpy()[warm],
@@ -136,8 +145,8 @@ class BlockScorer:
                         "lo": x.min(axis=1),
                         "hi": x.max(axis=1),
                         "n": float(x.shape[1]),
-                        "s1": x.sum(axis=1),
-                        "s2": (x * x).sum(axis=1),
+                        "mean": x.mean(axis=1),
+                        "m2": x.var(axis=1) * x.shape[1],
                     }
                 )
 
@@ -163,10 +172,12 @@ class BlockScorer:
     def _chunk(self, users, ids, usable, base, common, matrices, listed) -> pd.DataFrame:
         shape = (len(users), len(ids))
         parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        # Which items some signal has scored for the user.
+        ranked = np.full(shape, bool(self.item_names))
         for name, dim, missing, method, weight in self.dense:
             profiles, warm = _matrix(users[f"p_{name}"], dim)
             vectors, has_vector = matrices[name]
-            x = profiles @ vectors.T
+            x = _products(profiles, vectors)
             scored = has_vector if missing == "drop" else np.ones(len(ids), dtype=bool)
             if self.stats_given:
                 stats = tuple(users[f"{c}_{name}"].to_numpy(dtype=float) for c in ("lo", "hi", "mean", "sd"))
@@ -183,6 +194,7 @@ class BlockScorer:
             if not scored.all():
                 value[:, ~scored] = 0.0
             parts[name] = (value, warm)
+            ranked |= warm[:, None] & scored[None, :]
         for name in self.group_names:
             floor = users[f"f_{name}"].to_numpy(dtype=float)
             warm = ~np.isnan(floor)
@@ -192,6 +204,7 @@ class BlockScorer:
                     slots, values = listed[name][group]
                     value[j, slots] = values
             parts[name] = (value, warm)
+            ranked |= warm[:, None]
         for name in self.user_names:
             floor = users[f"f_{name}"].to_numpy(dtype=float)
             warm = ~np.isnan(floor)
@@ -200,14 +213,12 @@ class BlockScorer:
             _, values = _spread(users[f"lc_{name}"])
             value[rows, slots.astype(int)] = values
             parts[name] = (value, warm)
+            ranked |= warm[:, None]
         final = np.repeat(common[None, :], shape[0], axis=0)
         for value, _ in parts.values():
             final += value
         _fixed(final)
-        warm_any = np.full(shape[0], bool(self.item_names))
-        for _, warm in parts.values():
-            warm_any |= warm
-        final[~warm_any] = -np.inf
+        final[~ranked] = -np.inf
         final[:, ~usable] = -np.inf
         rows, slots = _spread(users["skip"])
         final[rows, slots.astype(int)] = -np.inf

@@ -75,6 +75,11 @@ def _paired(users: DataFrame, items: DataFrame, user_blocks: int, item_blocks: i
     return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
 
 
+def _deviations(sum_, part):
+    away = part["m"] - F.col("mean")
+    return sum_ + part["m2"] + part["n"] * away * away
+
+
 def _user_block(user_blocks: int):
     return F.pmod(F.xxhash64(USER_ID), F.lit(user_blocks)).cast("int").alias("ub")
 
@@ -94,14 +99,14 @@ def dense_ranges(
     scorer = BlockScorer(
         [(s.signal, s.dim, s.missing, s.method, 1.0) for s in dense], [], [], [], False, 0
     )
-    schema = f"{USER_ID} string, signal string, lo double, hi double, n double, s1 double, s2 double"
+    schema = f"{USER_ID} string, signal string, lo double, hi double, n double, mean double, m2 double"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = list(scorer.ranges(left, right))
-        return pd.concat(found) if found else pd.DataFrame(columns=[USER_ID, "signal", "lo", "hi", "n", "s1", "s2"])
+        return pd.concat(found) if found else pd.DataFrame(columns=[USER_ID, "signal", "lo", "hi", "n", "mean", "m2"])
 
     pairs = _paired(who.select("*", _user_block(user_blocks)), items, user_blocks, item_blocks)
-    mean = F.col("s1") / F.col("n")
+    # Blocks are few per user; their deviations are merged around the common mean.
     return (
         pairs.applyInPandas(run, schema)
         .groupBy(USER_ID, "signal")
@@ -109,8 +114,8 @@ def dense_ranges(
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
             F.sum("n").alias("n"),
-            F.sum("s1").alias("s1"),
-            F.sum("s2").alias("s2"),
+            (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+            F.collect_list(F.struct("n", F.col("mean").alias("m"), "m2")).alias("parts"),
         )
         .select(
             USER_ID,
@@ -118,8 +123,8 @@ def dense_ranges(
             "lo",
             "hi",
             F.col("n").cast("long").alias("n"),
-            mean.alias("mean"),
-            F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"),
+            "mean",
+            F.sqrt(F.aggregate("parts", F.lit(0.0), _deviations) / F.col("n")).alias("sd"),
         )
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,24 +34,28 @@ def fit_all(
     signals: Mapping[str, Signal] = SIGNALS,
     known: Mapping[str, Artifacts] | None = None,
     force: bool = False,
-    keep: bool = True,
+    settle: Callable[[str, Artifacts], Artifacts] = lambda name, fresh: fresh.kept(),
 ) -> Fitted:
     """Learn every active signal that is not in ``known`` (all of them with ``force``).
 
-    With ``keep`` the learned tables are written to the shared folder at once; without, they stay plans.
+    ``settle`` writes what was learned and returns what to read later; by default it goes to the shared
+    folder.  It runs per signal, so that a plan that fails late costs its own signal only.
 
     A signal that cannot be learned, for example factors of an empty table, is skipped and reported; the
-    others still serve.
+    others still serve.  A name that is no signal is an error.
     """
     artifacts: dict[str, Artifacts] = {}
     skipped: dict[str, str] = {}
-    for name in sorted(heuristics.active()):
+    unknown = sorted(set(heuristics.mixture) - set(signals))
+    if unknown:
+        raise ValueError(f"unknown signals: {', '.join(unknown)}")
+    for name in heuristics.mixture:
         if not force and known and name in known:
             artifacts[name] = known[name]
             continue
         try:
             fresh = signals[name].fit(features, heuristics.signals[name].fit_params())
-            artifacts[name] = fresh.kept() if keep else fresh
+            artifacts[name] = settle(name, fresh)
         except Exception as problem:  # noqa: BLE001 - one broken signal must not stop the others
             skipped[name] = f"{type(problem).__name__}: {problem}"
             log.warning("signal %s skipped: %s", name, skipped[name])
@@ -93,7 +97,7 @@ def recommend(
         users,
         pool,
         scores,
-        heuristics.weights(),
+        heuristics.mixture,
         heuristics.filters,
         heuristics.top_k,
         seen,

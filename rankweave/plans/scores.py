@@ -105,8 +105,8 @@ def keyed_scores(
     stats = raw.groupBy(key).agg(
         F.min(x).alias("lo"),
         F.max(x).alias("hi"),
-        F.sum(x).alias("s1"),
-        F.sum(x * x).alias("s2"),
+        F.avg(x).alias("mean"),
+        F.var_pop(x).alias("var"),
         F.count(x).alias("n"),
     )
     if unlisted == "zero":
@@ -115,15 +115,17 @@ def keyed_scores(
         scale = (
             keys.select(key)
             .join(stats, key, "left")
-            .fillna({"lo": 0.0, "hi": 0.0, "s1": 0.0, "s2": 0.0, "n": 0})
+            .fillna({"lo": 0.0, "hi": 0.0, "mean": 0.0, "var": 0.0, "n": 0})
             .withColumn("total", size)
             .withColumn("lo", F.when(gap, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")))
             .withColumn("hi", F.when(gap, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")))
         )
     else:
         scale = stats.withColumn("total", F.col("n"))
-    mean = F.col("s1") / F.col("total")
-    spread = F.greatest(F.col("s2") / F.col("total") - mean * mean, F.lit(0.0))
+    # Listed scores and the zeros of the others, merged around the common mean.
+    share = F.col("n") / F.col("total")
+    spread = share * F.col("var") + share * (1 - share) * F.col("mean") * F.col("mean")
+    mean = share * F.col("mean")
     scale = scale.select(key, "lo", "hi", mean.alias("mean"), F.sqrt(spread).alias("sd"))
     fields = {f: F.col(f) for f in ("lo", "hi", "mean", "sd")}
     floor_value = (

@@ -219,8 +219,11 @@ def score_content(
 
 def fit_als(features: Features, params: Mapping[str, Any]) -> Artifacts:
     """Matrix factorisation.  Ids are indexed before null values are dropped (explicit) or set to 1
-    (implicit), so a user with null values only is known to the index but has no factors."""
-    implicit = bool(params.get("implicit", False))
+    (implicit), so a user with null values only is known to the index but has no factors.
+
+    ``implicit`` follows the kind of the interactions unless it is given."""
+    implied = features.interaction_type is InteractionType.IMPLICIT
+    implicit = bool(params.get("implicit", implied))
     index = IdIndex.fit(features.interactions)
     rated = features.interactions.select(USER_ID, ITEM_ID, VALUE)
     if implicit:
@@ -228,6 +231,8 @@ def fit_als(features: Features, params: Mapping[str, Any]) -> Artifacts:
     else:
         rated = with_value(rated)
     rank = int(params.get("rank", DEFAULT_RANK))
+    # As many blocks as a shuffle has partitions, at least the library's ten.
+    blocks = max(10, int(rated.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     als = ALS(
         rank=rank,
         regParam=float(params.get("reg", DEFAULT_REG)),
@@ -237,6 +242,8 @@ def fit_als(features: Features, params: Mapping[str, Any]) -> Artifacts:
         ratingCol=VALUE,
         implicitPrefs=implicit,
         coldStartStrategy="drop",
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         seed=SEED,
     )
     ints = index.transform(rated, unknown="drop").select(

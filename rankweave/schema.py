@@ -9,6 +9,7 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Names of columns and kinds.
 USER_ID = "user_id"
 ITEM_ID = "item_id"
 VALUE = "value"

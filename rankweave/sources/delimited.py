@@ -176,9 +176,10 @@ def survey_choices(raw: DataFrame) -> DataFrame:
 
 
 def survey_people(raw: DataFrame) -> DataFrame:
-    """Coded answers as text: the codes have no known order."""
-    return raw.select(
-        F.col(SURVEY_ID).cast("string").alias(USER_ID),
+    """Coded answers as text: the codes have no known order.  Ids are trimmed, blank ones drop out."""
+    respondent = F.trim(F.col(SURVEY_ID).cast("string"))
+    return raw.filter(F.length(respondent) > 0).select(
+        respondent.alias(USER_ID),
         *[F.col(c).cast("string").alias(name) for c, name in SURVEY_FEATURES.items()],
     )
 

@@ -1,18 +1,22 @@
 """Feature tables at rest: Parquet folders that are only ever added to, and a log of what is current.
 
 ``interactions/gen=G/stream=S/batch=B``  events, one folder per batch; rewriting a batch replaces it.
-``popularity|recency/version=V``         item aggregates.
+``popularity|recency/version=A``         item aggregates.
 ``user_features|item_features/version=V``
 ``log/entry=V``                          one row per committed change, written last.
 
 A reader takes the newest log row and reads the folders it names, so it never sees half a change and is
-not disturbed by the next one.
+not disturbed by the next one.  Every attempt of a writer uses folders of its own; only the log row of the
+next version decides between two writers.  The one that comes second starts again from the winner's state.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from datetime import date
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +55,18 @@ _STORED = T.StructType(
 )
 
 
+T_ = TypeVar("T_")
+
+
+class Overtaken(Exception):
+    """Another writer has committed this version."""
+
+
+def _unique() -> int:
+    """A folder number no other attempt uses."""
+    return uuid.uuid4().int >> 66
+
+
 @dataclass(frozen=True)
 class State:
     """One log row: which folders make up the tables after a change."""
@@ -96,17 +112,52 @@ class FeatureStore:
 
     def _commit(self, state: State) -> State:
         row = self.spark.createDataFrame([tuple(asdict(state).values())], _LOG)
-        row.coalesce(1).write.mode("overwrite").json(f"{self.root}/log/entry={state.version}")
+        try:
+            row.coalesce(1).write.mode("errorifexists").json(f"{self.root}/log/entry={state.version}")
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_ALREADY_EXISTS":
+                raise Overtaken(state.version) from problem
+            raise
         return state
 
+    def _retried(self, attempt: Callable[[], T_]) -> T_:
+        """Run ``attempt`` until no other writer takes its version first."""
+        while True:
+            try:
+                return attempt()
+            except Overtaken:
+                continue
+
+    def look(self, stream: str, batch: int) -> tuple[State | None, bool]:
+        """The current state and whether the batch is in it, from one reading of the log."""
+        here = (F.col("stream") == stream) & (F.col("batch") == batch)
+        last = F.max_by(F.struct(*_LOG.fieldNames()), "version").alias("last")
+        try:
+            row = self.log().agg(last, F.collect_set(F.when(here, F.col("gen"))).alias("gens")).first()
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None, False
+            raise
+        state = State(**row["last"].asDict()) if row["last"] else None
+        return state, state is not None and state.gen in row["gens"]
+
     def has_batch(self, stream: str, batch: int) -> bool:
-        state = self.state()
-        if state is None:
-            return False
-        done = self.log().filter(
-            (F.col("gen") == state.gen) & (F.col("stream") == stream) & (F.col("batch") == batch)
-        )
-        return not done.isEmpty()
+        return self.look(stream, batch)[1]
+
+    # -- follow-up steps ---------------------------------------------------------------------------
+
+    def followed(self, stream: str, batch: int) -> bool:
+        """Whether what follows a batch, such as a refit, has been done."""
+        try:
+            return not self.spark.read.text(f"{self.root}/followed/stream={stream}/batch={batch}").isEmpty()
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+
+    def mark_followed(self, stream: str, batch: int) -> None:
+        row = self.spark.createDataFrame([("done",)], "value string").coalesce(1)
+        row.write.mode("overwrite").text(f"{self.root}/followed/stream={stream}/batch={batch}")
 
     # -- reading -----------------------------------------------------------------------------------
 
@@ -167,30 +218,31 @@ class FeatureStore:
     def build(self, dataset: Dataset, reference: date, halflife_days: float = 30.0) -> State:
         """All five tables from a dataset.  The source is scanned once; aggregates read what was
         written."""
-        version = self._next()
-        path = self._batch_path(version, "build", 0)
+        number = _unique()
+        path = self._batch_path(number, "build", 0)
         dataset.interactions.select(*INTERACTIONS.fieldNames()).write.mode("overwrite").parquet(path)
         written = self.spark.read.schema(INTERACTIONS).parquet(path)
-        self._write(aggregates.popularity(written), "popularity", version)
-        self._write(aggregates.recency(written, reference, halflife_days), "recency", version)
-        return self._catalog(dataset, version, "build", reference, halflife_days)
+        self._write(aggregates.popularity(written), "popularity", number)
+        self._write(aggregates.recency(written, reference, halflife_days), "recency", number)
+        return self._catalog(dataset, number, "build", reference, halflife_days)
 
     def bootstrap(self, dataset: Dataset, reference: date, halflife_days: float = 30.0) -> State:
         """User and item tables only; interactions and aggregates start empty but typed."""
-        version = self._next()
+        number = _unique()
         empty = self.spark.createDataFrame([], INTERACTIONS)
-        empty.write.mode("overwrite").parquet(self._batch_path(version, "build", 0))
-        self._write(self.spark.createDataFrame([], POPULARITY), "popularity", version)
-        self._write(self.spark.createDataFrame([], RECENCY), "recency", version)
-        return self._catalog(dataset, version, "build", reference, halflife_days)
+        empty.write.mode("overwrite").parquet(self._batch_path(number, "build", 0))
+        self._write(self.spark.createDataFrame([], POPULARITY), "popularity", number)
+        self._write(self.spark.createDataFrame([], RECENCY), "recency", number)
+        return self._catalog(dataset, number, "build", reference, halflife_days)
 
     def _catalog(
-        self, dataset: Dataset, version: int, stream: str, reference: date, halflife: float
+        self, dataset: Dataset, number: int, stream: str, reference: date, halflife: float
     ) -> State:
-        self._write(dataset.users, "user_features", version)
-        self._write(dataset.items, "item_features", version)
-        return self._commit(
-            State(version, version, stream, 0, version, version, reference.isoformat(), halflife)
+        self._write(dataset.users, "user_features", number)
+        self._write(dataset.items, "item_features", number)
+        day = reference.isoformat()
+        return self._retried(
+            lambda: self._commit(State(self._next(), number, stream, 0, number, number, day, halflife))
         )
 
     def _next(self) -> int:
@@ -202,12 +254,16 @@ class FeatureStore:
 
         An empty batch changes nothing.  The aggregates stay as they are until ``refresh`` or ``merge``.
         """
-        state = self.current()
-        number = state.version + 1 if number is None else number
-        rows = self._write_batch(batch, state, stream, number)
-        if rows:
-            self._commit(replace(state, version=state.version + 1, stream=stream, batch=number))
-        return rows
+        number = _unique() if number is None else number
+
+        def attempt() -> int:
+            state = self.current()
+            rows = self._write_batch(batch, state, stream, number)
+            if rows:
+                self._commit(replace(state, version=state.version + 1, stream=stream, batch=number))
+            return rows
+
+        return self._retried(attempt)
 
     def _write_batch(self, batch: DataFrame, state: State, stream: str, number: int) -> int:
         if batch.isEmpty():
@@ -219,23 +275,17 @@ class FeatureStore:
 
     def refresh(self, reference: date, halflife_days: float | None = None) -> State:
         """Recompute both aggregates from all interactions."""
-        state = self.current()
-        halflife = state.halflife if halflife_days is None else halflife_days
-        version = state.version + 1
-        rows = self.interactions()
-        self._write(aggregates.popularity(rows), "popularity", version)
-        self._write(aggregates.recency(rows, reference, halflife), "recency", version)
-        return self._commit(
-            replace(
-                state,
-                version=version,
-                stream="refresh",
-                batch=version,
-                aggregates=version,
-                reference=reference.isoformat(),
-                halflife=halflife,
-            )
-        )
+
+        def attempt() -> State:
+            state, number = self.current(), _unique()
+            halflife = state.halflife if halflife_days is None else halflife_days
+            rows = self.interactions()
+            self._write(aggregates.popularity(rows), "popularity", number)
+            self._write(aggregates.recency(rows, reference, halflife), "recency", number)
+            change = {"version": state.version + 1, "stream": "refresh", "batch": number, "aggregates": number}
+            return self._commit(replace(state, reference=reference.isoformat(), halflife=halflife, **change))
+
+        return self._retried(attempt)
 
     def ingest(self, batch: DataFrame, stream: str, number: int, reference: date) -> int:
         """Append a batch and merge it into the aggregates as one change.
@@ -243,30 +293,27 @@ class FeatureStore:
         A batch that is already in the log is skipped, so redelivery after a failure counts nothing
         twice.  Only the batch and the item-sized aggregates are read, never the history.
         """
-        state = self.current()
-        if self.has_batch(stream, number):
-            return 0
-        rows = self._write_batch(batch, state, stream, number)
-        version = state.version + 1
-        path = self._batch_path(state.gen, stream, number)
-        delta = (
-            self.spark.read.schema(INTERACTIONS).parquet(path)
-            if rows
-            else self.spark.createDataFrame([], INTERACTIONS)
-        )
-        self._write(aggregates.merge_popularity(self.popularity(), delta), "popularity", version)
-        merged = aggregates.merge_recency(
-            self.recency(), state.reference_date, delta, reference, state.halflife
-        )
-        self._write(merged, "recency", version)
-        self._commit(
-            replace(
-                state,
-                version=version,
-                stream=stream,
-                batch=number,
-                aggregates=version,
-                reference=reference.isoformat(),
+
+        def attempt() -> int:
+            state, done = self.look(stream, number)
+            if state is None:
+                raise FileNotFoundError(f"no feature tables at {self.root}")
+            if done:
+                return 0
+            rows = self._write_batch(batch, state, stream, number)
+            path, fresh = self._batch_path(state.gen, stream, number), _unique()
+            delta = (
+                self.spark.read.schema(INTERACTIONS).parquet(path)
+                if rows
+                else self.spark.createDataFrame([], INTERACTIONS)
             )
-        )
-        return rows
+            counts = self._versioned("popularity", state.aggregates)
+            self._write(aggregates.merge_popularity(counts, delta), "popularity", fresh)
+            aged = self._versioned("recency", state.aggregates)
+            merged = aggregates.merge_recency(aged, state.reference_date, delta, reference, state.halflife)
+            self._write(merged, "recency", fresh)
+            change = {"version": state.version + 1, "stream": stream, "batch": number, "aggregates": fresh}
+            self._commit(replace(state, reference=reference.isoformat(), **change))
+            return rows
+
+        return self._retried(attempt)

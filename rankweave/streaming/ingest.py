@@ -34,6 +34,10 @@ def ingest_events(
     ``default_time`` an event without ``ts`` happened now, as in request bodies.
     """
     if store.has_batch(stream, number):
+        # A crash may have come between the batch and what follows it.
+        if after is not None and not store.followed(stream, number):
+            after(store)
+            store.mark_followed(stream, number)
         return 0
     events = events.persist()
     try:
@@ -45,6 +49,7 @@ def ingest_events(
         events.unpersist()
     if after is not None:
         after(store)
+        store.mark_followed(stream, number)
     return rows
 
 

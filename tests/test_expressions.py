@@ -86,7 +86,7 @@ def test_scaling(spark):
     lo, hi = F.lit(2.0), F.lit(6.0)
     assert [r[0] for r in df.select(scaling.minmax(F.col("x"), lo, hi)).collect()] == [0.0, 0.5]
     assert one(spark, scaling.minmax(F.lit(2.0), F.lit(2.0), F.lit(2.0)))[0] == 0.5
-    assert one(spark, scaling.zscore(F.lit(2.0), F.lit(1.0), F.lit(0.0)))[0] == 0.0
+    assert one(spark, scaling.zscore(F.lit(2.0), F.lit(2.0), F.lit(1e-17), F.lit(2.0), F.lit(2.0)))[0] == 0.0
     assert one(spark, scaling.zscore(F.lit(2.0), F.lit(1.0), F.lit(0.5)))[0] == 2.0
     with pytest.raises(ValueError):
         scaling.scaled(F.lit(1.0), {}, "other")
@@ -121,5 +121,5 @@ def test_heuristics_checks():
         Heuristics("d", normalization="softmax")
     h = Heuristics("d", GENERAL_SIGNALS)
     assert h.top_k == 20 and h.normalization == "minmax" and h.filters.exclude_seen
-    assert sorted(h.active()) == ["als_cf", "content", "popularity", "segments", "trends"]
+    assert sorted(h.mixture) == ["als_cf", "content", "popularity", "segments", "trends"]
     assert SignalConfig(0.1, {"k": 3}, {"a": 2.0}).fit_params() == {"k": 3, "feature_weights": {"a": 2.0}}

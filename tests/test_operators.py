@@ -89,18 +89,19 @@ def test_cluster_preferences_null_values(spark):
 
 
 def test_id_index(spark):
-    df = interactions(spark, [("u1", "i1", 4.0), ("u2", "i1", 3.0), ("u1", "i2", 5.0), ("u3", "i3", 2.0)])
+    # ann and bob are equally frequent, cy comes first.
+    df = interactions(spark, [("bob", "pen", 1.0), ("cy", "cup", 2.0), ("ann", "cup", 3.0), ("cy", "pen", 4.0), ("cy", "cup", 5.0)])
     index = IdIndex.fit(df)
-    assert rows_of(index.users, USER_ID, "user_id_int") == [("u1", 0), ("u2", 1), ("u3", 2)]
-    assert rows_of(index.items, ITEM_ID, "item_id_int") == [("i1", 0), ("i2", 1), ("i3", 2)]
-    asked = spark.createDataFrame([("u2",), ("nobody",)], "user_id string")
-    assert rows_of(index.transform(asked), USER_ID, "user_id_int") == [("nobody", 3), ("u2", 1)]
-    assert rows_of(index.transform(asked, "drop"), USER_ID, "user_id_int") == [("u2", 1)]
+    assert rows_of(index.users, USER_ID, "user_id_int") == [("ann", 1), ("bob", 2), ("cy", 0)]
+    assert rows_of(index.items, ITEM_ID, "item_id_int") == [("cup", 0), ("pen", 1)]
+    asked = spark.createDataFrame([("bob",), ("nobody",)], "user_id string")
+    assert rows_of(index.transform(asked), USER_ID, "user_id_int") == [("bob", 2), ("nobody", 3)]
+    assert rows_of(index.transform(asked, "drop"), USER_ID, "user_id_int") == [("bob", 2)]
     back = index.inverse(index.transform(df).select("user_id_int", "item_id_int"))
     assert rows_of(back, USER_ID, ITEM_ID) == rows_of(df, USER_ID, ITEM_ID)
-    assert index.user_idx("u3").first()[0] == 2 and index.user_idx("x").first() is None
-    assert index.item_idx("i2").first()[0] == 1
-    assert index.user_of(0).first()[0] == "u1" and index.item_of(7).first() is None
+    assert index.user_idx("bob").first()[0] == 2 and index.user_idx("x").first() is None
+    assert index.item_idx("pen").first()[0] == 1
+    assert index.user_of(0).first()[0] == "cy" and index.item_of(7).first() is None
 
 
 def test_vectorize_all_columns_and_specs(spark):

@@ -130,15 +130,15 @@ class World:
             parts = {n: p for n, p in parts.items() if p is not None}
             final = {}
             for i in ITEMS:
-                if not any(i in p for p in parts.values()) and not parts:
+                if not any(i in p for p in parts.values()):
                     continue
-                final[i] = round(sum(round(weights[n] * p.get(i, 0.0), 9) for n, p in parts.items()), 9)
+                final[i] = round(sum(round(weights[n] * p.get(i, 0.0), 14) for n, p in parts.items()), 14)
             if filters.exclude_seen:
                 final = {i: s for i, s in final.items() if (u, i) not in self.seen}
             final = {i: s for i, s in final.items() if i not in filters.exclude_items}
             best = sorted(final, key=lambda i: (-final[i], i))[:K]
             for n, i in enumerate(best, 1):
-                shown = {s: round(weights[s] * p.get(i, 0.0), 9) for s, p in parts.items()}
+                shown = {s: round(weights[s] * p.get(i, 0.0), 14) for s, p in parts.items()}
                 out.append((u, n, i, final[i], shown))
         return out
 
@@ -271,5 +271,25 @@ def test_best_keeps_lowest_columns_among_equals():
 def test_fixed_rounds_half_away_from_zero():
     import numpy as np
 
-    x = np.array([0.0009765625, -0.0009765625, 0.5, 0.0])
-    assert list(blocks._fixed(x)) == [0.000976563, -0.000976563, 0.5, 0.0]
+    x = np.array([2 / 3, -2 / 3, 0.5, 0.0])
+    assert list(blocks._fixed(x)) == [0.66666666666667, -0.66666666666667, 0.5, 0.0]
+
+
+def test_far_apart_counts_keep_their_order(spark):
+    candidates = spark.createDataFrame([("a",), ("b",), ("c",)], "item_id string")
+    raw = spark.createDataFrame([("a", 1.0), ("b", 100.0), ("c", 5e11)], "item_id string, raw_score double")
+    users = spark.createDataFrame([("u",)], "user_id string")
+    found = combine(users, candidates, [item_scores("popularity", raw, candidates)], {"popularity": 0.1}, top_k=3)
+    assert [r["item_id"] for r in found.orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+@pytest.mark.parametrize("block", [7, 100])
+@pytest.mark.parametrize("method, flat", [("zscore", 0.0), ("minmax", 0.5)])
+def test_flat_dense_scores(spark, monkeypatch, block, method, flat):
+    monkeypatch.setattr(dense, "ITEM_BLOCK", block)
+    world = World(spark, 1, method)
+    items = spark.createDataFrame([(i, [0.1, 0.7]) for i in ITEMS], "item_id string, features array<double>")
+    tastes = spark.createDataFrame([(u, [0.3, 1 / 3]) for u in USERS], "user_id string, features array<double>")
+    scores = [DenseScores("content", tastes, items, 2, "zero", method)]
+    found = combine(world.users(), world.candidates(), scores, {"content": 1.0}, top_k=2)
+    assert {r["final_score"] for r in found.collect()} == {flat}

@@ -98,6 +98,57 @@ def test_ingest_is_idempotent_and_incremental_equals_full(spark, data, tmp_path)
     assert sorted(r["reason"] for r in rejects.collect()) == ["item_id", "user_id"]
 
 
+def test_two_writers_lose_nothing(spark, data, tmp_path):
+    store, other = (FeatureStore(spark, str(tmp_path / "s")) for _ in range(2))
+    store.build(data, DAY)
+    before = store.interactions().count()
+    a, b = data.interactions.limit(3), data.interactions.limit(4)
+    commit = store._commit
+
+    def late(state):
+        # The other writer commits after this one has read the state and written its rows.
+        store._commit = commit
+        assert other.append(b) == 4
+        other.ingest(b, "other", 1, DAY)
+        return commit(state)
+
+    store._commit = late
+    assert store.ingest(a, "mine", 1, DAY) == 3
+    assert store.interactions().count() == before + 3 + 4 + 4
+    # The appended rows count from the next refresh on; both merged batches count at once.
+    assert sum(r["count"] for r in store.popularity().collect()) == before + 3 + 4
+    store.refresh(DAY)
+    assert pops(store.popularity()) == pops(aggregates.popularity(store.interactions()))
+
+
+def test_a_lost_follow_up_is_made_up(spark, data, tmp_path):
+    store = FeatureStore(spark, str(tmp_path / "s"))
+    store.bootstrap(data, DAY)
+    batch = events.to_messages(data.interactions.limit(5))
+
+    def crash(_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ingest_step(store, batch, 0, reference=lambda: DAY, after=crash)
+    done = []
+    for _ in range(2):
+        ingest_step(store, batch, 0, reference=lambda: DAY, after=done.append)
+    assert len(done) == 1 and store.interactions().count() == 5
+
+
+def test_a_late_failure_costs_one_signal(spark, data, tmp_path):
+    def fit(features, params):
+        return Artifacts({"bad": features.items.select("item_id", F.raise_error(F.lit("late")).alias("x"))})
+
+    mine = {**SIGNALS, "bad": Signal("bad", fit, lambda *a: None)}
+    heuristics = Heuristics("d", {"popularity": SignalConfig(0.5), "bad": SignalConfig(0.5)})
+    fitted = artifacts.fit_saved(Features.of(data, DAY), heuristics, str(tmp_path / "m"), signals=mine)
+    assert list(fitted.artifacts) == ["popularity"] and list(fitted.skipped) == ["bad"]
+    with pytest.raises(ValueError, match="unknown"):
+        fit_all(Features.of(data, DAY), heuristics)
+
+
 def test_bodies_are_ingested_and_signals_refitted(spark, data, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "s"))
     store.bootstrap(data, DAY)
