@@ -12,12 +12,12 @@ whatever its size; the horizon is doubled for a document with a component left e
 
 Plan.
 1. One visit to the texts: a 64-bit number of the multiset (the node; equal for copies), signature, band keys.
-2. In every bucket of a band, all nodes are compared with one of them.  Comparisons are exact, on the grams of
-   the nodes concerned, which a second visit to the texts picks out through a sorted array mapped into memory.
-3. Components of the links found.  A bucket that still holds several components gets another round with other
-   hubs; then the pairs across components whose signatures agree in 0.66 or more of the components (five
-   standard deviations below 0.8) are compared, block against block, so no bucket is cut and no task holds
-   one whole.
+2. In every bucket of a band, all nodes are compared with one of them: first the signatures, which have to agree
+   in 0.66 or more of the components (five standard deviations below 0.8), then exactly, on the grams of the
+   nodes concerned, which a visit to the texts picks out through a sorted array mapped into memory.
+3. Components of the links found.  A large bucket that still holds several components gets other hubs; then the
+   pairs across components are compared the same way, by a join in small buckets and block against block in
+   large ones, so no bucket is cut and no task holds one whole.
 4. Every row gets the smallest id of its class.
 
 With 34 bands of 6 components, a pair of similarity 0.8 shares a bucket with probability 0.99997.
@@ -36,6 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave.llm import hashstore as hs
 from rankweave.llm import text as words
@@ -51,6 +52,7 @@ SIZE = BANDS * ROWS
 SHARE = (5, 4)
 AGREE = 0.66
 BLOCK = 512
+SMALL = 24
 HUB_ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = np.uint64(0xD1B54A32D192ED03)
@@ -95,29 +97,35 @@ def signatures(bags: Bags, m: int = SIZE) -> np.ndarray:
         key, time, value = [], [], []
         low, length, piece = 0, 1, 0
         while len(gram):
+            # Point t of a process has the number seed + t * _STEP, so points are made in growing batches.
             seed, clock = words.mix(gram + np.uint64(int(_PIECE) * piece & (1 << 64) - 1)), np.zeros(len(gram))
-            r, c, limit = row, count, horizon[row]
+            r, c, limit, t, batch = row, count, horizon[row], 1, 1
             while len(seed):
-                seed = seed + _STEP
-                u = words.mix(seed)
-                clock = clock - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (m * length)
-                live = clock <= limit
-                seed, clock, r, c, limit, u = (x[live] for x in (seed, clock, r, c, limit, u))
-                v = words.mix(u)
-                seen = low + (v & np.uint64(0xFFFFF)).astype(float) * (length / (1 << 20)) < c
-                key.append(r[seen] * m + ((v >> np.uint64(32)) % np.uint64(m)).astype(np.int64)[seen])
-                time.append(clock[seen])
+                steps = _STEP * np.arange(t, t + batch, dtype=np.uint64)
+                u = words.mix(seed[:, None] + steps)
+                gaps = -np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (m * length)
+                times = clock[:, None] + np.cumsum(gaps, 1)
+                live = times <= limit[:, None]
+                at = np.nonzero(live)[0]
+                v = words.mix(u[live])
+                seen = low + (v & np.uint64(0xFFFFF)).astype(float) * (length / (1 << 20)) < c[at]
+                key.append(r[at][seen] * m + ((v >> np.uint64(32)) % np.uint64(m)).astype(np.int64)[seen])
+                time.append(times[live][seen])
                 value.append((words.mix(v[seen]) >> np.uint64(32)).astype(np.uint32))
+                go = live[:, -1]
+                seed, clock, r, c, limit = seed[go], times[go, -1], r[go], c[go], limit[go]
+                t, batch = t + batch, min(4 * batch, 256)
             piece += 1
             low, length = (1, 1) if piece == 1 else (2 * low, 2 * length)
             more = count > low
             gram, row, count = gram[more], row[more], count[more]
         key, time, value = np.concatenate(key), np.concatenate(time), np.concatenate(value)
-        order = np.lexsort((time, key))
-        key = key[order]
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        out.reshape(-1)[key[at]] = value[order[at]]
-        full = np.bincount(key[at] // m, minlength=bags.rows) == m
+        # Latest first, so that the earliest point of a component is written last and stays.
+        order = np.argsort(time)[::-1]
+        out.reshape(-1)[key[order]] = value[order]
+        found = np.zeros(bags.rows * m, bool)
+        found[key] = True
+        full = found.reshape(bags.rows, m).all(1)
         out[todo[~full[todo]]] = 0
         todo, spread = todo[~full[todo]], 2 * spread
     return out
@@ -148,26 +156,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32), pa.array(keys[some].ravel()))
         sigs = [sig[k].tobytes() if some[k] else None for k in range(bags.rows)]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary())], names=["id", "node", "bands", "sig"]
+            [rows.column(0), rows.column(1), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary())],
+            names=["id", "key", "node", "bands", "sig"],
         )
 
 
 def _pick(folder: str, shards: int):
-    """The grams of the nodes that are stored, each once per task."""
+    """The grams of the texts whose keys are stored, each once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, sent = hs.Store(folder, shards, {}), set()
-        for _, bags in _bags(batches):
-            nodes = bags.nodes()
-            distinct, place = np.unique(nodes, return_index=True)
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                distinct, place = np.unique(keys, return_index=True)
+                new = [k for k, known in zip(place, store.find(distinct)["index"] >= 0, strict=True) if known and keys[k] not in sent]
+                sent.update(keys[new])
+                yield batch.take(pa.array(new, pa.int64()))
+
+        for rows, bags in _bags(wanted()):
             out = []
-            known = store.find(distinct)["index"] >= 0
-            for node, k in zip(distinct[known], place[known], strict=True):
-                if int(node) in sent:
-                    continue
-                sent.add(int(node))
+            for k, node in enumerate(bags.nodes().view(np.int64).tolist()):
                 a, b = bags.first[k], bags.first[k + 1]
-                out.append((int(node.view(np.int64)), hs.squeeze(bags.gram[a:b]), bags.count[a:b].astype("<u4").tobytes() if (bags.count[a:b] > 1).any() else None))
+                counts = bags.count[a:b]
+                out.append((node, hs.squeeze(bags.gram[a:b]), counts.astype("<u4").tobytes() if (counts > 1).any() else None))
             cols = list(zip(*out, strict=True)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["node", "grams", "counts"]
@@ -197,11 +210,13 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[keep, ["a", "b"]]
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that are alike, written out."""
     pairs = durable(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n")))
-    picked = texts.mapInArrow(_pick(*hs.store(nodes, "n", "nodes")), "node bigint, grams binary, counts binary")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One text of each node is enough.
+    keys = durable(signed.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "keys")
+    picked = texts.mapInArrow(_pick(*hs.store(keys, "key", "keys")), "node bigint, grams binary, counts binary")
     picked = durable(picked.dropDuplicates(["node"]), "grams")
     side = lambda x: picked.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"), F.col("counts").alias(f"c{x}"))
     return durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a bigint, b bigint"), "links")
@@ -236,15 +251,25 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs across components within buckets."""
+    """Pairs across components within buckets whose signatures agree enough.
+
+    Buckets of at most ``SMALL`` nodes give their pairs by a join; larger ones are compared block by block."""
     place = F.row_number().over(W.partitionBy("key").orderBy("node")) - 1
-    rows = rows.withColumn("block", F.floor(place / BLOCK).cast("int"))
-    rows = rows.withColumn("last", F.max("block").over(W.partitionBy("key")))
-    wanted = rows.select("node").distinct()
-    sigs = signed.join(wanted, "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
-    rows = rows.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    return rows.select("key", "lo", "hi", "block", "node", "root", "sig").groupBy("key", "lo", "hi").applyInPandas(_cross, "a bigint, b bigint")
+    rows = rows.withColumn("place", place).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    rows = durable(rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))), "places")
+    few = rows.filter(F.col("n") <= SMALL)
+    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+    near = few.join(other, "key").filter((F.col("place") < F.col("pb")) & (F.col("root") != F.col("rb")))
+    near = _agreeing(near.select(F.col("node").alias("a"), "b"), signed)
+    many = rows.filter(F.col("n") > SMALL)
+    if many.isEmpty():
+        return near
+    sigs = signed.join(many.select("node").distinct(), "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
+    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
+    many = many.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    many = many.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    many = many.select("key", "lo", "hi", "block", "node", "root", "sig").groupBy("key", "lo", "hi")
+    return near.unionByName(many.applyInPandas(_cross, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,44 +279,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without id takes part, and a class whose rows all lack an id has none.  Empty table: no rows.  Other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(_sign, "id bigint, node bigint, bands array<bigint>, sig binary"), "signed")
-    texts = rows.select("text")
+    text = F.col(text_col).cast("string").alias("text")
+    key = F.xxhash64(F.col(text_col).cast("string")).alias("key")
+    signed = docs.select(F.col(id_col).cast("bigint").alias("id"), key, text)
+    signed = durable(signed.mapInArrow(_sign, "id bigint, key bigint, node bigint, bands array<bigint>, sig binary"), "signed")
+    texts = docs.select(key, text)
     members = _members(signed)
     if members.isEmpty():
         roots = signed.select("node", F.col("node").alias("root")).limit(0)
     else:
         hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
         star = members.join(hubs, "key").filter(F.col("node") != F.col("hub"))
-        links = _verify(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts)
+        links = _verify(_agreeing(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), signed), texts, signed)
         roots = durable(components(links), "roots")
         for turn in range(HUB_ROUNDS + 1):
             left = _open_buckets(members, roots)
             if left.isEmpty():
                 break
             if turn < HUB_ROUNDS:
-                order = F.xxhash64("node", F.lit(turn))
-                hubs = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("hub"))
-                pairs = left.join(hubs, "key").filter(F.col("root") != F.col("hub.root"))
-                pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-                pairs = pairs.distinct().join(_agreeing(pairs, signed), ["a", "b"], "left_semi")
+                pairs = _agreeing(_next_hubs(left, turn), signed)
             else:
                 pairs = _blocked(left, signed)
-            more = _verify(pairs, texts)
-            if more.isEmpty():
+            pairs = durable(pairs, "candidates")
+            if pairs.isEmpty():
                 continue
-            links = links.unionByName(more)
+            links = links.unionByName(_verify(pairs, texts, signed))
             roots = durable(components(links), "roots")
     rows = signed.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.groupBy("root").agg(F.min("id").alias("class_id"))
     return rows.join(least, "root").select("id", "node", "root", "class_id")
 
 
+def _next_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """In large buckets, the nodes outside the component of another hub, paired with it."""
+    order = F.xxhash64("node", F.lit(turn))
+    hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("hub"), F.count(F.lit(1)).alias("n"))
+    pairs = rows.join(hubs.filter(F.col("n") > SMALL), "key").filter(F.col("root") != F.col("hub.root"))
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+
+
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in enough components to be worth a comparison."""
+    pairs = durable(pairs.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sigs = signed.join(wanted, "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
-    both = pairs.distinct().join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
     both = both.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,8 +348,7 @@ def _with_nodes(rows: DataFrame, text_col: str) -> DataFrame:
         for part, bags in _bags(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags.nodes().view(np.int64))], names=["whole", "node"])
 
-    whole = packed.schema["whole"].dataType.simpleString()
-    return packed.mapInArrow(run, f"whole {whole}, node bigint")
+    return packed.mapInArrow(run, T.StructType([packed.schema["whole"], T.StructField("node", T.LongType())]))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
