@@ -62,14 +62,14 @@ class Tokens:
         self.place = (np.arange(len(found)) - begin) % CHAIN
         self.chain = np.cumsum(self.place == 0) - 1
 
-    def features(self) -> np.ndarray:
-        """tokens x KINDS places."""
+    def features(self) -> list[np.ndarray]:
+        """Places by kind of feature."""
         before, after = np.roll(self.word, 1), np.roll(self.word, -1)
         first = self.place == 0
         before[first] = 1
         after[np.roll(first, -1)] = 2
         kinds = [self.word, *self.heads, self.tail, before, after]
-        return np.stack([(words.mix(k + np.uint64(j + 1)) >> np.uint64(64 - BITS)).astype(np.int32) for j, k in enumerate(kinds)], 1)
+        return [(words.mix(k + np.uint64(j + 1)) >> np.uint64(64 - BITS)).astype(np.int32) for j, k in enumerate(kinds)]
 
     def evidence(self) -> np.ndarray:
         """Places of the word and its beginnings, a row per token."""
@@ -186,7 +186,7 @@ def _label(folder: str, shards: int, strong: np.ndarray):
             best = np.zeros(tokens.rows)
             np.maximum.at(best, tokens.row, held)
             toxic = (held > 0) & (held >= best[tokens.row] / 4) & (label[tokens.row] == 1)
-            table = np.concatenate([tokens.features(), tokens.place[:, None], toxic[:, None]], 1).astype("<i4")
+            table = np.stack([*tokens.features(), tokens.place, toxic], 1).astype("<i4")
             ends = np.searchsorted(tokens.row, np.arange(tokens.rows + 1))
             data = [codec.compress(table[a:b].tobytes(), asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             sizes = [int(b - a).to_bytes(8, "little") for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -202,6 +202,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * (KINDS + 2) * 4, asbytes=True), "<i4").reshape(n, KINDS + 2)
 
 
+def _gain(w: np.ndarray, kinds) -> np.ndarray:
+    """The advantage of the toxic state for every token, from its places by kind."""
+    out = np.full(len(kinds[0]), w[-1])
+    for k in kinds:
+        out += w[k]
+    return out
+
+
 def train(features: np.ndarray, chain: np.ndarray, place: np.ndarray, toxic: np.ndarray, rounds: int = 60, keep: float = 3e-5):
     """Weights of the places (the last is the bias) and moves that maximise the regularised likelihood."""
     size = (1 << BITS) + 1
@@ -210,13 +218,14 @@ def train(features: np.ndarray, chain: np.ndarray, place: np.ndarray, toxic: np.
     follow = np.flatnonzero(place[1:] > 0)
     gold = np.zeros((2, 2))
     np.add.at(gold, (toxic[follow], toxic[follow + 1]), 1)
-    flat, n = features.ravel(), max(1.0, float(toxic.sum()))
+    kinds, n = [np.ascontiguousarray(k) for k in features.T], max(1.0, float(toxic.sum()))
     momentum, square = [np.zeros(size), np.zeros((2, 2))], [np.zeros(size), np.zeros((2, 2))]
     for turn in range(1, rounds + 1):
-        post, moves, _ = marginals(w[features].sum(1) + w[-1], chain, place, move)
+        post, moves, _ = marginals(_gain(w, kinds), chain, place, move)
         miss = toxic - post
         grad = np.zeros(size)
-        grad[:-1] = np.bincount(flat, np.repeat(miss, features.shape[1]), size - 1)
+        for k in kinds:
+            grad[:-1] += np.bincount(k, miss, size - 1)
         grad[-1] = miss.sum()
         for value, g, m, s in ((w, grad / n - keep * w, momentum[0], square[0]), (move, (gold - moves) / n - keep * move, momentum[1], square[1])):
             m *= 0.9
@@ -245,7 +254,7 @@ def _fitted(share: tuple[float, float]):
         w, move = train(both[:, :KINDS], chain, both[:, KINDS], both[:, KINDS + 1])
         rows = np.concatenate([np.full(len(tables[k]), j) for j, k in enumerate(np.flatnonzero(test))]).astype(np.int64)
         left = np.concatenate([tables[k] for k in np.flatnonzero(test)])
-        post, _, _ = marginals(w[left[:, :KINDS]].sum(1) + w[-1], np.cumsum(left[:, KINDS] == 0) - 1, left[:, KINDS], move)
+        post, _, _ = marginals(_gain(w, left[:, :KINDS].T), np.cumsum(left[:, KINDS] == 0) - 1, left[:, KINDS], move)
         z, seen = summary(post, rows, int(test.sum())), y[test]
         weight = np.where(seen == 1, share[1] / max(1, (seen == 1).sum()), share[0] / max(1, (seen == 0).sum())) * len(seen)
         a, b = lb.calibrate(z, seen, weight)
@@ -277,10 +286,10 @@ _TAGGED = "score double, predicted int, spans string"
 
 def _tag(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.weights.astype(np.float32)
+        w = model.weights
         for batch, tokens in _sliced(batches, 1):
-            gain = w[tokens.features()].sum(1) + w[-1]
-            post, _, _ = marginals(gain.astype(float), tokens.chain, tokens.place, model.move)
+            gain = _gain(w, tokens.features())
+            post, _, _ = marginals(gain, tokens.chain, tokens.place, model.move)
             p = lb.sigmoid(model.slope * summary(post, tokens.row, tokens.rows) + model.shift)
             spans = [""] * tokens.rows
             hit = np.flatnonzero(post >= 0.5)
@@ -300,10 +309,10 @@ def _tag(model: Model):
 
 def _mild(model: Model, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.weights.astype(np.float32)
+        w = model.weights
         for batch, tokens in _sliced(batches, column):
-            gain = w[tokens.features()].sum(1) + w[-1]
-            post, _, _ = marginals(gain.astype(float), tokens.chain, tokens.place, model.move)
+            gain = _gain(w, tokens.features())
+            post, _, _ = marginals(gain, tokens.chain, tokens.place, model.move)
             p = lb.sigmoid(model.slope * summary(post, tokens.row, tokens.rows) + model.shift)
             yield batch.filter(pa.array(p < 0.5))
 
