@@ -78,9 +78,25 @@ def test_a_chain_is_one_class(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(want)
 
 
+def test_copies_linked_through_their_original_only(spark):
+    rng, base = random.Random(8), [f"c{i}" for i in range(400)]
+    rows = [(500, " ".join(base))]
+    for k in range(80):
+        other = list(base)
+        for at in rng.sample(range(400), 8):
+            other[at] = f"d{k}x{at}"
+        rows.append((k, " ".join(other)))
+    want, classes = brute(rows)
+    mutual = [likeness(bag(rows[i][1]), bag(rows[i + 1][1])) for i in range(1, 80)]
+    assert classes < 5 and np.mean(np.array(mutual) < 0.8) > 0.9
+    found = bm.near_duplicates(awkward(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(want)
+
+
 def test_blocks_find_what_hubs_missed(spark, monkeypatch):
     monkeypatch.setattr(bm, "HUB_ROUNDS", 0)
     monkeypatch.setattr(bm, "BLOCK", 3)
+    monkeypatch.setattr(bm, "SMALL", 2)
     rows = corpus(9)
     want, classes = brute(rows)
     found = bm.near_duplicates(awkward(spark, rows)).select("doc_id", "class_id").distinct().count()
