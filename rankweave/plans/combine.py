@@ -4,9 +4,9 @@
 renormalised when a signal is cold.  Seen and excluded items leave after scaling and summing.
 
 ``combine`` never writes users x items rows.  Items that no user-level score touches come in the same
-order for everybody in a group, so a user's best ``k`` of them are among the first ``k + b`` places of
-that group's list, ``b`` being the number of the user's seen or individually scored items.  Only those
-places are read; their number is at most ``k`` per user plus one per seen pair, and the result is exact.
+order for everybody in a group, so a user's best ``k`` of them are among the first places of that group's
+list, as many as hold ``k`` items that are neither seen nor individually scored.  Only those places are
+read; their number follows what a user has seen near the top, and the result is exact.
 """
 
 from __future__ import annotations
@@ -105,6 +105,41 @@ def listed_contributions(
     )
 
 
+def needed_places(who: DataFrame, ordered: DataFrame, skip: DataFrame | None, k: int) -> DataFrame:
+    """``who`` with ``limit``, a number of first places of the common list that hold ``k`` items the user may
+    get, and ``most``, which does for any list of the same items.
+
+    Passed items are counted per user in doubling ranges of places.  The first power of two that leaves
+    ``k`` others is enough: it grows with what a user has passed near the top, not with the whole history.
+    """
+    if skip is None:
+        return who.withColumn("limit", F.lit(k).cast("long")).withColumn("most", F.col("limit"))
+    size = ordered.agg(F.count(F.lit(1))).scalar()
+    at = skip.join(ordered.select(ITEM_ID, "pos"), ITEM_ID)
+    level = F.ceil(F.log2(F.col("pos") + 1)).cast("int")
+    counts = at.groupBy(USER_ID, level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    # At most 63 levels per user.
+    passed = counts.groupBy(USER_ID).agg(
+        F.collect_list(F.struct("level", "n")).alias("_levels"), F.sum("n").alias("_passed")
+    )
+
+    def free(j: Column) -> Column:
+        below = F.filter("_levels", lambda x: x["level"] <= j)
+        return F.pow(F.lit(2.0), j) - F.aggregate(below, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    most = F.lit(k).cast("long") + F.coalesce(F.col("_passed"), F.lit(0))
+    start = F.lit(max(0, (k - 1).bit_length()))
+    levels = F.sequence(start, F.ceil(F.log2(F.col("most"))).cast("int") + 1)
+    enough = F.pow(F.lit(2.0), F.filter(levels, lambda j: free(j) >= k)[0]).cast("long")
+    limit = F.when(F.col("_levels").isNull(), F.col("most")).otherwise(F.least(enough, "most"))
+    return (
+        who.join(passed, USER_ID, "left")
+        .withColumn("most", F.least(most, size))
+        .withColumn("limit", F.least(limit, size))
+        .drop("_levels", "_passed")
+    )
+
+
 def places(df: DataFrame, limit: str) -> DataFrame:
     """One row per place 0 .. ``limit`` - 1, column ``pos``."""
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(limit) - 1) / CHUNK)))
@@ -221,27 +256,24 @@ def _sparse(
         )
         # Read three times below.
         own = durable(own, "own")
-    passed = [d.select(USER_ID, ITEM_ID) for d in (seen, own) if d is not None]
-    if passed:
-        skip = reduce(DataFrame.unionByName, passed)
-        counts = skip.groupBy(USER_ID).agg(F.count(F.lit(1)).alias("_skip"))
-        limits = who.join(counts, USER_ID, "left").withColumn(
-            "limit", F.lit(k).cast("long") + F.coalesce(F.col("_skip"), F.lit(0))
-        )
-    else:
-        skip = None
-        limits = who.withColumn("limit", F.lit(k).cast("long"))
-
     order = [F.desc("_total"), F.asc(ITEM_ID)]
     ordered = number_rows(
         base.withColumn("_total", total([F.col(contribution(s.signal)) for s in item_s])), order
     ).drop("_total")
+    passed = [d.select(USER_ID, ITEM_ID) for d in (seen, own) if d is not None]
+    skip = reduce(DataFrame.unionByName, passed) if passed else None
+    # Read twice by group lists.
+    limits = durable(needed_places(who, ordered, skip, k), "limits") if group_s else needed_places(who, ordered, skip, k)
     # The same rows, but read from the written table.
     base = ordered.drop("pos")
     listed = None
     if group_s:
         combos = limits.groupBy("lst", *groups).agg(F.max("limit").alias("depth"))
         listed, whole = _group_lists(combos, base, ordered, group_s, weights)
+        # Listed items may stand before the common ones.
+        taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
+        deep = F.col("limit") + F.coalesce(F.col("_taken"), F.lit(0))
+        limits = limits.join(taken, "lst", "left").withColumn("limit", F.least(deep, "most"))
         lists = number_rows(
             whole.withColumn("_total", total([F.col(c) for c in shared])), order, ["lst"]
         ).select("lst", "pos", ITEM_ID, *shared)

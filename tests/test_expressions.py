@@ -87,7 +87,7 @@ def test_scaling(spark):
     assert [r[0] for r in df.select(scaling.minmax(F.col("x"), lo, hi)).collect()] == [0.0, 0.5]
     assert one(spark, scaling.minmax(F.lit(2.0), F.lit(2.0), F.lit(2.0)))[0] == 0.5
     assert one(spark, scaling.zscore(F.lit(2.0), F.lit(2.0), F.lit(1e-17), F.lit(2.0), F.lit(2.0)))[0] == 0.0
-    assert one(spark, scaling.zscore(F.lit(2.0), F.lit(1.0), F.lit(0.5)))[0] == 2.0
+    assert one(spark, scaling.zscore(F.lit(2.0), F.lit(1.0), F.lit(0.5), F.lit(0.0), F.lit(2.0)))[0] == 2.0
     with pytest.raises(ValueError):
         scaling.scaled(F.lit(1.0), {}, "other")
 
