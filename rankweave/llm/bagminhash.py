@@ -12,13 +12,16 @@ whatever its size; the horizon is doubled for a document with a component left e
 
 Plan.
 1. One visit to the texts: a 64-bit number of the multiset (the node; equal for copies), signature, band keys.
-2. In every bucket of a band, all nodes are compared with one of them: first the signatures, which have to agree
-   in 0.66 or more of the components (five standard deviations below 0.8), then exactly, on the grams of the
-   nodes concerned, which a visit to the texts picks out through a sorted array mapped into memory.
-3. Components of the links found.  A large bucket that still holds several components gets other hubs; then the
-   pairs across components are compared the same way, by a join in small buckets and block against block in
-   large ones, so no bucket is cut and no task holds one whole.
-4. Every row gets the smallest id of its class.
+2. The hub of a bucket is its node with most company over all its buckets: an original rather than one of its
+   copies.  Every node is compared with the best of its hubs: first a piece of the signatures, which has to agree
+   in 0.55 or more of 64 components, then exactly, on the grams of the nodes concerned, which a visit to the texts
+   picks out through a sorted array mapped into memory.
+3. Components of the links found.  The other hubs of a node follow where the components differ.
+4. What is left are buckets that hold several components, mostly texts that share a passage without being alike.
+   Their nodes are joined exactly: grams are ordered by how many of these texts hold them, rare ones first, and two
+   texts that are alike share a gram among the first ones of both, before the last 0.8 of their weight.  A common
+   passage is not among them unless it is nearly the whole text.
+5. Every row gets the smallest id of its class.
 
 With 34 bands of 6 components, a pair of similarity 0.8 shares a bucket with probability 0.99997.
 """
@@ -50,10 +53,9 @@ BANDS, ROWS = 34, 6
 SIZE = BANDS * ROWS
 # A pair is alike if SHARE[0] * smaller >= SHARE[1] * larger counts.
 SHARE = (5, 4)
-AGREE = 0.66
-BLOCK = 512
-SMALL = 24
-HUB_ROUNDS = 2
+# Components kept to compare signatures, and the share of them that has to agree: five standard deviations
+# below 0.8.
+SKETCH, AGREE = 64, 0.55
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = np.uint64(0xD1B54A32D192ED03)
 
@@ -154,30 +156,36 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(sig).view(np.int64)
         some = nodes != 0
         lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32), pa.array(keys[some].ravel()))
-        sigs = [sig[k].tobytes() if some[k] else None for k in range(bags.rows)]
+        sigs = [sig[k, :SKETCH].tobytes() if some[k] else None for k in range(bags.rows)]
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), rows.column(1), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary())],
             names=["id", "key", "node", "bands", "sig"],
         )
 
 
-def _pick(folder: str, shards: int):
-    """The grams of the texts whose keys are stored, each once per task."""
+def _wanted(folder: str, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Bags]]:
+    """Nodes and bags of the texts whose keys are stored, each text once per task."""
+    store, sent = hs.Store(folder, shards, {}), set()
+
+    def chosen() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            distinct, place = np.unique(keys, return_index=True)
+            new = [k for k, known in zip(place, store.find(distinct)["index"] >= 0, strict=True) if known and keys[k] not in sent]
+            sent.update(keys[new])
+            yield batch.take(pa.array(new, pa.int64()))
+
+    for _, bags in _bags(chosen()):
+        yield bags.nodes().view(np.int64), bags
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, sent = hs.Store(folder, shards, {}), set()
 
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(0).to_numpy().view(np.uint64)
-                distinct, place = np.unique(keys, return_index=True)
-                new = [k for k, known in zip(place, store.find(distinct)["index"] >= 0, strict=True) if known and keys[k] not in sent]
-                sent.update(keys[new])
-                yield batch.take(pa.array(new, pa.int64()))
+def _pick(folder: str, shards: int):
+    """The grams of the texts whose keys are stored."""
 
-        for rows, bags in _bags(wanted()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, bags in _wanted(folder, shards, batches):
             out = []
-            for k, node in enumerate(bags.nodes().view(np.int64).tolist()):
+            for k, node in enumerate(nodes.tolist()):
                 a, b = bags.first[k], bags.first[k + 1]
                 counts = bags.count[a:b]
                 out.append((node, hs.squeeze(bags.gram[a:b]), counts.astype("<u4").tobytes() if (counts > 1).any() else None))
@@ -189,6 +197,49 @@ def _pick(folder: str, shards: int):
     return run
 
 
+def _holders(folder: str, shards: int):
+    """``(gram, n)``: how many of the stored texts hold a gram, summed per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            grams, n = hs.merge_counts(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+        for _, bags in _wanted(folder, shards, batches):
+            held.append((bags.gram, np.ones(len(bags.gram), np.int64)))
+            if sum(len(g) for g, _ in held) > 1 << 21:
+                yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+def _prefixes(folder: str, shards: int, ranks: tuple[str, int]):
+    """``(node, gram)``: the grams that begin a text's order, of those that several texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = hs.Store(*ranks, {"value": "i1"})
+        for nodes, bags in _wanted(folder, shards, batches):
+            distinct, place = np.unique(bags.gram, return_inverse=True)
+            rank = store.find(distinct)["value"][place]
+            order = np.lexsort((bags.gram, rank, bags.row))
+            weight, row = bags.count[order], bags.row[order]
+            sums = np.concatenate(([0], np.cumsum(weight)))
+            # Weight of the text from a gram on; rows are contiguous.
+            rest = sums[bags.first[1:]][row] - sums[:-1]
+            whole = np.diff(sums[bags.first])[row]
+            keep = (SHARE[0] * rest >= SHARE[1] * whole) & (rank[order] > 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[row[keep]]), pa.array(bags.gram[order][keep].view(np.int64))], names=["node", "gram"]
+            )
+
+    return run
+
+
 def _bag(grams: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     keys = hs.unsqueeze(grams)
     return keys, (np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(keys), np.int64))
@@ -210,30 +261,34 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[keep, ["a", "b"]]
 
 
+def _texts_of(nodes: DataFrame, signed: DataFrame) -> tuple[str, int]:
+    """A store of text keys, one for each of the nodes."""
+    keys = signed.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
+    return hs.store(durable(keys, "keys"), "key", "keys")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that are alike, written out."""
     pairs = durable(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # One text of each node is enough.
-    keys = durable(signed.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "keys")
-    picked = texts.mapInArrow(_pick(*hs.store(keys, "key", "keys")), "node bigint, grams binary, counts binary")
-    picked = durable(picked.dropDuplicates(["node"]), "grams")
+    stored = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), signed)
+    picked = durable(texts.mapInArrow(_pick(*stored), "node bigint, grams binary, counts binary").dropDuplicates(["node"]), "grams")
     side = lambda x: picked.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"), F.col("counts").alias(f"c{x}"))
     return durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a bigint, b bigint"), "links")
 
 
-def _cross(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks whose signatures agree enough, across components."""
-    out = []
-    own = left[left["block"] == key[1]]
-    other = left[left["block"] == key[2]]
-    sig = np.frombuffer(b"".join(other["sig"]), np.uint32).reshape(len(other), SIZE)
-    roots, nodes = other["root"].to_numpy(), other["node"].to_numpy()
-    for node, root, mine in zip(own["node"], own["root"], own["sig"], strict=True):
-        near = (sig == np.frombuffer(mine, np.uint32)).mean(1) >= AGREE
-        for j in np.flatnonzero(near & (roots != root) & ((nodes > node) | (key[1] != key[2]))):
-            out.append((node, nodes[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _leftover_pairs(nodes: DataFrame, roots: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidate pairs across components among some nodes; holds every pair of them that is alike."""
+    stored = _texts_of(nodes, signed)
+    holders = texts.mapInArrow(_holders(*stored), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    several = durable(holders.filter(F.col("n") > 1).select("gram", F.least("n", F.lit(127)).cast("int").alias("n")), "holders")
+    ranks = hs.store(several, "gram", "ranks", "n")
+    first = durable(texts.mapInArrow(_prefixes(*stored, ranks), "node bigint, gram bigint").distinct(), "prefixes")
+    known = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select("gram")
+    left = durable(known.join(mixed, "gram").select("gram", "node", "root"), "prefixes")
+    right = left.select("gram", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = left.join(right, "gram").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -243,33 +298,29 @@ def _members(signed: DataFrame) -> DataFrame:
     return durable(rows.join(mixed, "key").select("key", "node").distinct(), "buckets")
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their roots, of the buckets that hold several components."""
+def _star(members: DataFrame) -> DataFrame:
+    """``(a, b, degree)``: a node b and the hub a of one of its buckets, with the hub's company."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = durable(members.join(degrees, "node"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    star = ranked.select("key", "node").join(hubs, "key").filter(F.col("node") != F.col("hub.node"))
+    return star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "hub.degree")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component."""
+    for x in ("a", "b"):
+        mine = roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        pairs = pairs.join(mine, x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    return pairs.filter(F.col("ra") != F.col("rb")).select("a", "b")
+
+
+def _open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of the buckets that hold several components."""
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-    return durable(known.join(mixed, "key").select("key", "node", "root"), "open")
-
-
-def _blocked(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs across components within buckets whose signatures agree enough.
-
-    Buckets of at most ``SMALL`` nodes give their pairs by a join; larger ones are compared block by block."""
-    place = F.row_number().over(W.partitionBy("key").orderBy("node")) - 1
-    rows = rows.withColumn("place", place).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
-    rows = durable(rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))), "places")
-    few = rows.filter(F.col("n") <= SMALL)
-    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"))
-    near = few.join(other, "key").filter((F.col("place") < F.col("pb")) & (F.col("root") != F.col("rb")))
-    near = _agreeing(near.select(F.col("node").alias("a"), "b"), signed)
-    many = rows.filter(F.col("n") > SMALL)
-    if many.isEmpty():
-        return near
-    sigs = signed.join(many.select("node").distinct(), "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
-    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
-    many = many.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    many = many.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    many = many.select("key", "lo", "hi", "block", "node", "root", "sig").groupBy("key", "lo", "hi")
-    return near.unionByName(many.applyInPandas(_cross, "a bigint, b bigint"))
+    return durable(known.join(mixed, "key").select("node").distinct(), "open")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,36 +339,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if members.isEmpty():
         roots = signed.select("node", F.col("node").alias("root")).limit(0)
     else:
-        hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-        star = members.join(hubs, "key").filter(F.col("node") != F.col("hub"))
-        links = _verify(_agreeing(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), signed), texts, signed)
+        star = durable(_star(members), "star")
+        first = star.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("hub")).select("hub.a", "b")
+        links = _verify(_agreeing(first, signed), texts, signed)
         roots = durable(components(links), "roots")
-        for turn in range(HUB_ROUNDS + 1):
-            left = _open_buckets(members, roots)
-            if left.isEmpty():
-                break
-            if turn < HUB_ROUNDS:
-                pairs = _agreeing(_next_hubs(left, turn), signed)
-            else:
-                pairs = _blocked(left, signed)
-            pairs = durable(pairs, "candidates")
-            if pairs.isEmpty():
-                continue
-            links = links.unionByName(_verify(pairs, texts, signed))
+        rest = _apart(star.select("a", "b").distinct(), roots)
+        rest = durable(_agreeing(rest, signed), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(_verify(rest, texts, signed))
             roots = durable(components(links), "roots")
+        left = _open_nodes(members, roots)
+        if not left.isEmpty():
+            pairs = durable(_agreeing(_leftover_pairs(left, roots, texts, signed), signed), "candidates")
+            if not pairs.isEmpty():
+                links = links.unionByName(_verify(pairs, texts, signed))
+                roots = durable(components(links), "roots")
     rows = signed.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.groupBy("root").agg(F.min("id").alias("class_id"))
     return rows.join(least, "root").select("id", "node", "root", "class_id")
 
 
-def _next_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """In large buckets, the nodes outside the component of another hub, paired with it."""
-    order = F.xxhash64("node", F.lit(turn))
-    hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("hub"), F.count(F.lit(1)).alias("n"))
-    pairs = rows.join(hubs.filter(F.col("n") > SMALL), "key").filter(F.col("root") != F.col("hub.root"))
-    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-
-
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in enough components to be worth a comparison."""
     pairs = durable(pairs.distinct(), "pairs")

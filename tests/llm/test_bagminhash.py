@@ -93,14 +93,13 @@ def test_copies_linked_through_their_original_only(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(want)
 
 
-def test_blocks_find_what_hubs_missed(spark, monkeypatch):
-    monkeypatch.setattr(bm, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(bm, "BLOCK", 3)
-    monkeypatch.setattr(bm, "SMALL", 2)
-    rows = corpus(9)
-    want, classes = brute(rows)
-    found = bm.near_duplicates(awkward(spark, rows)).select("doc_id", "class_id").distinct().count()
-    assert found == len(set(want))
+def test_the_exact_join_finds_what_hubs_miss(spark, monkeypatch):
+    monkeypatch.setattr(bm, "_star", lambda members: members.selectExpr("node a", "node b", "0L degree").limit(0))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = corpus(9) + [(2000 + k, " ".join(f"q{k}x{i}" for i in range(30)) + " " + passage) for k in range(40)]
+    want, _ = brute(rows)
+    found = bm.near_duplicates(awkward(spark, rows)).select("doc_id", "class_id").collect()
+    assert sorted(map(str, found)) == sorted(f"Row(doc_id={i}, class_id={c})" for i, c in want)
 
 
 def test_nothing_shared(spark):
