@@ -169,11 +169,11 @@ WEIGHTS = {"popularity": 0.1, "trends": 0.3, "segments": 0.6}
 
 def combine_pairs_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     """Breakdown of every bought pair, signal frames glued by full outer joins."""
-    return combine_full_outer(_pair_scores(spark, folder), WEIGHTS)
+    return rounded(combine_full_outer(_pair_scores(spark, folder), WEIGHTS))
 
 
 def combine_pairs_union(spark: SparkSession, folder: str) -> DataFrame:
-    return combine_union(_pair_scores(spark, folder), WEIGHTS)
+    return rounded(combine_union(_pair_scores(spark, folder), WEIGHTS))
 
 
 def exclude_seen(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,7 +281,8 @@ _PAIRS = f"""WITH {RETAIL}, {POPULARITY}, {_TRENDS}, {SEGMENTS},
           FROM (SELECT DISTINCT user_id, item_id FROM ri) i JOIN ru USING (user_id)
           JOIN pop ON pop.item_id = i.item_id JOIN tr ON tr.item_id = i.item_id
           JOIN seg ON seg.grp = ru.segment AND seg.item_id = i.item_id)
-    SELECT *, round(c_popularity + c_trends + c_segments, 14) final_score FROM c"""
+    SELECT user_id, item_id, round(c_popularity, 6) c_popularity, round(c_trends, 6) c_trends,
+           round(c_segments, 6) c_segments, round(c_popularity + c_trends + c_segments, 6) final_score FROM c"""
 _OLD = """
 old AS (SELECT DISTINCT user_id, item_id FROM ri WHERE ts < TIMESTAMP '2001-01-01'),
 new AS (SELECT DISTINCT user_id, item_id FROM ri WHERE ts >= TIMESTAMP '2001-01-01')"""
