@@ -1,7 +1,8 @@
 """Licence scan by sentences: known sentences become identifiers, sequences of identifiers match ordered rules.
 
-A text is cut into sentences, which are lower-cased and stripped of marks.  A sentence that equals a known one
-gets its identifier; the others are left out.  A rule is an ordered run of identifiers; it matches where that run
+A text is cut into pieces at line breaks and after any of ``.!?;:``; pieces are lower-cased and stripped of marks
+and comment leaders.  A run of pieces that nothing but single line breaks, ';' and ':' part and that reads as a
+known sentence gets its identifier, whatever its wrapping; the others are left out.  A rule is an ordered run of identifiers; it matches where that run
 stands in the sequence of the text.  All work is column expressions over one row, with the fixed sentences and
 rules as constants: there is no shuffle.
 """
@@ -62,25 +63,71 @@ RULES = (
 
 # Every known sentence contains one of these, so a text without them needs no cutting.
 _GATE = r"(?i)licens|permission|warrant|redistrib|rights reserved"
-# A sentence ends at a line break that an empty or new sentence follows, or at a mark before white space.
+# The same for text that may be wrapped.
+_WRAPPED_GATE = _GATE + "|reserved"
+# A piece ends at a line break, or at a mark before white space.  A known sentence may run over several pieces.
 _CUT = r"[.!?;:]+(?:\s+|$)|\n+"
+# Comment leaders that are words; the others are marks.
+_LEADER = r"^(?:dnl|rem|c)(?: |$)"
+# What a run of pieces that becomes a known sentence can begin with, and the most pieces it can have.
+_BEGINNINGS = sorted({" ".join(k.split()[:n]) for k in SENTENCES for n in range(1, len(k.split()) + 1)})
+_MOST = max(len(k.split()) for k in SENTENCES)
+
+
+def _plain(s: Column) -> Column:
+    """Lower case; runs of anything but letters, digits and inner full stops become one space."""
+    s = F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.]+|\.+(?!\p{N})", " "))
+    return F.regexp_replace(F.regexp_replace(s, " +", " "), _LEADER, "")
+
+
+def _found(pieces: Column, cuts: Column) -> Column:
+    """Known sentences among the pieces; ``cuts`` are the separators behind them."""
+    broken = lambda i: F.coalesce(F.get(cuts, i), F.lit("\n")).contains("\n")
+    # A mark ends a sentence unless it is a leader, i.e. no word stands between it and the cut before; so does
+    # a line without words.
+    ends = F.transform(
+        cuts,
+        lambda c, i: c.rlike(r"\n\s*\n")
+        | F.when(F.get(pieces, i) == "", broken(i - 1) & c.contains("\n")).otherwise(c.rlike("[.!?]")),
+    )
+    worded = F.transform(pieces, lambda s, i: F.struct(i.alias("n"), s.alias("s")))
+    worded = F.filter(worded, lambda x: x["s"] != "")
 
+    def longest(w: Column, ends: Column) -> Column:
+        """How many pieces from the first of ``w`` make a known sentence; null if no number does."""
+        first = F.get(w, F.lit(0))["n"]
+        reads = lambda j: F.concat_ws(" ", F.transform(F.slice(w, 1, j), lambda x: x["s"])).isin(list(SENTENCES))
+        whole = lambda j: ~F.exists(F.slice(ends, first + 1, F.get(w, j - 1)["n"] - first), lambda e: e)
+        return F.array_max(F.filter(F.sequence(F.lit(1), F.size(w)), lambda j: reads(j) & whole(j)))
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order; some are empty.
+    def runs(w: Column, ends: Column) -> Column:
+        starts = F.transform(w, lambda x, i: F.struct(i.alias("i"), x["n"].alias("n"), x["s"].alias("s")))
+        starts = F.filter(starts, lambda x: x["s"].isin(_BEGINNINGS))
 
-    Lower case; runs of anything but letters, digits and inner full stops become one space."""
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.]+|\.+(?!\p{N})", " "))
-    return F.transform(F.split(text, _CUT, -1), lambda s: F.regexp_replace(plain(s), " +", " "))
+        def run(x: Column) -> Column:
+            window = F.slice(w, x["i"] + 1, _MOST)
+            return let(window, lambda v: let(longest(v, ends), lambda n: F.struct(
+                x["i"].alias("i"), x["n"].alias("n"), (x["i"] + n).alias("end"),
+                F.concat_ws(" ", F.transform(F.slice(v, 1, n), lambda y: y["s"])).alias("s"),
+            )))
 
+        return F.filter(F.transform(starts, run), lambda x: x["end"].isNotNull())
 
-def identified(text: Column) -> Column:
-    """``array<struct<sentence, id>>``: number of a known sentence in the text and its identifier."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    numbered = F.transform(sentences(text), lambda s, i: F.struct(i.alias("sentence"), s.alias("s")))
-    hits = F.filter(numbered, lambda x: x["s"].isin(list(SENTENCES)))
-    found = F.transform(hits, lambda x: F.struct(x["sentence"].alias("sentence"), F.element_at(known, x["s"]).alias("id")))
-    return F.when(text.rlike(_GATE), found).otherwise(F.array().cast("array<struct<sentence:int,id:string>>"))
+    # A known sentence that ends another one ("this work is" + ...) is not counted again.
+    outer = lambda h: F.filter(h, lambda x, j: ~F.coalesce(F.get(h, j - 1)["end"] > x["i"], F.lit(False)))
+    hits = let(ends, lambda e: let(worded, lambda w: let(runs(w, e), outer)))
+    return F.transform(hits, lambda x: F.struct(x["n"].alias("sentence"), F.element_at(known, x["s"]).alias("id")))
+
+
+def identified(text: Column) -> Column:
+    """``array<struct<sentence, id>>``: number of the first piece of a known sentence and its identifier."""
+    cut = F.struct(
+        F.transform(F.split(text, _CUT, -1), _plain).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(_CUT), F.lit(0)).alias("cuts"),
+    )
+    none = F.array().cast("array<struct<sentence:int,id:string>>")
+    return F.when(text.rlike(_WRAPPED_GATE), let(cut, lambda x: _found(x["pieces"], x["cuts"]))).otherwise(none)
 
 
 def matches(found: Column) -> Column:
@@ -101,7 +148,7 @@ def matches(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``identifiers`` and ``rules`` as ``number:name`` lists (number of the sentence from
+    """One row per document: ``identifiers`` and ``rules`` as ``number:name`` lists (number of the piece from
     0), ``licenses`` the different licences in order of first appearance, ``n_sentences`` the known ones.
 
     Null and empty texts have none.  Repeated rows give repeated rows.  Other columns are ignored.

@@ -136,3 +136,91 @@ def test_licenses(spark):
     assert rows[2]["licenses"] == "BSD-2-Clause" and rows[3]["licenses"] == "" and rows[3]["n_sentences"] == 1
     assert rows[4]["licenses"] == "CC-BY-NC-4.0" and rows[5]["licenses"] == ""
     assert licenses.scan(nothing(spark)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version %s of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+NOTICES = {
+    "mit-text": MIT, "apache-2-header": APACHE, "gpl-3-header": GPL % (":", 3), "gpl-2-header": GPL % (";", 2), "bsd-2": BSD2, "bsd-3": BSD3,
+}
+DECLARED = {
+    "mit": "Released under the\nMIT License.", "apache-2": "Licensed under the Apache\nLicense, Version 2.0", "gpl-3":
+    "This work is licensed under the\nGNU General Public License version 3", "cc-by-nc-4": "Licensed under\nCC BY-NC 4.0",
+    "cc-by-4": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "cc-by-sa-4": "Licensed under CC\nBY-SA 4.0", "reserved": "All rights\nreserved.",
+}
+
+
+def test_wrapped_notices_of_every_rule(spark):
+    every = NOTICES | DECLARED
+    assert set(every) == {rule for rule, _, _ in licenses.RULES}
+    leaders = ["", "# ", " * ", "// ", ";; ", "! ", "//! ", "dnl ", "REM ", "C     ", "-- "]
+    texts, want = [], {}
+    for rule, notice in every.items():
+        for leader in leaders:
+            for end in ("\n", "\r\n"):
+                want[len(texts)] = rule
+                body = end.join(["Copyright 2020 A. Person", "", *notice.split("\n"), "", "code(here)"])
+                texts.append((len(texts), end.join(leader + line for line in body.split(end))))
+    rows = {r["doc_id"]: r for r in licenses.scan(awkward(spark, texts)).collect()}
+    wrong = [(want[i], t) for i, t in texts if want[i] not in {x.partition(":")[2] for x in rows[i]["rules"].split(",")}]
+    assert not wrong, wrong[:2]
+
+
+def test_sentences_end_at_blank_lines_and_marks(spark):
+    texts = [
+        (1, "Licensed under the\n\nMIT License"),
+        (2, "# Licensed under the\n#\n# MIT License"),
+        (3, "Licensed under the. MIT License"),
+        (4, "This work is\nlicensed under the GNU General Public License\nversion 3. All rights reserved."),
+        (5, "Not licensed under the\nMIT License today"),
+        (6, ";; licensed under the\n;;\n;; MIT License"),
+    ]
+    rows = {r["doc_id"]: r for r in licenses.scan(awkward(spark, texts)).collect()}
+    assert [rows[i]["n_sentences"] for i in (1, 2, 3, 5, 6)] == [0] * 5
+    assert rows[4]["identifiers"] == "0:gpl-3-declared,3:all-rights-reserved"
+    assert rows[4]["licenses"] == "GPL-3.0,Proprietary"
+
+
+def test_a_known_sentence_holds_at_most_one_other():
+    known = [k.split() for k in licenses.SENTENCES]
+    inside = lambda a, b: any(a == b[i : i + len(a)] for i in range(1, len(b)))
+    for b in known:
+        assert sum(inside(a, b) for a in known) <= 1
