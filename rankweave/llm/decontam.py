@@ -2,19 +2,21 @@
 
 A passage is two neighbouring blocks of 16 words.  Words are runs of letters and digits, hashed to 2^18 places.
 
-1. One visit to the texts counts in how many blocks each place occurs; that gives inverse block frequencies.
-   Words in more than a tenth of the blocks carry no weight.
+1. One visit to the different texts counts in how many blocks each place occurs; that gives inverse block
+   frequencies.  Words in more than a tenth of the blocks are common: they carry no weight, except in items with
+   common words and fewer than four others.  Such plain items have groups of their own, in which all words, also
+   those of the documents, weigh the same.
 2. Benchmark passages are cut into groups of at most ``GROUP``; each group's TF-IDF matrix gets a truncated
    singular value decomposition by random projection and power iterations, one task per group.
 3. Every document passage is projected into each space.  Its score with a benchmark passage is the cosine of
    the whole passage with the latent image of the other.  A passage whose projection is too short for any
    cosine of ``CANDIDATE`` needs no product; this bound drops no pair.
 4. A candidate is compared with the whole benchmark item around the place: the longest common subsequence of
-   the weighted words, over the item's number of them.  0.7 proves it; from 0.5 on, a paraphrase counts if the
+   the weighted words (of all words for a plain item), over the item's number of them.  0.7 proves it; from 0.5 on, a paraphrase counts if the
    item's answer (a column, or its last third) also stands there to 0.8.
 
 The benchmark is a query set run in blocks against all passages; its matrices lie in the shared folder and are
-mapped by the workers, so nothing is broadcast.  Documents are never shuffled.
+mapped by the workers, so nothing is broadcast.  Only the count of different texts shuffles documents.
 """
 
 from __future__ import annotations
@@ -95,14 +97,19 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequency(texts: DataFrame) -> np.ndarray:
-    """Weight of every place; 0 for places in more than a tenth of the blocks."""
-    counts = lb.dense_sum(texts.mapInArrow(_frequency, "piece int, data binary"), 1, (1 << BITS) + lb.PIECE)[0]
+    """Weight of every place; 0 for places in more than a tenth of the blocks.  Copies count once."""
+    counts = lb.dense_sum(texts.distinct().mapInArrow(_frequency, "piece int, data binary"), 1, (1 << BITS) + lb.PIECE)[0]
     n, df = counts[1 << BITS], counts[: 1 << BITS]
     weight = np.log((n + 1) / (df + 1))
     return np.where(df > max(COMMON * n, 3), 0.0, weight).astype(np.float32)
 
 
-_ITEM = "item bigint, passage int, places array<int>, all_places array<int>, answer int"
+_ITEM = "item bigint, passage int, places array<int>, all_places array<int>, answer int, plain boolean"
+
+
+def _weights(weight: np.ndarray, group: int) -> np.ndarray:
+    """The weights of a group; groups of plain items have odd numbers."""
+    return np.ones_like(weight) if group % 2 else weight
 
 
 def _items(weight: np.ndarray):
@@ -116,15 +123,18 @@ def _items(weight: np.ndarray):
                 data, offsets = words.raw(pa.array([text or ""]))
                 p = Passages(hasher, data, offsets)
                 whole = _weighted(p.place, weight)
-                tail = len(whole) - len(whole) // 3 if answer is None else _answer_start(hasher, answer, whole, weight)
+                plain = bool((weight[whole] == 0).any())
+                own_weight = _weights(weight, int(plain))
+                tail = len(whole) - len(whole) // 3 if answer is None else _answer_start(hasher, answer, whole, own_weight)
                 for b in range(len(p.row)):
                     own = p.place[(p.block == b) | ((p.block == b + 1) & ~p.alone[b])]
                     if not (p.alone[b] and b > 0):
-                        rows.append((item, b, own[weight[own] > 0].tolist(), whole.tolist(), tail))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+                        rows.append((item, b, own[own_weight[own] > 0].tolist(), whole.tolist(), tail, plain))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "passage", "places", "all_places", "answer"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                names=["item", "passage", "places", "all_places", "answer", "plain"],
             )
 
     return run
@@ -161,6 +171,7 @@ def _space(folder: str, weight: np.ndarray):
     """One group of benchmark passages: writes its places, word vectors, passage images and items."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        own_weight = _weights(weight, int(key[0]))
         group = group.sort_values(["item", "passage"], na_position="first").reset_index(drop=True)
         vocabulary = np.unique(np.concatenate([np.asarray(p, np.int64) for p in group["places"]] or [np.zeros(0, np.int64)]))
         if not len(vocabulary):
@@ -168,13 +179,13 @@ def _space(folder: str, weight: np.ndarray):
         a = np.zeros((len(group), len(vocabulary)), np.float32)
         for k, p in enumerate(group["places"]):
             places = np.unique(np.asarray(p, np.int64))
-            a[k, np.searchsorted(vocabulary, places)] = weight[places]
+            a[k, np.searchsorted(vocabulary, places)] = own_weight[places]
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
         v = random_svd(a, RANK)
         image = a @ v
         image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
         name = f"{int(key[0]):06d}"
-        vectors = v * weight[vocabulary][:, None]
+        vectors = v * own_weight[vocabulary][:, None]
         hs.write_shard(folder, f"{name}-words", vocabulary.astype(np.uint64), {"v": vectors.astype("<f4")})
         hs.write_shard(folder, f"{name}-images", np.arange(len(group), dtype=np.uint64), {"v": image.astype("<f4")})
         flat = np.concatenate([np.asarray(x, np.uint64) for x in group["all_places"]])
@@ -234,12 +245,16 @@ def _candidates(p: Passages, weight: np.ndarray, spaces: Spaces):
     """``(first block, group, passage of the group, score)`` of the pairs with a score of CANDIDATE or more."""
     # A word counts once in a block, so that a repeated word does not make a passage look longer or nearer.
     pairs = words.distinct(p.block << BITS | p.place)
-    block, place = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    heavy = weight[place] > 0
-    block, place = block[heavy], place[heavy]
-    squares = weight[place].astype(float) ** 2
-    norm = np.sqrt(p.sums(block, squares))
+    measured = {}
     for group, rank in spaces.groups:
+        if group % 2 not in measured:
+            own_weight = _weights(weight, group)
+            block, place = pairs >> BITS, pairs & ((1 << BITS) - 1)
+            heavy = own_weight[place] > 0
+            block, place = block[heavy], place[heavy]
+            squares = own_weight[place].astype(float) ** 2
+            measured[group % 2] = block, place, squares, np.sqrt(p.sums(block, squares))
+        block, place, squares, norm = measured[group % 2]
         row, vectors, images, _ = spaces.get(group, rank)
         at = row[place]
         used = np.flatnonzero(at >= 0)
@@ -281,11 +296,14 @@ def _found(p: Passages, spaces: Spaces, rank: dict[int, int], weight: np.ndarray
         near = p.place[max(p.first[r], begin - reach) : min(p.first[r + 1], begin + 2 * BLOCK + reach)]
         if (weight[np.asarray(whole)] > 0).all():
             near = near[weight[near] > 0]
+        long = len(whole) >= 8
+        # The item's words that stand there at all bound the common subsequence.
+        if np.isin(whole, near).sum() < (LIKELY if long else 0.9) * len(whole):
+            continue
         near = near.tolist()
         lcs = common(whole, near) / len(whole)
         end = whole[tail:] or whole
         answer = common(end, near) / len(end)
-        long = len(whole) >= 8
         hit = lcs >= (PROVEN if long else 0.9) or (long and lcs >= LIKELY and answer >= ANSWER)
         if hit and (not known or (lcs, score) > (known[1], known[0])):
             best[r, item] = (score, lcs, answer, begin - int(p.first[r]))
@@ -325,7 +343,7 @@ def _prepare(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
     item = F.coalesce(F.col(item_col).cast("bigint"), F.lit(_NO_ITEM))
     source = benchmark.select(item.alias("item"), F.col(item_text_col).cast("string").alias("text"), answer.alias("answer"))
     passages = number_rows(source.mapInArrow(_items(weight), _ITEM), [F.asc("item"), F.asc("passage"), F.asc("all_places")], out="n")
-    passages = passages.withColumn("group", F.floor(F.col("n") / GROUP).cast("int"))
+    passages = passages.withColumn("group", (2 * F.floor(F.col("n") / GROUP) + F.col("plain").cast("int")).cast("int"))
     folder = scratch(texts.sparkSession, "spaces")
     spaces = passages.groupBy("group").applyInPandas(_space(folder, weight), "group int, rank int").collect()
     return weight, folder, sorted((r["group"], r["rank"]) for r in spaces if r["rank"])
@@ -336,7 +354,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per document and benchmark item found in it: the id, item_id, score (latent cosine of the best
     place), lcs, answer, start_word (of the passage, counted in words).
 
-    Null and empty texts hold and match nothing; an item of fewer than eight weighted words has to be found to
+    Null and empty texts hold and match nothing; an item of fewer than eight words that count has to be found to
     0.9.  Repeated documents give repeated rows; repeated items one row per item id.  An empty table on either
     side gives no rows.  Other columns are ignored.
     """

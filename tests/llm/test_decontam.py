@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from docs import TEXTS, awkward, nothing
 
 from rankweave.llm import decontam
@@ -74,3 +75,42 @@ def test_svd_spans_the_rows():
     a = np.random.default_rng(0).standard_normal((30, 200)).astype(np.float32)
     v = decontam.random_svd(a, 256)
     assert v.shape == (200, 30) and np.allclose(a @ v @ v.T, a, atol=1e-3)
+
+
+def test_items_of_common_words(spark):
+    rng = random.Random(9)
+    usual = [f"usual{k}" for k in range(24)]
+    long, short = list(usual), usual[3:9]
+    rng.shuffle(long)
+    mixed = ["seldom1", *usual[::-1][:14], "seldom2"]
+    rows, want = [], set()
+    for k in range(90):
+        body = [x for three in zip(prose(40), prose(40), rng.choices(usual, k=40), strict=True) for x in three]
+        at = rng.randrange(120)
+        for number, item in ((0, long), (1, short), (2, mixed)):
+            if k % 9 == number:
+                rows.append((k, " ".join(body[:at] + item + body[at:])))
+                want.add((k, number))
+        if k % 9 > 2:
+            rows.append((k, " ".join(body)))
+    bench = spark.createDataFrame([(n, " ".join(t), " ".join(t[-4:])) for n, t in enumerate((long, short, mixed))], "item_id long, text string, a string")
+    docs = awkward(spark, rows)
+    weight = decontam.inverse_frequency(docs.select("text"))
+    place = decontam.Passages(decontam.words.Hasher(marks=True), *decontam.words.raw(pa.array([" ".join(usual)]))).place
+    assert not weight[place].any()
+    for answer in (None, "a"):
+        found = decontam.leaks(docs, bench, answer_col=answer).collect()
+        assert want <= {(r["doc_id"], r["item_id"]) for r in found}
+        assert all(r["lcs"] == 1 and r["answer"] == 1 for r in found if (r["doc_id"], r["item_id"]) in want)
+        assert all(r["lcs"] < 1 for r in found if (r["doc_id"], r["item_id"]) not in want) and len(found) < len(want) + 5
+
+
+def test_copies_do_not_make_words_common(spark):
+    item = prose(20)
+    rows = [(k, " ".join(item)) for k in range(60)] + [(100 + k, " ".join(prose(40))) for k in range(40)]
+    docs = awkward(spark, rows)
+    weight = decontam.inverse_frequency(docs.select("text"))
+    place = decontam.Passages(decontam.words.Hasher(marks=True), *decontam.words.raw(pa.array([" ".join(item)]))).place
+    assert (weight[place] > 0).all()
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.leaks(docs, bench).collect()} == set(range(60))
