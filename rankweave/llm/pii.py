@@ -5,9 +5,9 @@ entity to protect.  A term discloses an entity if it stands near it more often t
 
     disclosure(t, e) = log2(P(t near e) / P(t)) / -log2 P(e)
 
-P(t near e) is the share of the different contexts of e (eight words on either side) that hold t, P(t) the
-share of all documents that hold t, P(e) the occurrences of e over the documents.  1 means that t occurs with
-e only.  A term that stands in two or more contexts of an entity and reaches ``threshold`` is a finding
+P(t near e) is the share of the different contexts of e (eight words on either side) that hold t, P(t) and
+P(e) the shares of all documents that hold t and e, however often.  1 means that t occurs with e only.  An entity
+that all documents hold is given away by no term.  A term that stands in two or more contexts of an entity and reaches ``threshold`` is a finding
 wherever it occurs.  Contexts are counted once, so that copies of a document prove nothing.
 
 Three visits to the texts: contexts, document frequency of candidate terms, findings.  Between visits only
@@ -117,7 +117,8 @@ def _entity(kind: int, value: str) -> int:
     return both - (1 << 64) if both >= 1 << 63 else both
 
 
-_CONTEXT = "entity bigint, context bigint, terms array<bigint>"
+# ``holds`` is 1 for the first occurrence of the entity in a document and 0 for the others.
+_CONTEXT = "entity bigint, context bigint, terms array<bigint>, holds int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +131,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not spans:
                 continue
             data, offsets = words.raw(pa.array([text]))
+            held: set[int] = set()
             found = hasher.words(data, offsets)
             usable = _usable(found)
             edges = _bytes_at(text, [p for _, a, b in spans for p in (a, b)])
@@ -141,11 +143,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = np.r_[max(0, left - NEAR) : left, right : min(len(found), right + NEAR)]
                 context = words.mix(np.uint64(len(near)) + np.bitwise_xor.reduce(words.mix(found.hashes[near] + np.arange(len(near), dtype=np.uint64)), initial=np.uint64(0)).reshape(1))
                 terms = np.unique(found.hashes[near[usable[near]]])
-                rows.append((_entity(kind, text[s:e]), int(_signed(context)[0]), _signed(terms).tolist()))
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+                entity = _entity(kind, text[s:e])
+                rows.append((entity, int(_signed(context)[0]), _signed(terms).tolist(), int(entity not in held)))
+                held.add(entity)
+        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))],
-            names=["entity", "context", "terms"],
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.int32())],
+            names=["entity", "context", "terms", "holds"],
         )
 
 
@@ -189,7 +193,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     """Terms that give an entity away, with ``terms``: entity, term, disclosure."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     contexts = durable(texts.mapInArrow(_contexts, _CONTEXT), "contexts")
-    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
+    entities = contexts.groupBy("entity").agg(F.sum("holds").alias("holders"))
     once = contexts.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
     several = once.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     joint = once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
@@ -199,8 +203,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     counted = texts.mapInArrow(_frequency(*hs.store(joint, "term", "candidates")), "term bigint, n bigint")
     frequency = counted.groupBy("term").agg(F.sum("n").alias("documents"))
     total = F.lit(float(docs.count()))
-    share = F.log2((F.col("both") / F.col("contexts")) / (F.col("documents") / total)) / -F.log2(F.col("seen") / total)
-    found = joint.join(frequency, "term").filter(F.col("seen") < total)
+    share = F.log2((F.col("both") / F.col("contexts")) / (F.col("documents") / total)) / -F.log2(F.col("holders") / total)
+    found = joint.join(frequency, "term").filter(F.col("holders") < total)
     found = durable(found.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold), "terms")
     if found.isEmpty():
         return Disclosing()

@@ -71,3 +71,29 @@ def test_sanitize(spark):
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows[200].startswith("visit [TERM] soon") and rows[300] == "only onceword stands by [EMAIL] here"
     assert rows[400] is None and rows[401] == "" and len(rows) == df.select("doc_id").distinct().count()
+
+
+def hot_source(times, others):
+    """20 of 60 documents name one contact so many times, beside a word of their own and one that the others hold in part."""
+    rows = []
+    for k in range(20):
+        foot = " ".join(f"x{k}n{t} footerword ask desk@example.org partword y{k}n{t}" for t in range(times))
+        rows.append((k, f"lead{k} {foot}"))
+    return rows + [(20 + k, f"other{k} text " + ("partword" if k < others else "")) for k in range(40)]
+
+
+def test_an_entity_counts_once_in_a_document(spark):
+    for times in (1, 2, 3, 4):
+        rows = hot_source(times, 23)  # partword: P(t) = 43/60, so 1.4 times chance
+        terms = pii.disclosing_terms(awkward(spark, rows)).terms.collect()
+        assert {round(r["disclosure"], 6) for r in terms} == {1.0}
+        spans = {r["doc_id"]: r["spans"] for r in pii.find(awkward(spark, rows)).collect()}
+        assert spans[20] == "" and all(spans[k].count("term") == spans[0].count("term") >= times for k in range(20))
+
+
+def test_one_long_text_and_an_entity_in_all(spark):
+    log = " ".join(f"a{k} rootword root@example.org b{k}" for k in range(50))
+    rows = [(0, log), *[(k, f"other{k} text") for k in range(1, 30)]]
+    assert "term:3:11" in pii.find(awkward(spark, rows)).first()["spans"]
+    rows = [(k, f"p{k} allword all@example.org q{k}") for k in range(10)]
+    assert not any("term" in r["spans"] for r in pii.find(awkward(spark, rows)).collect())
