@@ -224,3 +224,48 @@ def test_a_known_sentence_holds_at_most_one_other():
     inside = lambda a, b: any(a == b[i : i + len(a)] for i in range(1, len(b)))
     for b in known:
         assert sum(inside(a, b) for a in known) <= 1
+
+
+def _best_offset(a, b):
+    """Likeness by all offsets of all pairs, for texts without repeated anchors."""
+    a, b = ({(x["word"], x["hash"]) for x in t} for t in (a, b))
+    votes = {}
+    for w, h in a:
+        for v, g in b:
+            if g == h:
+                votes[v - w] = votes.get(v - w, 0) + 1
+    n = max(votes.values(), default=0)
+    return n / (len(a) + len(b) - n)
+
+
+def test_likeness_by_position(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(3000)]
+    other = [f"v{i}" for i in range(3000)]
+    edited = list(words)
+    edited[1000:1010] = other[:10]
+    passage = other[:2000] + words[700:1000] + other[2000:]
+    texts = [words, words[1500:] + words[:1500], edited, passage, ["new"] * 7 + words, words[:2000], other, ["x"] * 500, []]
+    df = spark.createDataFrame([(i, " ".join(words), " ".join(t)) for i, t in enumerate(texts)], "i long, a string, b string")
+    df = df.select("i", syncmers.anchors(F.col("a")).alias("p"), syncmers.anchors(F.col("b")).alias("q"),
+                   syncmers.coded(F.col("a")).alias("a"), syncmers.coded(F.col("b")).alias("b"))
+    df = df.select("*", syncmers.likeness(F.col("a"), F.col("b")).alias("ab"), syncmers.likeness(F.col("b"), F.col("a")).alias("ba"),
+                   syncmers.likeness(F.col("b"), F.col("b")).alias("bb"))
+    rows = df.orderBy("i").collect()
+    assert all(r["bb"] == 1 for r in rows)
+    for r in rows:
+        if r["i"] != 7:
+            assert r["ab"] == r["ba"] == _best_offset(r["p"], r["q"]), r["i"]
+    same, turned, edit, part, moved, cut, none, _, empty = (r["ab"] for r in rows)
+    assert same == 1 and 0.3 < turned < 0.4 and 0.98 < edit < 1 and 0.03 < part < 0.06 and moved > 0.98 and 0.6 < cut < 0.72
+    assert none == empty == rows[7]["ab"] == 0
+
+
+def test_fingerprints_use_all_anchors(spark):
+    words = [f"w{i}" for i in range(20000)]
+    turned = words[10000:] + words[:10000]
+    far = [f"v{i}" for i in range(10000)] + words[300:500] + [f"u{i}" for i in range(10000)]
+    rows = syncmers.fingerprints(awkward(spark, [(1, " ".join(words)), (2, " ".join(turned)), (3, " ".join(far))])).collect()
+    near = {r["doc_id"]: r["near_next"] for r in rows}
+    assert near[1] < 0.4 and 0 < near[2] < 0.02
