@@ -5,7 +5,21 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import bagminhash, decontam, licenses, lm, packing, pii, quality, secrets, syncmers, toxicity
+from rankweave.llm import (
+    bagminhash,
+    decontam,
+    licenses,
+    lm,
+    mixing,
+    packing,
+    pii,
+    quality,
+    repeats,
+    secrets,
+    spelling,
+    syncmers,
+    toxicity,
+)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -76,4 +90,25 @@ def op6_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(table(spark, folder, "documents"))
+
+
+@_query
+def op12_spelling_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.digest(table(spark, folder, "documents"))
+
+
+ORACLES["op12_spelling_chunks"] = spelling.ORACLE
+
+
+@_query
+def op13_water_filling(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.digest(table(spark, folder, "documents"))
+
+
+ORACLES["op13_water_filling"] = mixing.ORACLE
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
