@@ -12,6 +12,7 @@ work and memory do not depend on how documents repeat or which source they come
 from __future__ import annotations
 
 import os
+import string
 import sys
 import zlib
 from collections.abc import Iterator
@@ -22,69 +23,118 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave.llm import text as words
 from rankweave.operators.numbering import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIECE = (
-    "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
-    "offset bigint, ids binary"
-)
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 # Partitions whose open windows are merged by one task.
 MERGED = 32
-# Words a worker remembers with their ids.
-REMEMBERED = 1 << 19
+# Words a worker remembers, and ids they may take.
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 24
 _IDS = np.dtype("<u4")
+# What may part words, and the marks that may end one.
+_SPACES, _MARKS = "\t\n\x0b\x0c\r ", ".,"
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that drops white space, so that words can be looked up one by one."""
+    """Ids of texts by any tokenizer, words encoded once and looked up by their hash from then on.
+
+    Which white space parts words without leaving a trace, whether case matters and whether a final full stop or
+    comma is a token of its own is tried out on the tokenizer.  Only plain words, ASCII letters with such a mark, are
+    folded and cut; all others go to the tokenizer as they are.  If no white space parts words, a text is one word.
+    """
 
     def __init__(self, definition: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.end = np.array([end_id], _IDS).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, found: list[str]) -> None:
-        done = self.tokenizer.encode_batch_fast(found, add_special_tokens=False)
-        for word, e in zip(found, done, strict=True):
-            self.known[word] = np.array(e.ids, _IDS).tobytes()
-
-    def _learn(self, missing: list[str]) -> None:
-        """A final full stop or comma after letters is a token of its own; ASCII letters do not depend on case."""
-        known, parts, plain = self.known, {}, {}
-        for word in missing:
-            stem, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-            if not stem.isalpha():
-                stem, mark = word, ""
-            elif stem.isascii():
-                stem = stem.lower()
-            parts[word] = stem, mark
-            for p in (stem, mark):
-                if p and p not in known:
-                    plain[p] = None
-        if plain:
-            self._encode(list(plain))
-        for word, (stem, mark) in parts.items():
-            known[word] = known[stem] + known[mark] if mark else known[stem]
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        known[""] = b""
-        missing = {p for p in parts if p not in known}
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                missing = set(parts) - {""}
-            self._learn(list(missing))
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)) + self.end, _IDS)
+        self.tokenizer, self.end = Tokenizer.from_str(definition), end_id
+        probes = [*string.ascii_lowercase, "word", "tokens", "unlikelihood", "qzx"]
+        ids = self._encode
+        trace = [x + y for x, y in zip(ids(probes), ids(probes[::-1]), strict=True)]
+        parts = [c for c in _SPACES if ids([f"{c}{x}{c}{c}{y}{c}" for x, y in zip(probes, probes[::-1], strict=True)]) == trace]
+        folded = ids([p.upper() for p in probes]) == ids([p.title() for p in probes]) == ids(probes)
+        marks = [c for c in _MARKS if parts and ids([p + c for p in probes]) == [x + ids([c])[0] for x in ids(probes)]]
+        self.exact, self.folded = words.Hasher(exact=True), words.Hasher(exact=not folded)
+        self.exact.space[:] = False
+        self.exact.space[[ord(c) for c in parts]] = True
+        self.fold, self.mark, self.other = folded, np.zeros(256, bool), np.ones(256, bool)
+        self.mark[[ord(c) for c in marks]] = True
+        self.other[[ord(c) for c in string.ascii_letters]] = False
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, _IDS)
+
+    def _encode(self, found: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray):
+        """Hash, row, start, end and plainness of what is looked up: words, marks of plain words apart."""
+        found = self.exact.words(data, offsets)
+        start, end, data = found.start, found.end, found.data
+        strange = np.concatenate(([0], np.cumsum(self.other[data])))
+        strange = strange[end] - strange[start]
+        marked = (strange == 1) & (end - start > 1) & self.mark[data[end - 1]] if len(end) else np.zeros(0, bool)
+        plain = (strange == 0) | marked
+        hashes, stem = found.hashes, end - marked
+        if self.fold or marked.any():
+            hashes = np.where(plain, self.folded._ranges(data, start, stem), hashes)
+        place = np.arange(len(start)) + np.cumsum(marked) - marked
+        n = len(start) + int(marked.sum())
+        spread = lambda x, y: _spread(n, place, x, place[marked] + 1, y)
+        last = end[marked] - 1
+        return (
+            spread(hashes, self.exact._ranges(data, last, last + 1)),
+            spread(found.row, found.row[marked]),
+            spread(start, last),
+            spread(stem, last + 1),
+            spread(plain, np.zeros(len(last), bool)),
+            data,
+        )
+
+    def _learn(self, keys: np.ndarray, found: list[str]) -> None:
+        ids = self._encode(found)
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], _IDS)])
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows between ``offsets``, each with the end id, one after the other; where each row begins."""
+        hashes, row, start, end, plain, data = self._pieces(data, offsets)
+        distinct, place = np.unique(hashes, return_inverse=True)
+        if len(self.keys) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        if new.any():
+            some = np.zeros(len(distinct), np.int64)
+            some[place] = np.arange(len(place))
+            found = [(data[start[k] : end[k]].tobytes().decode(), plain[k]) for k in some[new]]
+            self._learn(distinct[new], [w.lower() if p and self.fold else w for w, p in found])
+            at = np.searchsorted(self.keys, distinct)
+        size, first = self.size[at][place], self.at[at][place]
+        total, rows = int(size.sum()), len(offsets) - 1
+        before = np.cumsum(size) - size
+        out = np.full(total + rows, self.end, _IDS)
+        # An id stands behind the end ids of the rows before its own.
+        step = np.arange(total)
+        out[step + np.repeat(row, size)] = self.flat[step + np.repeat(first - before, size)]
+        lengths = np.bincount(row, size, rows).astype(np.int64) + 1
+        return out, np.concatenate(([0], np.cumsum(lengths)))
+
+
+def _spread(n: int, at: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.empty(n, x.dtype)
+    out[at], out[other] = x, y
+    return out
 
 
 class Windows:
@@ -113,10 +163,8 @@ class Windows:
 class Rows:
     """Collects output rows and hands them out as record batches."""
 
-    def __init__(self, keep_ids: bool):
-        self.keep_ids, self.rows = keep_ids, []
-        kinds = [pa.field(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECE.split(", ")]
-        self.schema = pa.schema(kinds)
+    def __init__(self, keep_ids: bool, schema: pa.Schema):
+        self.keep_ids, self.rows, self.schema = keep_ids, [], schema
 
     def sequence(self, number: int, pieces: list) -> None:
         at = 0
@@ -138,25 +186,29 @@ class Rows:
         )
 
 
-def _first_visit(definition: str, end_id: int, length: int, windows: int, keep_ids: bool):
+def _first_visit(definition: str, end_id: int, length: int, windows: int, keep_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder = words.worker_state(f"ids-{zlib.crc32(definition.encode())}-{end_id}", lambda: WordIds(definition, end_id))
-        open_windows, rows, number = Windows(windows, length), Rows(keep_ids), part << 32
+        open_windows, rows, number = Windows(windows, length), Rows(keep_ids, schema), part << 32
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, doc = encoder.ids(text.as_py() or ""), doc.as_py()
-                full = len(ids) // length * length
-                for start in range(0, full, length):
-                    rows.sequence(number, [(doc, start, ids[start : start + length], len(ids))])
-                    number += 1
-                if full < len(ids):
-                    leaving = open_windows.put(len(ids) - full, (doc, full, ids[full:], len(ids)))
-                    if leaving:
-                        rows.sequence(number, leaving)
+            data, offsets = words.raw(batch.column(1))
+            for i, j in words.slices(offsets):
+                every, begin = encoder.ids(data, offsets[i : j + 1])
+                for k, doc in enumerate(batch.column(0)[i:j].to_pylist()):
+                    ids = every[begin[k] : begin[k + 1]]
+                    full = len(ids) // length * length
+                    for start in range(0, full, length):
+                        rows.sequence(number, [(doc, start, ids[start : start + length], len(ids))])
                         number += 1
-                if len(rows.rows) >= 2000:
-                    yield rows.batch()
+                    if full < len(ids):
+                        # A copy, so that an open window does not hold on to the ids of all texts around.
+                        leaving = open_windows.put(len(ids) - full, (doc, full, ids[full:].copy(), len(ids)))
+                        if leaving:
+                            rows.sequence(number, leaving)
+                            number += 1
+                    if len(rows.rows) >= 2000:
+                        yield rows.batch()
         for _, pieces in open_windows.open:
             rows.left_over(pieces)
         yield rows.batch()
@@ -164,16 +216,14 @@ def _first_visit(definition: str, end_id: int, length: int, windows: int, keep_i
     return run
 
 
-def _merge(length: int, keep_ids: bool):
-    names = [c.split()[0] for c in PIECE.split(", ")]
-
+def _merge(length: int, keep_ids: bool, schema: pa.Schema):
     def run(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
         number = (1 << 62) + (int(key[0]) << 32)
-        rows, pieces, used = Rows(keep_ids), [], 0
+        rows, pieces, used = Rows(keep_ids, schema), [], 0
         left = left.sort_values(["doc_id", "start"], kind="stable", na_position="first")
         for doc, start, data, total in zip(left["doc_id"], left["start"], left["ids"], left["doc_tokens"], strict=True):
             ids, at = np.frombuffer(data, _IDS), 0
-            doc = None if pd.isna(doc) else int(doc)
+            doc = None if pd.isna(doc) else doc
             while at < len(ids):
                 take = min(len(ids) - at, length - used)
                 pieces.append((doc, int(start) + at, ids[at : at + take], int(total)))
@@ -182,7 +232,7 @@ def _merge(length: int, keep_ids: bool):
                     rows.sequence(number, pieces)
                     number, pieces, used = number + 1, [], 0
         rows.sequence(number, pieces)
-        return pd.DataFrame(rows.rows, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows.rows, columns=schema.names).astype({"doc_id": object})
 
     return run
 
@@ -207,20 +257,26 @@ def pack(
     ``keep_ids``, the ids as little-endian unsigned 32-bit numbers.
 
     A document is its ids followed by ``end_id``.  Each id lies in exactly one piece.  ``tokenizer`` is the
-    file of a tokenizer that drops white space; the driver reads it and ships it with the tasks.
+    file of a tokenizer; the driver reads it and ships it with the tasks.
 
-    Null and empty texts: one piece with the end id alone.  Repeated rows and rows without id are packed like
-    any other, each on its own.  Equal sizes: the window opened first.  Empty table: no rows.  Other columns
-    are ignored, whatever their names.  Sequence numbers are unique but not dense.
+    Ids keep their type.  Null and empty texts: one piece with the end id alone.  Repeated rows and rows without id are
+    packed like any other, each on its own.  Texts of any length are tokenised whole.  Equal sizes: the window opened
+    first.  Empty table: no rows.  Other columns are ignored, whatever their names.  Sequence numbers are unique but not
+    dense.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         definition = f.read()
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    visited = source.mapInArrow(_first_visit(definition, end_id, length, windows, keep_ids), PIECE)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    longs = [T.StructField(c, T.LongType()) for c in PIECE]
+    piece = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *longs, T.StructField("ids", T.BinaryType())])
+    schema = to_arrow_schema(piece)
+    visited = source.mapInArrow(_first_visit(definition, end_id, length, windows, keep_ids, schema), piece)
     # Written once: the texts are tokenised a single time, and a lost executor costs one partition.
     visited = durable(visited.withColumn("group", F.floor(F.spark_partition_id() / MERGED)), "pieces")
     done = visited.filter(F.col("sequence_id").isNotNull()).drop("group")
     rest = visited.filter(F.col("sequence_id").isNull())
-    merged = rest.groupBy("group").applyInPandas(_merge(length, keep_ids), PIECE)
+    merged = rest.groupBy("group").applyInPandas(_merge(length, keep_ids, schema), piece)
     out = done.unionByName(merged)
     return out if keep_ids else out.drop("ids")
