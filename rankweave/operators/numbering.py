@@ -38,11 +38,28 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts lineage, survives the loss of executors, and what reads it later sees its size and can prune
-    columns.  Like checkpoints, the folders stay until the cluster cleans its checkpoint folder.
+    columns.  A run that knows the last reader of a table gives it to ``drop``; what a result still reads stays
+    until the cluster cleans its checkpoint folder.
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and no unfinished frame reads any more; other frames are left alone."""
+    for table in tables:
+        path = vars(table).get("scratch_path")
+        if path is not None:
+            remove(table.sparkSession, path)
 
 
 def number_rows(
