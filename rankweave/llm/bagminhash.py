@@ -19,8 +19,10 @@ Plan.
 3. Components of the links found.  The other hubs of a node follow where the components differ.
 4. What is left are buckets that hold several components, mostly texts that share a passage without being alike.
    Their nodes are joined exactly: grams are ordered by how many of these texts hold them, rare ones first, and two
-   texts that are alike share a gram among the first ones of both, before the last 0.8 of their weight.  A common
-   passage is not among them unless it is nearly the whole text.
+   texts that are alike share a gram among the first ones of both, before the last 0.8 of their weight.  The first such
+   gram also bounds what they can share by what is left of each text, and this has to reach 4/9 of both weights; the
+   join checks it, so that texts whose rare grams already take too much, the many loose copies of one text, make no
+   pairs.  All that remain are compared on their grams, without the signatures.
 5. Every row gets the smallest id of its class.
 
 With 34 bands of 6 components, a pair of similarity 0.8 shares a bucket with probability 0.99997.
@@ -44,7 +46,7 @@ from pyspark.sql import types as T
 from rankweave.llm import hashstore as hs
 from rankweave.llm import text as words
 from rankweave.llm.components import components
-from rankweave.operators.numbering import durable
+from rankweave.operators.numbering import drop, durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -219,7 +221,8 @@ def _holders(folder: str, shards: int):
 
 
 def _prefixes(folder: str, shards: int, ranks: tuple[str, int]):
-    """``(node, gram)``: the grams that begin a text's order, of those that several texts hold."""
+    """``(node, gram, whole, rest)``: the grams that begin a text's order, of those that several texts hold, with the
+    weight of the text and its weight from this gram on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = hs.Store(*ranks, {"value": "i1"})
@@ -233,9 +236,8 @@ def _prefixes(folder: str, shards: int, ranks: tuple[str, int]):
             rest = sums[bags.first[1:]][row] - sums[:-1]
             whole = np.diff(sums[bags.first])[row]
             keep = (SHARE[0] * rest >= SHARE[1] * whole) & (rank[order] > 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[row[keep]]), pa.array(bags.gram[order][keep].view(np.int64))], names=["node", "gram"]
-            )
+            columns = [nodes[row[keep]], bags.gram[order][keep].view(np.int64), whole[keep].astype(np.int64), rest[keep].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "gram", "whole", "rest"])
 
     return run
 
@@ -264,31 +266,64 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _texts_of(nodes: DataFrame, signed: DataFrame) -> tuple[str, int]:
     """A store of text keys, one for each of the nodes."""
     keys = signed.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
-    return hs.store(durable(keys, "keys"), "key", "keys")
+    keys = durable(keys, "keys")
+    stored = hs.store(keys, "key", "keys")
+    drop(keys)
+    return stored
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The distinct pairs whose signatures agree in enough components to be worth a comparison, written out."""
+    pairs = durable(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sigs = signed.join(wanted, "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    both = both.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            near = [(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= AGREE for x, y in zip(t["x"], t["y"], strict=True)]
+            yield t.loc[np.array(near, bool), ["a", "b"]]
+
+    near = durable(both.mapInPandas(run, "a bigint, b bigint"), "agreeing")
+    drop(pairs)
+    return near
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that are alike, written out."""
-    pairs = durable(pairs.select("a", "b").distinct(), "pairs")
+    """The distinct pairs ``(a, b)`` of a written table that are alike, written out; the table goes."""
     stored = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), signed)
     picked = durable(texts.mapInArrow(_pick(*stored), "node bigint, grams binary, counts binary").dropDuplicates(["node"]), "grams")
     side = lambda x: picked.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"), F.col("counts").alias(f"c{x}"))
-    return durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a bigint, b bigint"), "links")
+    links = durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a bigint, b bigint"), "links")
+    drop(pairs, picked)
+    hs.drop(pairs.sparkSession, stored)
+    return links
 
 
 def _leftover_pairs(nodes: DataFrame, roots: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs across components among some nodes; holds every pair of them that is alike."""
+    """Candidate pairs across components among some nodes, written out; holds every pair of them that is alike."""
     stored = _texts_of(nodes, signed)
     holders = texts.mapInArrow(_holders(*stored), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    several = durable(holders.filter(F.col("n") > 1).select("gram", F.least("n", F.lit(127)).cast("int").alias("n")), "holders")
+    # The order of grams: by powers of two of their holders, in quarters, then by their number.
+    rank = F.least(F.floor(F.log2("n") * 4), F.lit(127)).cast("int")
+    several = durable(holders.filter(F.col("n") > 1).select("gram", rank.alias("n")), "holders")
     ranks = hs.store(several, "gram", "ranks", "n")
-    first = durable(texts.mapInArrow(_prefixes(*stored, ranks), "node bigint, gram bigint").distinct(), "prefixes")
+    columns = "node bigint, gram bigint, whole bigint, rest bigint"
+    first = durable(texts.mapInArrow(_prefixes(*stored, ranks), columns).distinct(), "prefixes")
     known = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select("gram")
-    left = durable(known.join(mixed, "gram").select("gram", "node", "root"), "prefixes")
-    right = left.select("gram", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = left.join(right, "gram").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    left = durable(known.join(mixed, "gram"), "prefixes")
+    right = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "whole", "rest")])
+    # What two texts share lies, from their first common gram on, in the rest of both; it has to be
+    # SHARE[1] / (SHARE[0] + SHARE[1]) of both weights together.
+    enough = sum(SHARE) * F.least("rest", "rest_b") >= SHARE[1] * (F.col("whole") + F.col("whole_b"))
+    pairs = left.join(right, "gram").filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & enough)
+    pairs = durable(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
+    drop(several, first, left)
+    for gone in (stored, ranks):
+        hs.drop(nodes.sparkSession, gone)
+    return pairs
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -299,13 +334,16 @@ def _members(signed: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame) -> DataFrame:
-    """``(a, b, degree)``: a node b and the hub a of one of its buckets, with the hub's company."""
+    """``(a, b, degree)``, written out: a node b and the hub a of one of its buckets, with the hub's company.  Of equal
+    company the larger node is the hub."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = durable(members.join(degrees, "node"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
     star = ranked.select("key", "node").join(hubs, "key").filter(F.col("node") != F.col("hub.node"))
-    return star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "hub.degree")
+    star = durable(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "hub.degree"), "star")
+    drop(ranked)
+    return star
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,62 +361,70 @@ def _open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
     return durable(known.join(mixed, "key").select("node").distinct(), "open")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, node, root, class_id)`` for every row: ``class_id`` is the smallest id of its class.
-
-    Null counts as empty.  Rows without words are alike and make one class.  Equal rows share a class; a row
-    without id takes part, and a class whose rows all lack an id has none.  Empty table: no rows.  Other
-    columns are ignored.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, roots, links)``, written out: id and node of every row, component of every linked node, links."""
     text = F.col(text_col).cast("string").alias("text")
     key = F.xxhash64(F.col(text_col).cast("string")).alias("key")
-    signed = docs.select(F.col(id_col).cast("bigint").alias("id"), key, text)
-    signed = durable(signed.mapInArrow(_sign, "id bigint, key bigint, node bigint, bands array<bigint>, sig binary"), "signed")
+    source = docs.select(F.col(id_col).alias("id"), key, text)
+    fields = [T.StructField(c, T.LongType()) for c in ("key", "node")]
+    fields += [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    signed = durable(source.mapInArrow(_sign, T.StructType([source.schema["id"], *fields])), "signed")
     texts = docs.select(key, text)
     members = _members(signed)
+    links = signed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     if members.isEmpty():
-        roots = signed.select("node", F.col("node").alias("root")).limit(0)
+        roots = durable(links.toDF("node", "root"), "roots")
+        links = durable(links, "links")
     else:
-        star = durable(_star(members), "star")
+        star = _star(members)
         first = star.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("hub")).select("hub.a", "b")
         links = _verify(_agreeing(first, signed), texts, signed)
-        roots = durable(components(links), "roots")
-        rest = _apart(star.select("a", "b").distinct(), roots)
-        rest = durable(_agreeing(rest, signed), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(_verify(rest, texts, signed))
-            roots = durable(components(links), "roots")
+        roots = components(links)
+
+        def go_on(pairs: DataFrame) -> None:
+            """Take what is alike among further pairs into links and components."""
+            nonlocal links, roots
+            if pairs.isEmpty():
+                drop(pairs)
+                return
+            found = _verify(pairs, texts, signed)
+            before = links, roots, found
+            links = durable(links.unionByName(found), "links")
+            roots = components(links)
+            drop(*before)
+
+        go_on(_agreeing(_apart(star.select("a", "b").distinct(), roots), signed))
+        drop(star)
         left = _open_nodes(members, roots)
         if not left.isEmpty():
-            pairs = durable(_agreeing(_leftover_pairs(left, roots, texts, signed), signed), "candidates")
-            if not pairs.isEmpty():
-                links = links.unionByName(_verify(pairs, texts, signed))
-                roots = durable(components(links), "roots")
-    rows = signed.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.groupBy("root").agg(F.min("id").alias("class_id"))
-    return rows.join(least, "root").select("id", "node", "root", "class_id")
+            go_on(_leftover_pairs(left, roots, texts, signed))
+        drop(left)
+    rows = durable(signed.select("id", "node"), "nodes")
+    drop(signed, members)
+    return rows, roots, links
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in enough components to be worth a comparison."""
-    pairs = durable(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sigs = signed.join(wanted, "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
-    both = both.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            near = [(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= AGREE for x, y in zip(t["x"], t["y"], strict=True)]
-            yield t.loc[np.array(near, bool), ["a", "b"]]
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, node, root, class_id, links)`` for every row: ``class_id`` is the smallest id of its class, ``links`` how
+    many different texts its text was found to be alike by comparing them.
 
-    return both.mapInPandas(run, "a bigint, b bigint")
+    A class is connected by its links; pairs inside a class that need no comparison are not compared.  Ids keep their
+    type.  Null counts as empty.  Rows without words are alike and make one class.  Equal rows share a class; a row
+    without id takes part, and a class whose rows all lack an id has none.  Texts count whole, whatever their length.
+    Empty table: no rows.  Other columns are ignored.
+    """
+    rows, roots, links = _linked(docs, id_col, text_col)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    rows = rows.join(roots.join(ends, "node", "left"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rows.groupBy("root").agg(F.min("id").alias("class_id"))
+    return rows.join(least, "root").select("id", "node", "root", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``class_id`` and ``kept`` (it is the one its class keeps)."""
+    """One row per row of ``docs``: its id, ``class_id``, ``kept`` (it is the one its class keeps) and ``links``; see
+    ``classes``."""
     found = classes(docs, id_col, text_col)
-    return found.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "links")
 
 
 def _with_nodes(rows: DataFrame, text_col: str) -> DataFrame:
@@ -401,7 +447,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("root", "id").agg(F.min("node").alias("node"))
     counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     kept = durable(kept.join(counts.withColumnRenamed("id", "same"), F.col("id").eqNullSafe(F.col("same"))).drop("same"), "kept")
-    here = docs[id_col].cast("bigint")
+    here = docs[id_col]
     once = kept.filter(F.col("n") == 1).select(F.col("id").alias("_kept"))
     out = docs.join(once, here.eqNullSafe(F.col("_kept")), "left_semi")
     again = kept.filter(F.col("n") > 1)
@@ -410,7 +456,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Rows that share their id are told apart by text; only they move as a whole a second time.
     rows = docs.join(again.select(F.col("id").alias("_kept")).distinct(), here.eqNullSafe(F.col("_kept")), "left_semi")
     rows = _with_nodes(rows, text_col).join(again.select("node", F.col("id").alias("_kept")), "node")
-    rows = rows.filter(F.col(f"whole.`{id_col}`").cast("bigint").eqNullSafe(F.col("_kept")))
+    rows = rows.filter(F.col(f"whole.`{id_col}`").eqNullSafe(F.col("_kept")))
     place = F.row_number().over(W.partitionBy("node", "_kept").orderBy(f"whole.`{text_col}`"))
     rows = rows.withColumn("_place", place).filter(F.col("_place") == 1)
     return out.unionByName(rows.select("whole.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.numbering import durable
+from rankweave.operators.numbering import drop, durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,18 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of the edges ``(a, b)``: the smallest node it is connected with.
+    """``(node, root)`` for every node of the edges ``(a, b)``, written out: the smallest node it is connected with.
 
     Every round is written to the shared folder; the rounds end when the edges stay the same, after about
     the logarithm of the longest path.
     """
     now, mark = durable(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges"), None
     while True:
-        now = durable(_small_star(_large_star(now)), "edges")
+        before, now = now, durable(_small_star(_large_star(now)), "edges")
+        drop(before)
         sums = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
         found = tuple(now.agg(*sums).first())
         if found == mark:
             break
         mark = found
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = durable(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    drop(now)
+    return roots

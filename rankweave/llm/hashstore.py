@@ -115,6 +115,13 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
+def drop(spark, stored: tuple[str, int]) -> None:
+    """Delete a store that is not looked at any more."""
+    from rankweave.operators.numbering import remove
+
+    remove(spark, stored[0])
+
+
 def store(keys, column: str, name: str, value: str | None = None) -> tuple[str, int]:
     """Write the distinct numbers of a column as a store: its folder and number of shards.
 
