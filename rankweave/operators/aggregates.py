@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,20 @@ def merge_recency(
     )
 
 
+def sum_popularity(parts: Sequence[DataFrame]) -> DataFrame:
+    """One count table from several."""
+    return reduce(DataFrame.unionByName, parts).groupBy(ITEM_ID).agg(F.sum("count").alias("count"))
+
+
+def sum_recency(parts: Sequence[tuple[DataFrame, date]], reference: date, halflife_days: float = 30.0) -> DataFrame:
+    """One score table at ``reference`` from several, each with the day its scores are of."""
+    aged = [
+        p.select(ITEM_ID, (F.col("recency_score") * decay(F.datediff(F.lit(reference), F.lit(day)), halflife_days)).alias("recency_score"))
+        for p, day in parts
+    ]
+    return reduce(DataFrame.unionByName, aged).groupBy(ITEM_ID).agg(F.sum("recency_score").alias("recency_score"))
+
+
 def cluster_preferences(interactions: DataFrame, assignments: DataFrame) -> DataFrame:
     """``(cluster, item_id, cluster_score)`` with ``avg(value) * count(*)``.
 

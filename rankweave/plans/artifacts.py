@@ -1,74 +1,81 @@
 """Fitted signals at rest.
 
-``model=<signal>/version=<n>/tables/<name>`` and ``.../models/<name>``, plus a log row written last.
-Loading takes the newest logged version of each signal; a version without a log row does not exist.
+``model=<signal>/attempt=<n>/tables/<name>`` and ``.../models/<name>``, plus an entry ``log/<signal>-<version>.json``
+published last, at most once per version.  Loading takes the newest entry of each signal; an attempt without an
+entry does not exist.  Of several savers each keeps its version, the last one is loaded.  Only the newest ``RETAINED``
+versions of a signal are kept.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.recommendation import ALSModel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from rankweave.operators.numbering import remove
 from rankweave.plans.heuristics import Heuristics
 from rankweave.plans.recommend import Fitted, fit_all
 from rankweave.plans.signals import SIGNALS, Artifacts, Features, Signal
+from rankweave.sources.commits import Entries, unique
 
 MODEL_CLASSES: dict[str, Any] = {"als": ALSModel, "kmeans": KMeansModel}
 
-_LOG = "signal string, version long, settings string, tables array<string>, models array<string>"
+RETAINED = 8
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_LOG).json(f"{root}/log")
+def _versions(log: Entries) -> dict[str, list[int]]:
+    """Versions of every signal in ascending order, from the names of the entries."""
+    found: dict[str, list[int]] = {}
+    for name in log.names():
+        signal, version = name.rsplit("-", 1)
+        found.setdefault(signal, []).append(int(version))
+    return found
 
 
-def _latest(spark: SparkSession, root: str) -> list:
-    """Newest log row per signal; one row per signal comes to the driver."""
-    try:
-        rows = _log(spark, root).groupBy("signal").agg(
-            F.max_by(F.struct("version", "settings", "tables", "models"), "version").alias("row")
-        )
-        return rows.select("signal", "row.*").collect()
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
+def _entry(signal: str, version: int) -> str:
+    return f"{signal}-{version:09d}"
 
 
 def save(spark: SparkSession, artifacts: Mapping[str, Artifacts], root: str) -> None:
     """Write a new version of every given signal."""
-    versions = {r["signal"]: r["version"] for r in _latest(spark, root)}
+    log = Entries(spark, f"{root}/log")
     for signal, art in artifacts.items():
-        version = versions.get(signal, -1) + 1
-        base = f"{root}/model={signal}/version={version}"
+        attempt = unique()
+        base = f"{root}/model={signal}/attempt={attempt}"
         for name, table in art.tables.items():
             table.write.mode("overwrite").parquet(f"{base}/tables/{name}")
         for name, model in art.models.items():
             model.write().overwrite().save(f"{base}/models/{name}")
-        row = (signal, version, json.dumps(dict(art.settings)), list(art.tables), list(art.models))
-        entry = spark.createDataFrame([row], _LOG).coalesce(1)
-        entry.write.mode("overwrite").json(f"{root}/log/entry={signal}-{version}")
+        entry = {"signal": signal, "attempt": attempt, "settings": dict(art.settings), "tables": list(art.tables), "models": list(art.models)}
+        known = _versions(log).get(signal, [])
+        version = known[-1] + 1 if known else 0
+        while not log.publish(_entry(signal, version), entry | {"version": version}):
+            version += 1
+        for old in [v for v in known if v <= version - RETAINED]:
+            past = log.read(_entry(signal, old))
+            if past:
+                remove(spark, f"{root}/model={signal}/attempt={past['attempt']}")
+            log.remove(_entry(signal, old))
 
 
 def load(spark: SparkSession, root: str, only: Iterable[str] | None = None) -> dict[str, Artifacts]:
     """Newest version of every saved signal; an empty dictionary when nothing was saved."""
     wanted = None if only is None else set(only)
-    out = {}
-    for row in _latest(spark, root):
-        if wanted is not None and row["signal"] not in wanted:
+    log, out = Entries(spark, f"{root}/log"), {}
+    for signal, versions in _versions(log).items():
+        if wanted is not None and signal not in wanted:
             continue
-        base = f"{root}/model={row['signal']}/version={row['version']}"
-        out[row["signal"]] = Artifacts(
+        row = log.read(_entry(signal, versions[-1]))
+        if row is None:
+            raise FileNotFoundError(f"{signal} version {versions[-1]} at {root} was replaced while it was read")
+        base = f"{root}/model={signal}/attempt={row['attempt']}"
+        out[signal] = Artifacts(
             {n: spark.read.parquet(f"{base}/tables/{n}") for n in row["tables"]},
             {n: MODEL_CLASSES[n].load(f"{base}/models/{n}") for n in row["models"]},
-            json.loads(row["settings"]),
+            row["settings"],
         )
     return out
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import pytest
@@ -13,8 +14,10 @@ from rankweave.plans.heuristics import Heuristics, SignalConfig
 from rankweave.plans.recommend import fit_all, recommend
 from rankweave.plans.signals import SIGNALS, Artifacts, Features, Signal, als_factors
 from rankweave.plans.scores import item_scores
+from rankweave.schema import INTERACTIONS
 from rankweave.sources import events, synthetic
-from rankweave.sources.store import FeatureStore
+from rankweave.sources.commits import Entries
+from rankweave.sources.store import COMPACT, FeatureStore
 from rankweave.streaming.ingest import ingest_events, ingest_step, ingest_stream, refit
 
 DAY = date(2026, 6, 2)
@@ -121,6 +124,110 @@ def test_two_writers_lose_nothing(spark, data, tmp_path):
     assert pops(store.popularity()) == pops(aggregates.popularity(store.interactions()))
 
 
+def test_races_keep_every_row(spark, data, tmp_path):
+    """Several writers at once, over and over: every batch counts once, nobody fails."""
+    root = str(tmp_path / "s")
+    FeatureStore(spark, root).bootstrap(data, DAY)
+    two = spark.createDataFrame([("u", "i1", 1.0, datetime(2026, 6, 1)), ("u", "i2", None, datetime(2026, 5, 1))], INTERACTIONS).cache()
+    rounds, writers = 12, 4
+
+    def write(k):
+        store = FeatureStore(spark, root)
+        for n in range(rounds):
+            assert store.ingest(two, f"w{k}", n, DAY) == 2
+
+    with ThreadPoolExecutor(writers) as pool:
+        for done in [pool.submit(write, k) for k in range(writers)]:
+            done.result()
+    store = FeatureStore(spark, root)
+    assert store.interactions().count() == 2 * rounds * writers
+    assert pops(store.popularity()) == [("i1", rounds * writers), ("i2", rounds * writers)]
+    close(store.recency(), aggregates.recency(store.interactions(), DAY))
+    # One manifest and few entries are read, whatever came before.
+    state = store.current()
+    assert state.covered > 0 and len(state.deltas) <= COMPACT + writers and len(store._since(state)) <= COMPACT + writers + 1
+    assert store.has_batch("w0", 0) and not store.has_batch("w0", rounds)
+    assert store.ingest(two, "w3", 0, DAY) == 0
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    entries, wins = Entries(spark, str(tmp_path / "log")), []
+    assert entries.names() == [] and entries.read("x") is None
+
+    def claim(k):
+        for n in range(200):
+            if entries.publish(f"{n:03d}", {"by": k}):
+                wins.append((n, k))
+
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(claim, k) for k in range(2)]:
+            done.result()
+    assert sorted(n for n, _ in wins) == list(range(200)) and entries.names() == [f"{n:03d}" for n in range(200)]
+    assert all(entries.read(f"{n:03d}") == {"by": k} for n, k in wins)
+    # The other way of publishing, one after the other.
+    entries._name = entries._rename
+    assert entries.publish("a", {"x": 1}) and not entries.publish("a", {"x": 2}) and entries.read("a") == {"x": 1}
+    assert len(list((tmp_path / "log").glob(".draft-*"))) == 0
+
+
+def test_a_batch_writes_its_own_items_only(spark, data, tmp_path):
+    store = FeatureStore(spark, str(tmp_path / "s"))
+    store.build(data, date(2026, 1, 1))
+    base = store.current().aggregates
+    for n in range(3):
+        store.ingest(data.interactions.limit(2), "events", n, date(2026, 1, 2 + n))
+    state = store.current()
+    assert state.aggregates == base and len(state.deltas) == 3
+    assert all(store._delta(n).count() <= 2 for n, _ in state.deltas)
+    close(store.recency(), aggregates.recency(store.interactions(), date(2026, 1, 4)))
+    held = pops(store.popularity())
+    commit, store._commit = store._commit, None
+    with pytest.raises(TypeError):
+        store.compact()  # lost before its commit
+    store._commit = commit
+    assert store.current() == state and pops(store.popularity()) == held
+    assert store.compact() and store.current().deltas == [] and pops(store.popularity()) == held
+    close(store.recency(), aggregates.recency(store.interactions(), date(2026, 1, 4)))
+    assert store.interactions().count() == 906 and store.has_batch("events", 1) and store.ingest(data.interactions, "events", 1, DAY) == 0
+
+
+def test_old_versions_go(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr("rankweave.sources.store.RETAINED", 4)
+    monkeypatch.setattr("rankweave.sources.store.COMPACT", 3)
+    store = FeatureStore(spark, str(tmp_path / "s"))
+    store.build(data, DAY)
+    store.build(data, DAY)
+    for n in range(12):
+        store.ingest(data.interactions.limit(1), "events", n, DAY)
+    names = store._entries.names()
+    assert len(names) <= 4 + 2 * 3 and int(names[-1]) >= 13
+    named = {f for n in names for f in store._read(int(n)).folders()}
+    there = {f"{t.name}/{v.name}" for t in (tmp_path / "s").iterdir() if t.name not in ("log", "interactions") for v in t.iterdir()}
+    assert there == named and len(list((tmp_path / "s" / "interactions").iterdir())) == 1
+    assert store.interactions().count() == 912 and sum(r["count"] for r in store.popularity().collect()) == 912
+    assert store.user_features().count() == 60
+
+
+def test_two_savers_keep_their_tables_apart(spark, data, tmp_path):
+    root = str(tmp_path / "m")
+
+    def one(k):
+        for n in range(3):
+            table = spark.createDataFrame([(k, n)] * 5, "k int, n int")
+            artifacts.save(spark, {"own": Artifacts({"a": table, "b": table}, {}, {"k": k, "n": n})}, root)
+
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(one, k) for k in range(2)]:
+            done.result()
+    art = artifacts.load(spark, root)["own"]
+    for name in "ab":
+        assert {tuple(r) for r in art.tables[name].collect()} == {(art.settings["k"], art.settings["n"])}
+    assert spark.read.json(f"{root}/log").count() == 6
+    for n in range(9):
+        artifacts.save(spark, {"own": Artifacts({"a": spark.range(1)}, {}, {})}, root)
+    assert spark.read.json(f"{root}/log").count() == artifacts.RETAINED == len(list((tmp_path / "m" / "model=own").iterdir()))
+
+
 def test_a_lost_follow_up_is_made_up(spark, data, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "s"))
     store.bootstrap(data, DAY)
