@@ -1,6 +1,6 @@
-"""Task-side arithmetic of ``dense.py``: one block of users against one block of items.
+"""Task-side arithmetic of ``dense.py``: a task's users against all item blocks, one block after the other.
 
-Only numpy and pandas are needed here.  The module is shipped to the executors by value, so they do not
+Only numpy, pandas and pyarrow are needed here.  The module is shipped to the executors by value, so they do not
 need the package installed.
 """
 
@@ -10,7 +10,10 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 
 from rankweave.functions.scaling import DIGITS, MINMAX, NOISE
@@ -41,15 +44,21 @@ def _fixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _matrix(column: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _vectors(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows plus a mask of the rows that have one; the others are zero."""
-    has = column.notna().to_numpy()
-    out = np.zeros((len(column), dim))
+    lists = column.combine_chunks()
+    has = lists.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dim))
     if has.any() and dim:
-        out[has] = np.stack(column[has].to_numpy())
+        out[has] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return out, has
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Doubles, NaN for null."""
+    return column.combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+
+
 def _scale(x: np.ndarray, stats: tuple[np.ndarray, ...], method: str) -> np.ndarray:
     """Scale the rows of ``x`` in place."""
     lo, hi, mean, sd = stats
@@ -70,11 +79,34 @@ def _products(profiles: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.nan_to_num(x, copy=False, nan=0.0) if np.isnan(x).any() else x
 
 
-def _stats(x: np.ndarray, method: str) -> tuple[np.ndarray, ...]:
-    lo, hi = x.min(axis=1), x.max(axis=1)
-    if method == MINMAX:
-        return lo, hi, np.zeros(len(x)), np.zeros(len(x))
-    return lo, hi, x.mean(axis=1), x.std(axis=1)
+class Spread:
+    """Extremes, count, mean and squared deviations of users' products, block after block.
+
+    There is one way of adding up, whether the items are one block or many.
+    """
+
+    def __init__(self, users: int):
+        self.lo, self.hi = np.full(users, np.inf), np.full(users, -np.inf)
+        self.n, self.mean, self.m2 = np.zeros(users), np.zeros(users), np.zeros(users)
+
+    def add(self, at: slice, x: np.ndarray) -> None:
+        if not x.shape[1]:
+            return
+        n, mean, m2 = x.shape[1], x.mean(axis=1), x.var(axis=1) * x.shape[1]
+        both = self.n[at] + n
+        away = mean - self.mean[at]
+        self.m2[at] += m2 + away * away * self.n[at] * n / both
+        self.mean[at] += away * n / both
+        self.n[at] = both
+        self.lo[at] = np.minimum(self.lo[at], x.min(axis=1))
+        self.hi[at] = np.maximum(self.hi[at], x.max(axis=1))
+
+    def stats(self, at: slice) -> tuple[np.ndarray, ...]:
+        """lo, hi, mean, sd; 0 where nothing was added."""
+        n = self.n[at]
+        some = n > 0
+        sd = np.sqrt(self.m2[at] / np.maximum(n, 1))
+        return np.where(some, self.lo[at], 0.0), np.where(some, self.hi[at], 0.0), self.mean[at], sd
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +129,45 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], column[keep]
 
 
-def _spread(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _spread(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Row number and value of every element of a column of arrays."""
-    filled = [(j, v) for j, v in enumerate(lists) if v is not None and len(v)]
-    if not filled:
-        return np.zeros(0, dtype=int), np.zeros(0)
-    rows = np.repeat([j for j, _ in filled], [len(v) for _, v in filled])
-    return rows, np.concatenate([np.asarray(v) for _, v in filled])
+    whole = lists.combine_chunks()
+    return pc.list_parent_indices(whole).to_numpy(zero_copy_only=False), whole.flatten()
+
+
+class Block:
+    """The items of one block in the order of their ids."""
+
+    def __init__(self, rows: pa.Table, dense, item_names, group_names):
+        rows = rows.sort_by(ITEM_ID)
+        self.ids = rows[ITEM_ID].combine_chunks()
+        self.usable = rows["ok"].to_numpy().astype(bool)
+        self.base = {n: _numbers(rows[f"c_{n}"]) for n in item_names}
+        self.common = sum(self.base.values(), np.zeros(len(rows)))
+        self.vectors = {n: _vectors(rows[f"v_{n}"], dim) for n, dim, *_ in dense}
+        self.listed = {}
+        for n in group_names:
+            slots, groups = _spread(rows[f"lg_{n}"])
+            self.listed[n] = slots, groups, _spread(rows[f"lc_{n}"])[1].to_numpy(zero_copy_only=False)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def group_values(self, name: str, groups: pa.Array) -> np.ndarray:
+        """Groups x items, NaN where a group does not list an item."""
+        slots, listed, values = self.listed[name]
+        out = np.full((len(groups), len(self)), np.nan)
+        code = pc.index_in(listed, value_set=groups).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(code) if code.dtype.kind == "f" else code >= 0
+        out[code[known].astype(int), slots[known]] = values[known]
+        return out
 
 
 class BlockScorer:
-    """Task-side half of ``dense_candidates``: one user block against one item block."""
+    """One task of ``dense.py``: its users, and the item blocks of a folder.
+
+    A block is read once for the users' extremes and once for their best items; the only block there is, once.
+    """
 
     def __init__(
         self,
@@ -115,78 +175,94 @@ class BlockScorer:
         item_names: Sequence[str],
         group_names: Sequence[str],
         user_names: Sequence[str],
-        stats_given: bool,
+        folder: str,
+        blocks: int,
         k: int,
     ) -> None:
         self.dense = list(dense)
         self.item_names = list(item_names)
         self.group_names = list(group_names)
         self.user_names = list(user_names)
-        self.stats_given = stats_given
-        self.k = k
-
-    def ranges(self, users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Per user and dense signal: extremes, count, mean and squared deviations over this block."""
-        for name, dim, missing, _, _ in self.dense:
-            vectors, has_vector = _matrix(items[f"v_{name}"], dim)
-            if missing == "drop":
-                vectors = vectors[has_vector]
-            step = _rows_at_once(len(vectors))
-            for start in range(0, len(users), step):
-                part = users.iloc[start : start + step]
-                profiles, warm = _matrix(part[f"p_{name}"], dim)
-                if not warm.any() or not len(vectors):
-                    continue
-                x = _products(profiles[warm], vectors)
-                yield pd.DataFrame(
-                    {
-                        USER_ID: part[USER_ID].to_numpy()[warm],
-                        "signal": name,
-                        "lo": x.min(axis=1),
-                        "hi": x.max(axis=1),
-                        "n": float(x.shape[1]),
-                        "mean": x.mean(axis=1),
-                        "m2": x.var(axis=1) * x.shape[1],
-                    }
-                )
-
-    def top(self, users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if users.empty or items.empty:
-            return
-        items = items.sort_values("slot", ignore_index=True)
-        ids = items[ITEM_ID].to_numpy()
-        usable = items["ok"].to_numpy(dtype=bool)
-        base = {n: items[f"c_{n}"].to_numpy(dtype=float) for n in self.item_names}
-        common = sum(base.values(), np.zeros(len(items)))
-        matrices = {n: _matrix(items[f"v_{n}"], dim) for n, dim, *_ in self.dense}
-        listed = {}
-        for n in self.group_names:
-            slots, groups = _spread(items[f"lg_{n}"])
-            _, values = _spread(items[f"lc_{n}"])
-            listed[n] = {g: (slots[groups == g], values[groups == g]) for g in np.unique(groups)}
-        step = _rows_at_once(len(items))
-        for start in range(0, len(users), step):
-            part = users.iloc[start : start + step].reset_index(drop=True)
-            yield self._chunk(part, ids, usable, base, common, matrices, listed)
-
-    def _chunk(self, users, ids, usable, base, common, matrices, listed) -> pd.DataFrame:
-        shape = (len(users), len(ids))
+        self.folder, self.blocks, self.k = folder, blocks, k
+        self.held: tuple[int, Block | None] | None = None
+
+    def block(self, number: int) -> Block | None:
+        """None for a block no item fell into."""
+        if self.held is None or self.held[0] != number:
+            where, path = fs.FileSystem.from_uri(f"{self.folder}/ib={number}")
+            there = where.get_file_info(path).type == fs.FileType.Directory
+            names = [f.path for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")] if there else []
+            parts = [pq.ParquetFile(where.open_input_file(f)).read() for f in sorted(names)]
+            rows = pa.concat_tables(parts) if parts else None
+            self.held = number, (Block(rows, self.dense, self.item_names, self.group_names) if rows is not None and len(rows) else None)
+        return self.held[1]
+
+    def _steps(self, users: int, items: int) -> Iterator[slice]:
+        step = _rows_at_once(items)
+        return (slice(i, min(i + step, users)) for i in range(0, users, step))
+
+    def _profiles(self, users: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        return {n: _vectors(users[f"p_{n}"], dim) for n, dim, *_ in self.dense}
+
+    def _scored(self, block: Block, name: str, missing: str) -> np.ndarray:
+        return block.vectors[name][1] if missing == "drop" else np.ones(len(block), dtype=bool)
+
+    def spreads(self, users: pa.Table, profiles) -> dict[str, Spread]:
+        found = {n: Spread(len(users)) for n, *_ in self.dense}
+        for number in range(self.blocks):
+            block = self.block(number)
+            for at in self._steps(len(users), len(block)) if block else ():
+                for name, _, missing, _, _ in self.dense:
+                    scored = self._scored(block, name, missing)
+                    found[name].add(at, _products(profiles[name][0][at], block.vectors[name][0][scored]))
+        return found
+
+    def ranges(self, users: pa.Table) -> pa.Table:
+        """Per user and dense signal that is not cold: lo, hi, n, mean, sd."""
+        profiles, ids = self._profiles(users), users[USER_ID].combine_chunks()
+        spreads, parts = self.spreads(users, profiles), []
+        for name, *_ in self.dense:
+            warm = profiles[name][1] & (spreads[name].n > 0)
+            lo, hi, mean, sd = (x[warm] for x in spreads[name].stats(slice(None)))
+            columns = {"lo": lo, "hi": hi, "n": spreads[name].n[warm].astype(np.int64), "mean": mean, "sd": sd}
+            whose = {USER_ID: ids.filter(pa.array(warm)), "signal": pa.array([name] * int(warm.sum()), pa.string())}
+            parts.append(pa.table(whose | columns))
+        return pa.concat_tables(parts)
+
+    def top(self, users: pa.Table, extras: pa.Table) -> pa.Table:
+        """Per user the best k allowed items of all blocks; more only where scores are equal."""
+        profiles, out = self._profiles(users), []
+        spreads = self.spreads(users, profiles) if self.blocks > 1 else {n: Spread(len(users)) for n, *_ in self.dense}
+        extras = extras.append_column("row", pc.index_in(extras[USER_ID], value_set=users[USER_ID].combine_chunks()))
+        extras = extras.sort_by([("ib", "ascending"), ("row", "ascending")])
+        of_block = extras["ib"].to_numpy() if len(extras) else np.zeros(0, int)
+        best = np.full((len(users), self.k), -np.inf)
+        for number in range(self.blocks):
+            block = self.block(number)
+            if block is None:
+                continue
+            mine = extras.slice(*_range(of_block, number))
+            for at in self._steps(len(users), len(block)):
+                out.append(self._chunk(users, at, block, mine, profiles, spreads, best))
+        fields = [pa.field(USER_ID, pa.string()), pa.field(ITEM_ID, pa.string())]
+        fields += [pa.field(f"c_{n}", pa.float64()) for n in (*self.item_names, *(n for n, *_ in self.dense), *self.group_names, *self.user_names)]
+        schema = pa.schema(fields)
+        return pa.concat_tables([t.select(schema.names).cast(schema) for t in out]) if out else schema.empty_table()
+
+    def _chunk(self, users: pa.Table, at: slice, block: Block, extras: pa.Table, profiles, spreads, best) -> pa.Table:
+        here = users.slice(at.start, at.stop - at.start)
+        rows, slots, which, values = self._pairs(extras, at, block)
+        shape = (len(here), len(block))
         parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         # Which items some signal has scored for the user.
         ranked = np.full(shape, bool(self.item_names))
-        for name, dim, missing, method, weight in self.dense:
-            profiles, warm = _matrix(users[f"p_{name}"], dim)
-            vectors, has_vector = matrices[name]
-            x = _products(profiles, vectors)
-            scored = has_vector if missing == "drop" else np.ones(len(ids), dtype=bool)
-            if self.stats_given:
-                stats = tuple(users[f"{c}_{name}"].to_numpy(dtype=float) for c in ("lo", "hi", "mean", "sd"))
-                warm = warm & ~np.isnan(stats[0])
-            elif scored.any():
-                stats = _stats(x if scored.all() else x[:, scored], method)
-            else:
-                stats, warm = (np.zeros(len(users)),) * 4, np.zeros(len(users), dtype=bool)
-            value = _scale(x, stats, method)
+        for name, _, missing, method, weight in self.dense:
+            warm, scored = profiles[name][1][at], self._scored(block, name, missing)
+            x = _products(profiles[name][0][at], block.vectors[name][0])
+            if self.blocks == 1:
+                spreads[name].add(at, x if scored.all() else x[:, scored])
+            warm = warm & (spreads[name].n[at] > 0)
+            value = _scale(x, spreads[name].stats(at), method)
             value *= weight
             _fixed(value)
             if not warm.all():
@@ -196,36 +272,69 @@ class BlockScorer:
             parts[name] = (value, warm)
             ranked |= warm[:, None] & scored[None, :]
         for name in self.group_names:
-            floor = users[f"f_{name}"].to_numpy(dtype=float)
+            floor = _numbers(here[f"f_{name}"])
             warm = ~np.isnan(floor)
-            value = np.repeat(np.where(warm, floor, 0.0)[:, None], shape[1], axis=1)
-            for j, group in enumerate(users[f"g_{name}"]):
-                if warm[j] and group in listed[name]:
-                    slots, values = listed[name][group]
-                    value[j, slots] = values
+            code = here[f"g_{name}"].combine_chunks().dictionary_encode()
+            value = np.tile(np.where(warm, floor, 0.0)[:, None], shape[1])
+            if warm.any():
+                listed = block.group_values(name, code.dictionary)[code.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+                use = warm[:, None] & ~np.isnan(listed)
+                value[use] = listed[use]
             parts[name] = (value, warm)
             ranked |= warm[:, None]
-        for name in self.user_names:
-            floor = users[f"f_{name}"].to_numpy(dtype=float)
+        for j, name in enumerate(self.user_names):
+            floor = _numbers(here[f"f_{name}"])
             warm = ~np.isnan(floor)
-            value = np.repeat(np.where(warm, floor, 0.0)[:, None], shape[1], axis=1)
-            rows, slots = _spread(users[f"ls_{name}"])
-            _, values = _spread(users[f"lc_{name}"])
-            value[rows, slots.astype(int)] = values
+            value = np.tile(np.where(warm, floor, 0.0)[:, None], shape[1])
+            use = which == j
+            value[rows[use], slots[use]] = values[use]
             parts[name] = (value, warm)
             ranked |= warm[:, None]
-        final = np.repeat(common[None, :], shape[0], axis=0)
+        final = np.tile(block.common, (shape[0], 1))
         for value, _ in parts.values():
             final += value
         _fixed(final)
         final[~ranked] = -np.inf
-        final[:, ~usable] = -np.inf
-        rows, slots = _spread(users["skip"])
-        final[rows, slots.astype(int)] = -np.inf
+        final[:, ~block.usable] = -np.inf
+        use = which < 0
+        final[rows[use], slots[use]] = -np.inf
         row, column = _best(final, self.k)
-        out = {USER_ID: users[USER_ID].to_numpy()[row], ITEM_ID: ids[column]}
+        score = final[row, column]
+        # What cannot be among the best k of the blocks so far stays here.
+        keep = score >= best[at, 0][row]
+        row, column, score = row[keep], column[keep], score[keep]
+        self._raise(best, at, row, score)
+        out = {USER_ID: here[USER_ID].combine_chunks().take(pa.array(row)), ITEM_ID: block.ids.take(pa.array(column))}
         for name in self.item_names:
-            out[f"c_{name}"] = base[name][column]
+            out[f"c_{name}"] = pa.array(block.base[name][column])
         for name, (value, warm) in parts.items():
-            out[f"c_{name}"] = np.where(warm[row], value[row, column], np.nan)
-        return pd.DataFrame(out)
+            out[f"c_{name}"] = pa.array(value[row, column], mask=~warm[row])
+        return pa.table(out)
+
+    def _pairs(self, extras: pa.Table, at: slice, block: Block):
+        """Row in the chunk, place in the block, signal and value of the pairs of these users and items."""
+        start, stop = (0, 0)
+        if len(extras):
+            place = extras["row"].to_numpy()
+            start, stop = np.searchsorted(place, [at.start, at.stop])
+        mine = extras.slice(start, stop - start)
+        slot = pc.index_in(mine[ITEM_ID].combine_chunks(), value_set=block.ids)
+        known = slot.is_valid()
+        mine, slot = mine.filter(known), slot.filter(known)
+        numbers = lambda c: mine[c].to_numpy()
+        return numbers("row") - at.start, slot.to_numpy(zero_copy_only=False), numbers("which"), numbers("c")
+
+    def _raise(self, best: np.ndarray, at: slice, row: np.ndarray, score: np.ndarray) -> None:
+        """The best k scores of each user so far, in ascending order."""
+        if self.blocks == 1 or not len(row):
+            return
+        first = np.searchsorted(row, row)
+        fresh = np.full((at.stop - at.start, self.k), -np.inf)
+        # Rows are in order and have at most k entries each.
+        fresh[row, np.arange(len(row)) - first] = score
+        best[at] = np.sort(np.concatenate([best[at], fresh], axis=1), axis=1)[:, -self.k :]
+
+
+def _range(of_block: np.ndarray, number: int) -> tuple[int, int]:
+    start, stop = np.searchsorted(of_block, [number, number + 1])
+    return int(start), int(stop - start)

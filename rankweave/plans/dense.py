@@ -1,24 +1,27 @@
 """Signals whose score is a dot product for every user and item (content profiles, latent factors).
 
 Scaling such a signal needs its minimum and maximum over all candidates, so every product has to be
-computed; it does not have to be written.  Users and items are cut into blocks, Spark shuffles each user
-block to each item block, and a task multiplies the two matrices and keeps the top k per user.  All
-other contributions are added inside the task, so what leaves it is at most k rows per user and block.
-
-Every group is bounded: an item block has at most ``ITEM_BLOCK`` items, and what a user brings along to a
-block (seen items, rule scores) has at most one entry per item of the block.
+computed; it does not have to be written.  Items are cut into blocks by a hash of their id and written once, with
+their vectors and common contributions, to the shared folder.  Users are cut into blocks too, one task each, which
+holds its users and what they bring along (seen items, rule scores) and reads one item block after the other:
+first for the users' extremes, then for their best items.  So items are not shuffled per user block, users
+not per item block, and what leaves a task is the top k of its users.
+
+Every task is bounded: an item block has about ``ITEM_BLOCK`` items, a user block at most ``MAX_USER_BLOCK`` users, and a
+user has at most one seen entry per item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.scaling import MINMAX, fixed
-from rankweave.operators.numbering import number_rows
+from rankweave.functions.scaling import fixed
+from rankweave.operators.numbering import scratch
 from rankweave.plans.blocks import BlockScorer
 from rankweave.plans.scores import (
     GROUP,
@@ -35,14 +38,20 @@ MIN_USER_BLOCK = 512
 MAX_USER_BLOCK = 65536
 
 
-def item_slots(candidates: DataFrame) -> DataFrame:
-    """``(item_id, ib, slot)``: blocks of at most ``ITEM_BLOCK`` items, in item id order."""
-    numbered = number_rows(candidates.select(ITEM_ID), [F.asc(ITEM_ID)])
-    return numbered.select(
-        ITEM_ID,
-        F.floor(F.col("pos") / ITEM_BLOCK).cast("int").alias("ib"),
-        (F.col("pos") % ITEM_BLOCK).cast("int").alias("slot"),
-    )
+def item_block(item: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+
+
+def _written(items: DataFrame, blocks: int) -> str:
+    """The folder of the item table, a subfolder per block."""
+    folder = scratch(items.sparkSession, "item-blocks")
+    cut = items.withColumn("ib", item_block(ITEM_ID, blocks))
+    cut.repartition(blocks, "ib").write.partitionBy("ib").parquet(folder)
+    return folder
+
+
+def _block_count(candidates: DataFrame) -> int:
+    return max(1, -(-candidates.count() // ITEM_BLOCK))
 
 
 def user_block_count(users: DataFrame) -> int:
@@ -56,77 +65,27 @@ def user_block_count(users: DataFrame) -> int:
     return max(1, -(-n // size))
 
 
-def _blocks(slots: DataFrame) -> int:
-    return int(slots.agg(F.max("ib")).first()[0] or 0) + 1
-
-
-def _paired(users: DataFrame, items: DataFrame, user_blocks: int, item_blocks: int):
-    """Both sides keyed by (user block, item block)."""
-    left = users
-    if "ib" not in users.columns:
-        left = users.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
-    right = items.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
-    # The work per byte is high: small blocks must not be merged into few tasks.
-    spark = users.sparkSession
-    most = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = min(user_blocks * item_blocks, most)
-    left = left.repartition(partitions, "ub", "ib")
-    right = right.repartition(partitions, "ub", "ib")
-    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-
-
-def _deviations(sum_, part):
-    away = part["m"] - F.col("mean")
-    return sum_ + part["m2"] + part["n"] * away * away
-
-
 def _user_block(user_blocks: int):
     return F.pmod(F.xxhash64(USER_ID), F.lit(user_blocks)).cast("int").alias("ub")
 
 
-def dense_ranges(
-    users: DataFrame, candidates: DataFrame, dense: Sequence[DenseScores], slots: DataFrame | None = None
-) -> DataFrame:
+def dense_ranges(users: DataFrame, candidates: DataFrame, dense: Sequence[DenseScores]) -> DataFrame:
     """``(user_id, signal, lo, hi, n, mean, sd)`` over all candidates, for users that are not cold."""
-    slots = item_slots(candidates) if slots is None else slots
-    who = users.select(USER_ID).distinct()
+    asked = users.select(USER_ID).distinct()
+    who, items = asked, candidates.select(ITEM_ID, F.lit(True).alias("ok"))
     for s in dense:
         who = who.join(s.users.select(USER_ID, F.col("features").alias(f"p_{s.signal}")), USER_ID, "left")
-    items = slots
-    for s in dense:
         items = items.join(s.items.select(ITEM_ID, F.col("features").alias(f"v_{s.signal}")), ITEM_ID, "left")
-    user_blocks, item_blocks = user_block_count(users.select(USER_ID).distinct()), _blocks(slots)
-    scorer = BlockScorer(
-        [(s.signal, s.dim, s.missing, s.method, 1.0) for s in dense], [], [], [], False, 0
-    )
-    schema = f"{USER_ID} string, signal string, lo double, hi double, n double, mean double, m2 double"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(scorer.ranges(left, right))
-        return pd.concat(found) if found else pd.DataFrame(columns=[USER_ID, "signal", "lo", "hi", "n", "mean", "m2"])
-
-    pairs = _paired(who.select("*", _user_block(user_blocks)), items, user_blocks, item_blocks)
-    # Blocks are few per user; their deviations are merged around the common mean.
-    return (
-        pairs.applyInPandas(run, schema)
-        .groupBy(USER_ID, "signal")
-        .agg(
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-            F.sum("n").alias("n"),
-            (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-            F.collect_list(F.struct("n", F.col("mean").alias("m"), "m2")).alias("parts"),
-        )
-        .select(
-            USER_ID,
-            "signal",
-            "lo",
-            "hi",
-            F.col("n").cast("long").alias("n"),
-            "mean",
-            F.sqrt(F.aggregate("parts", F.lit(0.0), _deviations) / F.col("n")).alias("sd"),
-        )
-    )
+    blocks, user_blocks = _block_count(candidates), user_block_count(asked)
+    scorer = BlockScorer([(s.signal, s.dim, s.missing, s.method, 1.0) for s in dense], [], [], [], _written(items, blocks), blocks, 0)
+    schema = f"{USER_ID} string, signal string, lo double, hi double, n bigint, mean double, sd double"
+    dealt = who.select("*", _user_block(user_blocks)).repartition(_tasks(users, user_blocks), "ub")
+    return dealt.groupBy("ub").applyInArrow(lambda part: scorer.ranges(part), schema)
+
+
+def _tasks(users: DataFrame, user_blocks: int) -> int:
+    """The work per byte is high: small blocks must not be merged into few tasks."""
+    return min(user_blocks, 16 * int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def dense_candidates(
@@ -138,7 +97,8 @@ def dense_candidates(
     seen: DataFrame | None,
     k: int,
 ) -> DataFrame:
-    """``(user_id, item_id, c_<signal>...)``: per user and item block the k best allowed items.
+    """``(user_id, item_id, c_<signal>...)``: the k best allowed items of every user, and no more than k of a block
+    beyond them where scores are equal.
 
     Scaling is over ``candidates``; only items in ``pool`` are returned.
     """
@@ -151,14 +111,11 @@ def dense_candidates(
     def weighted(s: Scores):
         return fixed(F.col(SCORE) * F.lit(float(weights[s.signal])))
 
-    slots = item_slots(candidates)
-    item_blocks = _blocks(slots)
+    blocks = _block_count(candidates)
     asked = users.select(USER_ID).distinct()
     user_blocks = user_block_count(asked)
 
-    items = slots.join(pool.select(ITEM_ID, F.lit(True).alias("ok")), ITEM_ID, "left").fillna(
-        False, ["ok"]
-    )
+    items = candidates.select(ITEM_ID).join(pool.select(ITEM_ID, F.lit(True).alias("ok")), ITEM_ID, "left").fillna(False, ["ok"])
     for s in item_s:
         part = s.listed.select(ITEM_ID, weighted(s).alias(f"c_{s.signal}"))
         items = items.join(part, ITEM_ID, "left").fillna(0.0, [f"c_{s.signal}"])
@@ -197,58 +154,34 @@ def dense_candidates(
     for s in dense:
         part = s.users.select(USER_ID, F.col("features").alias(f"p_{s.signal}"))
         who = who.join(part, USER_ID, "left")
-    stats_given = item_blocks > 1
-    if stats_given:
-        ranges = dense_ranges(asked, candidates, dense, slots)
-        for s in dense:
-            part = ranges.filter(F.col("signal") == s.signal).select(
-                USER_ID, *[F.col(c).alias(f"{c}_{s.signal}") for c in ("lo", "hi", "mean", "sd")]
-            )
-            who = who.join(part, USER_ID, "left")
-
-    who = who.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
+
+    def brought(pairs: DataFrame, which: int, value: Column) -> DataFrame:
+        """What users bring along: pairs with the signal's place, -1 for seen items."""
+        mine = pairs.join(asked, USER_ID, "left_semi")
+        return mine.select(USER_ID, ITEM_ID, item_block(ITEM_ID, blocks).alias("ib"), F.lit(which).alias("which"), value.alias("c"))
+
+    extras = [brought(s.listed, j, weighted(s)) for j, s in enumerate(user_s)]
     if seen is not None:
-        skip = (
-            seen.join(slots, ITEM_ID)
-            .groupBy(USER_ID, "ib")
-            .agg(F.collect_list("slot").alias("skip"))
-        )
-        who = who.join(skip, [USER_ID, "ib"], "left")
-    else:
-        who = who.withColumn("skip", F.lit(None).cast("array<int>"))
-    for s in user_s:
-        part = (
-            s.listed.join(slots, ITEM_ID)
-            .groupBy(USER_ID, "ib")
-            .agg(F.collect_list(F.struct("slot", weighted(s).alias("c"))).alias("_l"))
-            .select(
-                USER_ID,
-                "ib",
-                F.col("_l.slot").alias(f"ls_{s.signal}"),
-                F.col("_l.c").alias(f"lc_{s.signal}"),
-            )
-        )
-        who = who.join(part, [USER_ID, "ib"], "left")
+        extras.append(brought(seen, -1, F.lit(0.0)))
+    if not extras:
+        kind = f"{USER_ID} string, {ITEM_ID} string, ib int, which int, c double"
+        extras.append(users.sparkSession.createDataFrame([], kind))
 
+    names = [*[s.signal for s in item_s], *[s.signal for s in dense], *[s.signal for s in group_s], *[s.signal for s in user_s]]
     scorer = BlockScorer(
         [(s.signal, s.dim, s.missing, s.method, float(weights[s.signal])) for s in dense],
         [s.signal for s in item_s],
         [s.signal for s in group_s],
         [s.signal for s in user_s],
-        stats_given,
+        _written(items, blocks),
+        blocks,
         k,
     )
-    names = [s.signal for s in scores]
-    columns = [USER_ID, ITEM_ID, *[f"c_{n}" for n in names]]
     schema = f"{USER_ID} string, {ITEM_ID} string, " + ", ".join(f"c_{n} double" for n in names)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(scorer.top(left, right))
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return scorer.top(left, right)
 
-    pairs = _paired(who.select("*", _user_block(user_blocks)), items, user_blocks, item_blocks)
-    scored = pairs.applyInPandas(run, schema)
-    # Arrow hands NaN back as it is; a cold signal is null.
-    return scored.select(
-        USER_ID, ITEM_ID, *[F.when(~F.isnan(f"c_{n}"), F.col(f"c_{n}")).alias(f"c_{n}") for n in names]
-    )
+    tasks = _tasks(users, user_blocks)
+    deal = lambda df: df.select("*", _user_block(user_blocks)).repartition(tasks, "ub").groupBy("ub")
+    return deal(who).cogroup(deal(reduce(DataFrame.unionByName, extras))).applyInArrow(run, schema)
