@@ -12,6 +12,7 @@ work and memory do not depend on how documents repeat or which source they come
 from __future__ import annotations
 
 import os
+import re
 import string
 import sys
 import zlib
@@ -34,7 +35,9 @@ PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 # Partitions whose open windows are merged by one task.
 MERGED = 32
 # Words a worker remembers, and ids they may take.
-REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 24
+REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 24
+# Words given to the tokenizer side by side.
+JOINED = 256
 _IDS = np.dtype("<u4")
 # What may part words, and the marks that may end one.
 _SPACES, _MARKS = "\t\n\x0b\x0c\r ", ".,"
@@ -59,6 +62,11 @@ class WordIds:
         parts = [c for c in _SPACES if ids([f"{c}{x}{c}{c}{y}{c}" for x, y in zip(probes, probes[::-1], strict=True)]) == trace]
         folded = ids([p.upper() for p in probes]) == ids([p.title() for p in probes]) == ids(probes)
         marks = [c for c in _MARKS if parts and ids([p + c for p in probes]) == [x + ids([c])[0] for x in ids(probes)]]
+        # A mark between two words shows where the ids of the first one end.
+        single = [(parts[0] + c + parts[0], ids([c])[0][0]) for c in marks if len(ids([c])[0]) == 1]
+        self.fence, self.fence_id = single[0] if single else (None, None)
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lone = re.compile("|".join(re.escape(x) for x in [self.fence.strip(), *names])) if single else None
         self.exact, self.folded = words.Hasher(exact=True), words.Hasher(exact=not folded)
         self.exact.space[:] = False
         self.exact.space[[ord(c) for c in parts]] = True
@@ -67,9 +75,16 @@ class WordIds:
         self.other[[ord(c) for c in string.ascii_letters]] = False
         self._forget()
 
-    def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, _IDS)
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Start anew with the words that ``keep`` names."""
+        if keep is None:
+            self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.flat, self.again = np.zeros(0, _IDS), np.zeros(0, bool)
+            return
+        at, size = self.at[keep], self.size[keep]
+        first = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(at - first, size) + np.arange(int(size.sum()))]
+        self.keys, self.at, self.size, self.again = self.keys[keep], first, size, np.zeros(len(first), bool)
 
     def _encode(self, found: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
@@ -98,22 +113,49 @@ class WordIds:
             data,
         )
 
+    def _side_by_side(self, found: list[str]) -> list[np.ndarray]:
+        """Ids of each word, many words in one text for the tokenizer, which costs about half.
+
+        Words that hold the mark between them or the name of a special token go by themselves, and so does a text
+        where the number of marks is not right.
+        """
+        out: list[np.ndarray] = [np.zeros(0, _IDS)] * len(found)
+        lone = [k for k, w in enumerate(found) if self.lone.search(w)] if self.lone else list(range(len(found)))
+        alone = set(lone)
+        joint = [k for k in range(len(found)) if k not in alone]
+        runs = [joint[i : i + JOINED] for i in range(0, len(joint), JOINED)]
+        for run, ids in zip(runs, self._encode([self.fence.join([found[k] for k in run]) for run in runs]) if runs else (), strict=True):
+            row = np.array(ids, _IDS)
+            cuts = np.flatnonzero(row == self.fence_id).tolist()
+            if len(cuts) != len(run) - 1:
+                lone += run
+                continue
+            for k, a, b in zip(run, [-1, *cuts], [*cuts, len(row)], strict=True):
+                out[k] = row[a + 1 : b]
+        for k, ids in zip(lone, self._encode([found[k] for k in lone]) if lone else (), strict=True):
+            out[k] = np.array(ids, _IDS)
+        return out
+
     def _learn(self, keys: np.ndarray, found: list[str]) -> None:
-        ids = self._encode(found)
+        ids = self._side_by_side(found)
         size = np.array([len(x) for x in ids], np.int64)
         at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], _IDS)])
+        self.flat = np.concatenate([self.flat, *ids])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+        fresh = ((self.keys, keys), (self.at, at), (self.size, size), (self.again, False))
+        self.keys, self.at, self.size, self.again = (np.insert(x, where, y) for x, y in fresh)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows between ``offsets``, each with the end id, one after the other; where each row begins."""
         hashes, row, start, end, plain, data = self._pieces(data, offsets)
         distinct, place = np.unique(hashes, return_inverse=True)
         if len(self.keys) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
-            self._forget()
+            # Most words are met once; if those that were met again are too many as well, all go.
+            some = self.again if 2 * self.again.sum() <= REMEMBERED and 2 * self.size[self.again].sum() <= REMEMBERED_IDS else None
+            self._forget(some)
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        self.again[at[~new]] = True
         if new.any():
             some = np.zeros(len(distinct), np.int64)
             some[place] = np.arange(len(place))
