@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,10 +30,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+# The folder of the run that is going on, if any.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder."""
+    """A new folder below the folder of the run, or below the session's checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scoped(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A run that owns every folder made inside; all of them go when it ends, whether it succeeds or fails.
+
+    Write the results elsewhere before it ends: frames that read the run's tables are worth nothing afterwards.
+    """
+    folder = scratch(spark, name)
+    before = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(before)
+        remove(spark, folder)
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.operators import aggregates, baskets, filters, splits
 from rankweave.operators.encode import IdIndex, vectorize
 from rankweave.operators.filters import Filters
-from rankweave.operators.numbering import number_rows
+from rankweave.operators.numbering import drop, durable, number_rows, scoped
 from rankweave.operators.profiles import user_profiles
 from rankweave.schema import ITEM_ID, USER_ID, Applies, FeatureKind, FeatureSpec
 
@@ -222,3 +223,20 @@ def test_folds(spark):
     messy = spark.createDataFrame([("3", "20"), ("20", "3"), ("3", "4")], "user_id string, item_id string")
     got = [(int(r[0]), int(r[1])) for r in splits.by_user_item(messy).collect()]
     assert got == sorted(numbers)
+
+
+def test_a_run_owns_its_folders(spark):
+    kept = durable(spark.range(3), "kept")
+    with scoped(spark) as folder:
+        inner = durable(spark.range(4), "inner")
+        assert inner.scratch_path.startswith(folder) and inner.count() == 4
+        drop(inner)
+        drop(spark.range(1))
+        with pytest.raises(ZeroDivisionError), scoped(spark, "second") as second:
+            assert durable(spark.range(2), "x").scratch_path.startswith(second)
+            1 / 0
+        left = durable(spark.range(5), "left")
+        assert left.scratch_path.startswith(folder) and left.count() == 5
+    path = Path(folder.removeprefix("file:"))
+    assert path.parent.is_dir() and not path.exists() and kept.count() == 3
+    assert not durable(spark.range(1)).scratch_path.startswith(folder)
