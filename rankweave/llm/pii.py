@@ -20,8 +20,10 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -215,12 +217,11 @@ def _all_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, i
     spans = base_spans(text)
     taken = sorted((a, b) for _, a, b in spans)
     starts = [a for a, _ in taken]
-    import bisect
-
+    # Base spans of different kinds may lie inside each other, so the longest reach so far counts.
+    reach = list(accumulate((e for _, e in taken), max))
     for a, b in hits:
-        j = bisect.bisect_left(starts, b)
-        # Base spans of different kinds may overlap, so the longest reach so far counts.
-        if all(e <= a for _, e in taken[max(0, j - 4) : j]):
+        j = bisect_left(starts, b)
+        if not j or reach[j - 1] <= a:
             spans.append((4, a, b))
     return spans
 

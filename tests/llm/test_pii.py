@@ -97,3 +97,10 @@ def test_one_long_text_and_an_entity_in_all(spark):
     assert "term:3:11" in pii.find(awkward(spark, rows)).first()["spans"]
     rows = [(k, f"p{k} allword all@example.org q{k}") for k in range(10)]
     assert not any("term" in r["spans"] for r in pii.find(awkward(spark, rows)).collect())
+
+
+def test_a_term_inside_a_long_address_is_no_finding():
+    text = "write to 1.1.1.1+2.2.2.2+3.3.3.3+4.4.4.4+5.5.5.5.secretname@host.org or secretname"
+    hits = [(m.start(), m.end()) for m in re.finditer("secretname", text)]
+    spans = pii._all_spans(text, hits)
+    assert [s for s in spans if s[0] == 4] == [(4, *hits[1])] and sum(s[0] == 1 for s in spans) >= 5

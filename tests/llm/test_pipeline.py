@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
+from docs import TEXTS, awkward
 from test_bagminhash import brute
 from test_pii import brute as private
 from tokenizers import Tokenizer
 
 from rankweave.llm import packing
+from rankweave.operators.numbering import scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -73,5 +76,27 @@ def test_packed_whole(steps):
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in parts)
 
 
-def test_run(spark, steps):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_run_leaves_what_its_result_reads(spark, steps):
+    root = Path(scratch(spark, "x").removeprefix("file:")).parent
+    before = set(root.iterdir())
+    found = corpus_pipeline.run(spark, DATA)
+    left = set(root.iterdir()) - before
+    assert [p.name.split("-")[:2] for p in left] == [["stage", "packing"]] and found.count() > 0
+
+
+@pytest.mark.parametrize("texts", [TEXTS, []])
+def test_awkward_documents_go_through(spark, tmp_path, texts):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    awkward(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / name)
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        found = spark.read.parquet(out)
+        if k < 4:
+            assert found.columns == docs.columns
+        # Without labels and items only copies go: one text twice, three without words.
+        want = len(texts) if k == 0 else max(0, len(texts) - 5)
+        assert found.count() == want if k < 4 else {r[0] for r in found.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+        docs = found
