@@ -2,6 +2,10 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of
 ``documents``.  ``run`` writes each stage's rows as Parquet and gives them to the next.
+
+In every stage null and empty texts, rows without id and repeated rows are rows like any other (near-duplicates: one row
+of each class stays, texts without words being one class); texts count whole, whatever their length; an empty table
+gives no rows; without labels or with an empty benchmark nothing is rejected.  Further columns are kept.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import bagminhash, decontam, labelled, packing, pii, toxicity
-from rankweave.operators.numbering import scratch
+from rankweave.operators.numbering import remove, scoped, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars, where there is one, follows the text."""
     masked = pii.sanitize(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -54,9 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage.  What a stage writes for itself goes when its rows are written, and those go
+    when the next stage's are; the last stage's stay, as the result reads them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scoped(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
