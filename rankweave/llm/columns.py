@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +48,18 @@ def through_arrow(df: DataFrame, run: Callable) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Jobs started inside hand their Python workers at most about ``size`` bytes at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def no_spans() -> Column:
     return F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
