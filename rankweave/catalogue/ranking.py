@@ -41,7 +41,15 @@ from rankweave.plans.recommend import fit_all, recommend, score_all
 from rankweave.plans.signals import Features
 from rankweave.schema import BREAKDOWN, ITEM_ID, USER_ID
 
-ALL_SIX = {**GENERAL_SIGNALS, "rules": SignalConfig(0.2, RULE_PARAMS)}
+# Baskets that have to hold a rule: three, and more where customers are few and buy much of the same.
+RULE_BASKETS, RULE_ROOM = 3, 900
+
+
+def _all_six(features: Features) -> dict[str, SignalConfig]:
+    """The general mixture with rules that this many customers really have."""
+    users = max(1, features.users.count())
+    support = max(RULE_BASKETS, RULE_ROOM // users) / users
+    return {**GENERAL_SIGNALS, "rules": SignalConfig(0.2, {"min_support": support, "min_confidence": 0.05})}
 
 
 def _ranked(features: Features, heuristics: Heuristics) -> DataFrame:
@@ -108,19 +116,26 @@ def recommend_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommend_all_signals(spark: SparkSession, folder: str) -> DataFrame:
     """All six signals with learned clusters, factors and rules."""
-    return _ranked(retail_features(spark, folder, keep=True), Heuristics("retail", ALL_SIX))
+    features = retail_features(spark, folder, keep=True)
+    return _ranked(features, Heuristics("retail", _all_six(features)))
 
 
 def recommend_all_signals_checked(spark: SparkSession, folder: str) -> DataFrame:
-    """What has to hold for every user's ranking of all six signals, none of which may be skipped."""
+    """What has to hold for every user's ranking of all six signals, none of which may be skipped.
+
+    ``rules`` says that rules were found and tell some user's items apart, the same for all rows.
+    """
     features = retail_features(spark, folder, keep=True)
-    heuristics = Heuristics("retail", ALL_SIX)
+    heuristics = Heuristics("retail", _all_six(features))
     fitted = fit_all(features, heuristics)
     if fitted.skipped:
         raise RuntimeError(f"skipped: {dict(fitted.skipped)}")
+    learned = not fitted.artifacts["rules"].tables["rules"].isEmpty()
     found = durable(recommend(features, features.users.select(USER_ID), heuristics, fitted), "found")
     parts = F.aggregate(F.map_values(BREAKDOWN), F.lit(0.0), lambda s, x: s + x)
     seen = filters.seen_items(features.interactions).withColumn("seen", F.lit(True))
+    apart = found.groupBy(USER_ID).agg((F.max("c_rules") > F.min("c_rules")).alias("apart"))
+    ruled = F.lit(learned and not apart.filter("apart").isEmpty())
     before = F.lag("final_score").over(W.partitionBy(USER_ID).orderBy("rank"))
     rows = found.join(seen, [USER_ID, ITEM_ID], "left").withColumn("before", before)
     return rows.groupBy(USER_ID).agg(
@@ -128,6 +143,7 @@ def recommend_all_signals_checked(spark: SparkSession, folder: str) -> DataFrame
         F.every(F.coalesce(F.col("before") >= F.col("final_score"), F.lit(True))).alias("falling"),
         F.every(F.abs(parts - F.col("final_score")) < 1e-9).alias("parts"),
         F.every(F.col("seen").isNull()).alias("unseen"),
+        F.every(ruled).alias("rules"),
     )
 
 
@@ -289,7 +305,7 @@ new AS (SELECT DISTINCT user_id, item_id FROM ri WHERE ts >= TIMESTAMP '2001-01-
 
 ORACLES = {
     "recommend_all_signals_checked": f"""WITH {RETAIL}
-        SELECT user_id, true AS ranks, true AS falling, true AS parts, true AS unseen FROM ru""",
+        SELECT user_id, true AS ranks, true AS falling, true AS parts, true AS unseen, true AS rules FROM ru""",
     "recommend_breakdown": "SELECT user_id, rank, item_id, printf('popularity=%.6f,segments=%.6f', c_popularity, "
     "c_segments) AS parts FROM ("
     + _ranked_sql(

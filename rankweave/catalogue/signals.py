@@ -15,7 +15,7 @@ from rankweave.catalogue.common import (
     shown,
 )
 from rankweave.catalogue.features import VECTORS
-from rankweave.functions.scaling import MINMAX, ZSCORE
+from rankweave.functions.scaling import MINMAX, ZSCORE, minmax
 from rankweave.operators.encode import vectorize
 from rankweave.operators.filters import candidates, seen_items
 from rankweave.plans.dense import dense_ranges
@@ -128,6 +128,34 @@ def signal_als_implicit(spark: SparkSession, folder: str) -> DataFrame:
     return _als(spark, folder, True)
 
 
+def _als_pairs(spark: SparkSession, folder: str, implicit: bool) -> DataFrame:
+    """Whether every clicked pair's score is the product of its factors, scaled between the user's extremes.
+
+    The extremes come from the plan that ``signal_content_ranges`` checks; pairs without factors have no score.
+    """
+    features = clicks_features(spark, folder, keep=True)
+    art = SIGNALS["als_cf"].fit(features, {"implicit": implicit}).kept()
+    users, items = als_factors(art)
+    pool, pairs = candidates(features.items), seen_items(features.interactions)
+    dense = SIGNALS["als_cf"].score(art, features.users.select(USER_ID), pool, MINMAX)
+    scored = score_pairs(pairs, pool, [dense])["als_cf"].withColumnRenamed(SCORE, "given")
+    rows = pairs.join(users.withColumnRenamed("features", "x"), USER_ID).join(items.withColumnRenamed("features", "v"), ITEM_ID)
+    product = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+    extremes = dense_ranges(users, pool, [dense]).select(USER_ID, "lo", "hi")
+    wanted = rows.join(extremes, USER_ID).select(USER_ID, ITEM_ID, minmax(product, F.col("lo"), F.col("hi")).alias("want"))
+    both = pairs.join(scored, [USER_ID, ITEM_ID], "left").join(wanted, [USER_ID, ITEM_ID], "left")
+    same = F.when(F.col("want").isNull(), F.col("given").isNull()).otherwise(F.abs(F.col("given") - F.col("want")) < 1e-9)
+    return both.select(USER_ID, ITEM_ID, F.coalesce(same & (F.col("want").isNull() | F.col("want").between(-1e-9, 1 + 1e-9)), F.lit(False)).alias("same"))
+
+
+def als_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _als_pairs(spark, folder, False)
+
+
+def als_pairs_implicit(spark: SparkSession, folder: str) -> DataFrame:
+    return _als_pairs(spark, folder, True)
+
+
 def kmeans_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Whether every customer lies in the cluster with the nearest centre."""
     features = retail_features(spark, folder)
@@ -188,6 +216,8 @@ def als_solved_implicit(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "kmeans_nearest": kmeans_nearest,
+    "als_pairs": als_pairs,
+    "als_pairs_implicit": als_pairs_implicit,
     "als_solved": als_solved,
     "als_solved_implicit": als_solved_implicit,
     "signal_popularity": signal_popularity,
@@ -258,6 +288,8 @@ rul AS (SELECT user_id, item_id, listed,
 
 ORACLES = {
     "kmeans_nearest": f"WITH {RETAIL} SELECT user_id, true AS nearest FROM ru",
+    "als_pairs": f"WITH {CLICKS} SELECT DISTINCT user_id, item_id, true AS same FROM ci",
+    "als_pairs_implicit": f"WITH {CLICKS} SELECT DISTINCT user_id, item_id, true AS same FROM ci",
     "als_solved": f"WITH {CLICKS} SELECT DISTINCT user_id, true AS solved FROM ci WHERE value IS NOT NULL",
     "als_solved_implicit": f"WITH {CLICKS} SELECT DISTINCT user_id, true AS solved FROM ci",
     "signal_popularity": f"WITH {RETAIL}, {POPULARITY} SELECT item_id, round(score, 6) score FROM pop",

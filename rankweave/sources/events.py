@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,21 +74,31 @@ def body_events(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, bodies.filter(~fine).select(size.alias("events"))
 
 
-def export_json(interactions: DataFrame, path: str) -> None:
-    """JSON lines, one interaction each, written by the executors."""
-    to_messages(interactions).write.mode("overwrite").text(path)
+def _counted(messages: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows as they are, and what counts them as they are written."""
+    seen = Observation("events")
+    return messages.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
-def replay(interactions: DataFrame, fmt: str = "kafka", **options: str) -> None:
+def export_json(interactions: DataFrame, path: str) -> int:
+    """JSON lines, one interaction each, written by the executors; how many."""
+    messages, seen = _counted(to_messages(interactions))
+    messages.write.mode("overwrite").text(path)
+    return seen.get["n"]
+
+
+def replay(interactions: DataFrame, fmt: str = "kafka", **options: str) -> int:
     """Write every interaction as a message, keyed by user, to Kafka or any other sink with a value
-    column.  For Kafka give ``kafka.bootstrap.servers`` and ``topic``."""
+    column, and return how many.  For Kafka give ``kafka.bootstrap.servers`` and ``topic``."""
     messages = to_messages(interactions)
     if fmt == "kafka":
         messages = interactions.select(
             F.col(USER_ID).alias("key"),
             event_json(F.col(USER_ID), F.col(ITEM_ID), F.col(VALUE), F.col(TS)).alias("value"),
         )
+    messages, seen = _counted(messages)
     messages.write.format(fmt).mode("append").options(**options).save()
+    return seen.get["n"]
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str = "interactions") -> DataFrame:

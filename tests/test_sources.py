@@ -130,3 +130,11 @@ def test_export_and_replay(spark, tmp_path):
     for folder in ("out", "topic"):
         back, bad = events.validated(events.from_messages(spark.read.text(str(tmp_path / folder))))
         assert bad.count() == 0 and back.exceptAll(data).count() == 0 and back.count() == 30
+
+
+def test_replay_and_export_count(spark, tmp_path):
+    data = synthetic.synthetic(spark, 5, 4, 37).interactions
+    assert events.export_json(data, str(tmp_path / "a")) == 37 == spark.read.text(str(tmp_path / "a")).count()
+    assert [events.replay(data, "text", path=str(tmp_path / "b")) for _ in range(2)] == [37, 37]
+    assert spark.read.text(str(tmp_path / "b")).count() == 74
+    assert events.export_json(data.limit(0), str(tmp_path / "c")) == 0
