@@ -177,6 +177,45 @@ BSD3 = BSD2 + """
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission."""
+LESSER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version %s of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AFFERO = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details."""
+MOZILLA = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+ECLIPSE = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+MORE = {
+    "lgpl-2.1-header": LESSER % "2.1", "lgpl-3-header": LESSER % "3", "agpl-3-header": AFFERO, "mpl-2-header": MOZILLA, "isc-text": ISC,
+    "zlib-text": ZLIB, "epl-2": ECLIPSE, "cc0-1": "This work is licensed under\nCC0 1.0.",
+    "unlicense-text": "This is free and unencumbered software released into\nthe public domain.",
+}
 NOTICES = {
     "mit-text": MIT, "apache-2-header": APACHE, "gpl-3-header": GPL % (":", 3), "gpl-2-header": GPL % (";", 2), "bsd-2": BSD2, "bsd-3": BSD3,
 }
@@ -189,7 +228,7 @@ DECLARED = {
 
 
 def test_wrapped_notices_of_every_rule(spark):
-    every = NOTICES | DECLARED
+    every = NOTICES | DECLARED | MORE
     assert set(every) == {rule for rule, _, _ in licenses.RULES}
     leaders = ["", "# ", " * ", "// ", ";; ", "! ", "//! ", "dnl ", "REM ", "C     ", "-- "]
     texts, want = [], {}
@@ -204,6 +243,37 @@ def test_wrapped_notices_of_every_rule(spark):
     assert not wrong, wrong[:2]
 
 
+def test_knowledge_from_tables(spark):
+    sentences = spark.createDataFrame(
+        [("Use it as you like.", "free"), ("Do not sell it!", "no-sale"), (None, "x"), ("...", "empty")], "sentence string, id string"
+    )
+    rules = spark.createDataFrame([("b", "Own-NC", ["free", "no-sale"]), ("a", "Own", ["free"]), ("c", "None", [])], "rule string, license string, ids array<string>")
+    known, runs = licenses.knowledge(sentences, rules)
+    assert known == {"use it as you like": "free", "do not sell it": "no-sale"} and [r[0] for r in runs] == ["a", "b"]
+    texts = [(1, "# Use it\n# as you like. Do not sell it."), (2, "Do not sell it."), (3, "Licensed under the MIT License")]
+    df = licenses.scan(awkward(spark, texts), sentences=known, rules=runs)
+    _no_python(df)
+    assert {r["doc_id"]: r["rules"] for r in df.collect()} == {1: "0:a,0:b", 2: "", 3: ""}
+    none = licenses.scan(awkward(spark, texts), sentences={}, rules=[])
+    assert all(r["n_sentences"] == 0 and r["licenses"] == "" for r in none.collect())
+
+
+def test_the_sql_knows_wrapping(spark, tmp_path):
+    """The statement for the registered query, on notices that are wrapped and cut in all ways."""
+    import duckdb
+
+    texts = [t for notice in (NOTICES | DECLARED | MORE).values() for t in (notice, "".join(f"# {x}\n" for x in notice.split("\n")))]
+    texts += ["Licensed under the\n\nMIT License", "Licensed under the. MIT License", ";; licensed under the\n;;\n;; MIT License", None, ""]
+    texts += ["This work is\nlicensed under the GNU General Public License\nversion 3. All rights reserved.", "dnl Released under\ndnl the MIT license"]
+    docs = awkward(spark, list(enumerate(texts)))
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.execute(licenses.ORACLE)
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, licenses.scan(docs).select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_sentences_end_at_blank_lines_and_marks(spark):
     texts = [
         (1, "Licensed under the\n\nMIT License"),
