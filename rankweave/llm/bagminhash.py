@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from rankweave.llm import hashstore as hs
 from rankweave.llm import text as words
-from rankweave.llm.columns import small_batches
+from rankweave.llm.columns import bounded_batches
 from rankweave.llm.components import components
 from rankweave.operators.numbering import drop, durable
 
@@ -415,8 +415,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Empty table: no rows.  Other columns are ignored.
     """
     # Bags of long texts are large, and a pair has two of them.
-    with small_batches(docs.sparkSession):
-        rows, roots, links = _linked(docs, id_col, text_col)
+    bounded_batches(docs.sparkSession)
+    rows, roots, links = _linked(docs, id_col, text_col)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     rows = rows.join(roots.join(ends, "node", "left"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.groupBy("root").agg(F.min("id").alias("class_id"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,20 +43,25 @@ def spans(text: Column, pattern: str, kind: str, keep: Callable[[Column, Column]
 
 def through_arrow(df: DataFrame, run: Callable) -> DataFrame:
     """``df.mapInArrow(run)`` with the same columns, whatever their names; ``run`` sees them in order."""
+    bounded_batches(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
-    """Jobs started inside hand their Python workers at most about ``size`` bytes at once."""
+# Bytes that a Python worker gets at once.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH) -> None:
+    """From now on the session hands its Python workers at most about ``size`` bytes at once.
+
+    Long texts make large batches, and executors keep the buffers of the largest one.  The setting is the session's,
+    because a frame is planned when it is used, not when it is made; a smaller one stays.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= size:
+        spark.conf.set(name, size)
 
 
 def no_spans() -> Column:

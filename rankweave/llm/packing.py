@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm import text as words
+from rankweave.llm.columns import bounded_batches
 from rankweave.operators.numbering import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,7 +36,7 @@ PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 # Partitions whose open windows are merged by one task.
 MERGED = 32
 # Words a worker remembers, and ids they may take.
-REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 24
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 23
 # Words given to the tokenizer side by side.
 JOINED = 256
 _IDS = np.dtype("<u4")
@@ -310,6 +311,7 @@ def pack(
 
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         definition = f.read()
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     longs = [T.StructField(c, T.LongType()) for c in PIECE]
     piece = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *longs, T.StructField("ids", T.BinaryType())])

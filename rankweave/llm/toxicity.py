@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rankweave.llm import hashstore as hs
 from rankweave.llm import labelled as lb
 from rankweave.llm import text as words
-from rankweave.llm.columns import through_arrow
+from rankweave.llm.columns import bounded_batches, through_arrow
 from rankweave.operators.numbering import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -265,6 +265,7 @@ def _fitted(share: tuple[float, float]):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, kept: Column, id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> Model:
+    bounded_batches(docs.sparkSession)
     (folder, shards), _ = lb.store_labels(labels, id_col, label, kept, sample)
     rows = docs.select(F.xxhash64(F.col(id_col).cast("bigint")).alias("key"), F.col(text_col).cast("string").alias("text"))
     counts = lb.dense_sum(rows.mapInArrow(_count(folder, shards), "piece int, data binary"), 2, 1 << EVIDENCE_BITS)
