@@ -229,14 +229,11 @@ def _full_shard(vocabulary: str, folder: str, shards: int, first: list[int]):
     return run
 
 
-def fit(texts: DataFrame) -> Model:
-    """Fit on the one column of ``texts``.  Null counts as empty; an empty table gives a model without words."""
-    spark = texts.sparkSession
-    column = texts.columns[0]
-    texts = texts.select(F.col(column).cast("string").alias("text"))
-    size, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+def number_words(texts: DataFrame) -> tuple[str, int, list[int], int, int]:
+    """The vocabulary as a store with counts: folder, shards, number of the first word of each shard; tokens, words."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = 1 << max(0, math.ceil(math.log2(max(1, (size or 0) / SHARD_BYTES))))
-    vocabulary, full, pairs = (scratch(spark, name) for name in ("vocabulary", "words", "pairs"))
+    vocabulary = scratch(texts.sparkSession, "vocabulary")
     sent = "shard int, keys binary, counts binary"
     counted = texts.mapInArrow(_counting(lambda: lambda tokens: tokens.hashes, shards), sent)
     counted = _deal(counted, shards).applyInPandas(_word_shard(vocabulary), "shard int, n bigint, total bigint")
@@ -245,7 +242,18 @@ def fit(texts: DataFrame) -> Model:
     tokens, known = sum(r["total"] for r in got.values()), sum(sizes)
     if known >= START:
         raise ValueError("more than 2**32 different words")
-    first = [0, *np.cumsum(sizes)[:-1].tolist()]
+    return vocabulary, shards, [0, *np.cumsum(sizes)[:-1].tolist()], tokens, known
+
+
+def fit(texts: DataFrame) -> Model:
+    """Fit on the one column of ``texts``.  Null counts as empty; an empty table gives a model without words."""
+    spark = texts.sparkSession
+    column = texts.columns[0]
+    texts = texts.select(F.col(column).cast("string").alias("text"))
+    rows = texts.count()
+    vocabulary, shards, first, tokens, known = number_words(texts)
+    full, pairs = (scratch(spark, name) for name in ("words", "pairs"))
+    sent = "shard int, keys binary, counts binary"
     counted = texts.mapInArrow(_counting(_pair_keys(vocabulary, shards, first), shards), sent)
     merged = durable(_deal(counted, shards).applyInPandas(_pair_shard(pairs, first), _PAIR_OUT), "pairs")
     c = merged.agg(*[F.sum(x).alias(x) for x in ("c1", "c2", "c3", "c4")]).first()
