@@ -123,3 +123,23 @@ def test_heuristics_checks():
     assert h.top_k == 20 and h.normalization == "minmax" and h.filters.exclude_seen
     assert sorted(h.mixture) == ["als_cf", "content", "popularity", "segments", "trends"]
     assert SignalConfig(0.1, {"k": 3}, {"a": 2.0}).fit_params() == {"k": 3, "feature_weights": {"a": 2.0}}
+
+
+def test_heuristics_from_settings():
+    raw = {
+        "domain": "d",
+        "signals": {"popularity": {"weight": 0.25}, "als_cf": {"weight": 1, "params": {"rank": 7}}, "rules": {"weight": 0}},
+        "filters": {"exclude_items": ["a"]},
+    }
+    found = Heuristics.read(raw)
+    assert (found.top_k, found.normalization, found.filters.exclude_seen, found.filters.exclude_items) == (20, "minmax", True, ["a"])
+    assert found.signals["als_cf"].params == {"rank": 7} and found.mixture == {"als_cf": 1, "popularity": 0.25}
+    assert Heuristics.read({"domain": "d"}) == Heuristics("d")
+    bad = [
+        {}, {"domain": "d", "topk": 3}, {"domain": "d", "top_k": 0}, {"domain": "d", "top_k": "3"}, {"domain": "d", "normalization": "l2"},
+        {"domain": "d", "signals": ["popularity"]}, {"domain": "d", "signals": {"a": {}}}, {"domain": "d", "signals": {"a": {"weight": 1.5}}},
+        {"domain": "d", "signals": {"a": {"weight": 1, "parms": {}}}}, {"domain": "d", "filters": {"seen": True}},
+    ]
+    for settings in bad:
+        with pytest.raises(ValueError):
+            Heuristics.read(settings)
