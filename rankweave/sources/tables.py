@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators.filters import candidates
+from rankweave.operators.numbering import unpacked_sizes
 from rankweave.schema import (
     ITEM_ID,
     TS,
@@ -34,6 +35,7 @@ VOTE_OPTIONS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    unpacked_sizes(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

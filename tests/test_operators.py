@@ -240,3 +240,12 @@ def test_a_run_owns_its_folders(spark):
     path = Path(folder.removeprefix("file:"))
     assert path.parent.is_dir() and not path.exists() and kept.count() == 3
     assert not durable(spark.range(1)).scratch_path.startswith(folder)
+
+
+def test_written_ids_are_not_broadcast_by_the_size_of_their_files(spark):
+    ids = durable(spark.range(400_000).select(F.col("id").cast("string").alias(USER_ID)), "ids")
+    plan = ids.join(ids.select(USER_ID, F.length(USER_ID).alias("n")), USER_ID, "left")._jdf.queryExecution().toString()
+    # Two to eight MB of files, some 20 MB of rows.
+    assert "BroadcastHashJoin" not in plan
+    few = durable(spark.range(10).select(F.col("id").cast("string").alias(USER_ID)), "few")
+    assert "BroadcastHashJoin" in ids.join(few, USER_ID)._jdf.queryExecution().toString()
