@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.scalars import contains_all
+from rankweave.operators.numbering import durable, number_rows
 from rankweave.schema import ITEM_ID, USER_ID
 
 
@@ -38,16 +41,59 @@ def baskets(owned: DataFrame, min_support: float | None = None) -> DataFrame:
     )
 
 
+def frequent_sets(owned: DataFrame, least: int) -> DataFrame:
+    """``(items array<string>, freq)``: all sets of items that at least ``least`` users own, items sorted.
+
+    Sets grow by one item a level.  A row holds a user's sets that differ in the last item only; two of them give a
+    candidate, and candidates are counted before the shuffle.  So a task holds counts, never the baskets.
+    """
+    freq = owned.groupBy(ITEM_ID).agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= least)
+    single = durable(number_rows(freq, [F.asc(ITEM_ID)], out="last"), "items")
+    levels = [single.select(F.col("last").alias("id"), F.array(ITEM_ID).alias("items"), "freq")]
+    found = owned.join(single, ITEM_ID).select(USER_ID, F.lit(0).cast("long").alias("parent"), "last", F.col("last").alias("id"))
+    while True:
+        siblings = durable(
+            found.groupBy(USER_ID, "parent")
+            .agg(F.sort_array(F.collect_list(F.struct("last", "id"))).alias("sets"))
+            .filter(F.size("sets") > 1)
+            .select(USER_ID, "sets"),
+            "siblings",
+        )
+        pairs = siblings.select(USER_ID, "sets", F.posexplode("sets.id").alias("at", "parent")).select(
+            USER_ID, "parent", F.explode(F.expr("slice(sets.last, at + 2, size(sets))")).alias("last")
+        )
+        counts = pairs.groupBy("parent", "last").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= least)
+        counts = durable(counts.withColumn("id", F.monotonically_increasing_id()), "counts")
+        if counts.isEmpty():
+            break
+        found = pairs.join(counts.drop("freq"), ["parent", "last"])
+        parents = levels[-1].select(F.col("id").alias("parent"), "items")
+        named = counts.join(parents, "parent").join(single.select("last", ITEM_ID), "last")
+        whole = F.concat("items", F.array(ITEM_ID)).alias("items")
+        levels.append(durable(named.select("id", whole, "freq"), "sets"))
+    return reduce(DataFrame.unionByName, levels).select("items", "freq")
+
+
 def mine_rules(owned: DataFrame, min_support: float = 0.01, min_confidence: float = 0.2) -> DataFrame:
-    """Association rules ``(antecedent, consequent, confidence, lift, support)``.
+    """Association rules ``(antecedent, consequent, confidence, lift, support)``, consequents of one item.
 
     ``owned`` holds distinct ``(user_id, item_id)`` rows; it is read several times.
     """
-    frequent = baskets(owned, min_support)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
-        frequent
-    )
-    return model.associationRules
+    n = owned.agg(F.count_distinct(USER_ID)).first()[0]
+    sets = frequent_sets(owned, math.ceil(n * float(min_support)))
+    split = sets.filter(F.size("items") > 1).select("freq", F.explode("items").alias("one"), "items")
+    split = split.select("freq", F.array("one").alias("consequent"), F.array_remove("items", F.col("one")).alias("antecedent"))
+    before = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_before"))
+    alone = sets.filter(F.size("items") == 1).select(F.col("items").alias("consequent"), F.col("freq").alias("_alone"))
+    rules = split.join(before, "antecedent").join(alone, "consequent")
+    confidence = F.col("freq") / F.col("_before")
+    return rules.select(
+        "antecedent",
+        "consequent",
+        confidence.alias("confidence"),
+        (confidence / (F.col("_alone") / F.lit(float(n)))).alias("lift"),
+        (F.col("freq") / F.lit(float(n))).alias("support"),
+    ).filter(F.col("confidence") >= min_confidence)
 
 
 def met_antecedents(rules: DataFrame, owned: DataFrame) -> DataFrame:

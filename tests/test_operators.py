@@ -249,3 +249,19 @@ def test_written_ids_are_not_broadcast_by_the_size_of_their_files(spark):
     assert "BroadcastHashJoin" not in plan
     few = durable(spark.range(10).select(F.col("id").cast("string").alias(USER_ID)), "few")
     assert "BroadcastHashJoin" in ids.join(few, USER_ID)._jdf.queryExecution().toString()
+
+
+def test_frequent_sets_of_every_size(spark):
+    from itertools import combinations
+
+    owners = {f"u{n}": [i for i in "abcdefg" if (n * 7 + ord(i) * (n % 5 + 1)) % 4] for n in range(40)}
+    owned = spark.createDataFrame([(u, i) for u, items in owners.items() for i in items], "user_id string, item_id string")
+    expected = {}
+    for size in range(1, 8):
+        for chosen in combinations("abcdefg", size):
+            n = sum(set(chosen) <= set(items) for items in owners.values())
+            if n >= 12:
+                expected[chosen] = n
+    found = baskets.frequent_sets(owned, 12).collect()
+    assert {tuple(r["items"]): r["freq"] for r in found} == expected and len(found) == len(expected)
+    assert max(map(len, expected)) > 3
