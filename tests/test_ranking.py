@@ -293,3 +293,30 @@ def test_flat_dense_scores(spark, monkeypatch, block, method, flat):
     scores = [DenseScores("content", tastes, items, 2, "zero", method)]
     found = combine(world.users(), world.candidates(), scores, {"content": 1.0}, top_k=2)
     assert {r["final_score"] for r in found.collect()} == {flat}
+
+
+@pytest.mark.parametrize("block", [13, 100])
+def test_leaves_that_cannot_win_are_left_out(spark, monkeypatch, block):
+    """Three items to a leaf: bounds decide what is looked at, the ranking stays that of all pairs."""
+    monkeypatch.setattr(blocks, "LEAF", 3)
+    monkeypatch.setattr(blocks, "ROUNDS", 1)
+    monkeypatch.setattr(dense, "ITEM_BLOCK", block)
+    World(spark, 10).check(MIXES[-1])
+
+
+def test_extremes_without_all_products(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v, p = (np.abs(rng.normal(size=(n, 4))) for n in (20000, 200))
+    v, p = (x / np.sqrt((x * x).sum(axis=1))[:, None] for x in (v, p))
+    cells, plain = [], blocks._products
+    monkeypatch.setattr(blocks, "_products", lambda a, b: cells.append(len(a) * len(b)) or plain(a, b))
+    spread, leaves = blocks.Spread(len(p)), blocks.Leaves(v)
+    spread.add_moments(p, v)
+    spread.add_extremes(p, v[leaves.order], leaves, blocks.Hull(v[leaves.order], leaves))
+    whole = p @ v.T
+    lo, hi, mean, sd = spread.stats(slice(None))
+    for found, wanted in ((lo, whole.min(axis=1)), (hi, whole.max(axis=1)), (mean, whole.mean(axis=1)), (sd, whole.std(axis=1))):
+        assert np.abs(found - wanted).max() < 1e-14
+    assert sum(cells) < whole.size / 4
