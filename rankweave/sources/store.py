@@ -242,8 +242,9 @@ class FeatureStore:
 
     def _interactions(self, state: State) -> DataFrame:
         stored = self.spark.read.schema(_STORED).parquet(f"{self.root}/interactions/gen={state.gen}")
-        # Folders of attempts that were not committed are left out.
-        done = self.batches(state).filter("attempt is not null").select("stream", "batch", "attempt")
+        # Folders of attempts that were not committed are left out.  One row per folder, fewer than the reader
+        # lists anyway; a shuffle would send all rows of a large batch to one task.
+        done = F.broadcast(self.batches(state).filter("attempt is not null").select("stream", "batch", "attempt"))
         return stored.join(done, ["stream", "batch", "attempt"], "left_semi").select(
             *INTERACTIONS.fieldNames()
         )

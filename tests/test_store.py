@@ -52,6 +52,14 @@ def test_build_and_read(spark, data, tmp_path):
     assert store.user_features().count() == 60 and store.item_features().count() == 25
 
 
+def test_rows_of_a_batch_are_not_shuffled_by_its_folder(spark, data, tmp_path):
+    """All rows of a batch have one folder: a shuffle on it sends them to one task."""
+    store = FeatureStore(spark, str(tmp_path / "s"))
+    store.build(data, DAY)
+    plan = store.interactions()._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_bootstrap_append_refresh(spark, data, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "s"))
     store.bootstrap(data, DAY)
