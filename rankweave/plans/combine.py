@@ -5,13 +5,15 @@ renormalised when a signal is cold.  Seen and excluded items leave after scaling
 
 ``combine`` never writes users x items rows.  Items that no user-level score touches come in the same
 order for everybody in a group, so a user's best ``k`` of them are among the first places of that group's
-list, as many as hold ``k`` items that are neither seen nor individually scored.  Only those places are
-read; their number follows what a user has seen near the top, and the result is exact.
+list, as many as hold ``k`` items that are neither seen nor individually scored.  The first ``NEAR`` places
+of a list are few, so a user's passed places among them come from one pass over the seen pairs, and the user's
+first ``k`` other places follow without comparing anything else.  Users who have passed nearly all of those
+places read further down the list, as far as they need; the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,14 @@ HEAD = 4096
 MAX_SALTS = 64
 # Places are unfolded in chunks, so that no array grows with a user's history.
 CHUNK = 4096
+# First places of a list that nearly every user can do with.
+NEAR = 1024
+# Lists are cut to their first places in so many parts before one task sees a list.
+HEAD_SALTS = 64
+# Heads of lists up to this many rows go to every task.
+BROADCAST_ROWS = 1 << 17
+# Sums of contributions differ by less than this from what rounding makes of them.
+ROOM = 1e-9
 
 
 def contribution(signal: str) -> str:
@@ -167,24 +177,21 @@ def read_places(wanted: DataFrame, lists: DataFrame, keys: Sequence[str], by: st
     return wanted.join(lists, [*keys, "pos"]).drop("pos")
 
 
-def _group_lists(
-    combos: DataFrame,
-    base: DataFrame,
-    ordered: DataFrame,
-    group_scores: Sequence[Scores],
-    weights: Mapping[str, float],
-) -> tuple[DataFrame, DataFrame]:
-    """Per combination of groups: listed contributions, and the ordered list down to the needed depth.
-
-    ``combos(lst, g_<signal>..., depth)``; unlisted items follow in the common order ``ordered``.
-    """
-    names = [s.signal for s in group_scores]
+def _with_floors(combos: DataFrame, group_scores: Sequence[Scores], weights: Mapping[str, float]) -> DataFrame:
     for s in group_scores:
         combos = combos.join(
             floors(s, GROUP, weights[s.signal]).withColumnRenamed(GROUP, f"g_{s.signal}"),
             f"g_{s.signal}",
             "left",
         )
+    return combos
+
+
+def _group_listed(
+    combos: DataFrame, base: DataFrame, group_scores: Sequence[Scores], weights: Mapping[str, float]
+) -> DataFrame:
+    """``(lst, item_id, c_<signal>...)`` of the items that some group of a combination lists."""
+    names = [s.signal for s in group_scores]
     parts = []
     for s in group_scores:
         value = fixed(F.col(SCORE) * F.lit(float(weights[s.signal])))
@@ -203,26 +210,166 @@ def _group_lists(
             .groupBy("lst", ITEM_ID)
             .agg(*[F.max(contribution(n)).alias(contribution(n)) for n in names])
         )
-    # Read three times below.
-    listed = durable(listed.join(base.select(ITEM_ID), ITEM_ID, "left_semi"), "listed")
+    return listed.join(base.select(ITEM_ID), ITEM_ID, "left_semi")
 
-    taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
-    wanted = places(
-        combos.join(taken, "lst", "left").select(
-            "lst", (F.col("depth") + F.coalesce(F.col("_taken"), F.lit(0))).alias("_limit")
-        ),
-        "_limit",
-    ).select("lst", "pos")
+
+def _filled(rows: DataFrame, combos: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows`` of lists with the floors of the signals that do not list the item."""
+    filled = rows.join(combos.select("lst", *[f"f_{n}" for n in names]), "lst")
+    for n in names:
+        filled = filled.withColumn(contribution(n), F.coalesce(F.col(contribution(n)), F.col(f"f_{n}")))
+    return filled.drop(*[f"f_{n}" for n in names])
+
+
+def _unlisted(wanted: DataFrame, ordered: DataFrame, listed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Items among the first ``_limit`` places of the common order that a list does not list."""
+    wanted = places(wanted.filter(F.col("_limit") > 0), "_limit").select("lst", "pos")
     rest = read_places(wanted, ordered, [], "lst").join(
         listed.select("lst", ITEM_ID), ["lst", ITEM_ID], "left_anti"
     )
     for n in names:
         rest = rest.withColumn(contribution(n), F.lit(None).cast("double"))
-    whole = listed.join(base, ITEM_ID).unionByName(rest)
-    filled = whole.join(combos.select("lst", *[f"f_{n}" for n in names]), "lst")
-    for n in names:
-        filled = filled.withColumn(contribution(n), F.coalesce(F.col(contribution(n)), F.col(f"f_{n}")))
-    return listed, filled.drop(*[f"f_{n}" for n in names])
+    return rest
+
+
+def _first(rows: DataFrame, order: Sequence[Column], near: int) -> DataFrame:
+    """The first ``near`` rows of every list and their place ``pos``; a task sees parts of bounded size."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(HEAD_SALTS)))
+    part = F.row_number().over(W.partitionBy("lst", "_salt").orderBy(*order))
+    few = salted.withColumn("_place", part).filter(F.col("_place") <= near).drop("_place", "_salt")
+    place = F.row_number().over(W.partitionBy("lst").orderBy(*order))
+    return few.withColumn("_place", place).filter(F.col("_place") <= near).select(
+        *rows.columns, (F.col("_place") - 1).cast("long").alias("pos")
+    )
+
+
+def _group_heads(
+    combos: DataFrame,
+    base: DataFrame,
+    ordered: DataFrame,
+    listed: DataFrame,
+    names: Sequence[str],
+    columns: Sequence[str],
+    near: int,
+    scored_only: bool,
+) -> DataFrame:
+    """First ``near`` places of every combination's list, with ``_total`` over ``columns``.
+
+    Unlisted items are looked at as far down the common order as they can beat the last of ``near`` listed ones.
+    With ``scored_only`` items that nothing scores are no part of the list; of the unlisted ones it is all or none.
+    """
+    order = [F.desc("_total"), F.asc(ITEM_ID)]
+    sums = total([F.col(c) for c in columns])
+    kept = F.coalesce(*[F.col(c) for c in columns]).isNotNull() if scored_only else F.lit(True)
+    # Read for the bound and for the lists.
+    own = _filled(listed.join(base, ITEM_ID), combos, names).filter(kept).withColumn("_total", sums)
+    top = durable(_first(own, order, near), "top")
+    last = top.groupBy("lst").agg(F.count(F.lit(1)).alias("_n"), F.min("_total").alias("_last"))
+    taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
+    # Totals at the places 0, 1, 3, 7, ...: at most 63.
+    powers = F.array(*[F.lit((1 << j) - 1).cast("long") for j in range(63)])
+    marks = (
+        ordered.filter(F.array_contains(powers, F.col("pos")))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "_total"))).alias("marks"))
+        .scalar()
+    )
+    floor = reduce(lambda x, y: x + y, [F.coalesce(F.col(f"f_{n}"), F.lit(0.0)) for n in names])
+    below = F.filter("_marks", lambda m: m["_total"] + F.col("_floor") < F.col("_last") - F.lit(ROOM))
+    most = F.lit(near).cast("long") + F.coalesce(F.col("_taken"), F.lit(0))
+    bound = F.when((F.col("_n") == near) & (F.size(below) > 0), F.least(most, below[0]["pos"])).otherwise(most)
+    wanted = (
+        combos.join(last, "lst", "left")
+        .join(taken, "lst", "left")
+        .withColumn("_marks", marks)
+        .withColumn("_floor", floor)
+        .select("lst", bound.alias("_limit"))
+    )
+    rest = _filled(_unlisted(wanted, ordered.drop("_total"), listed, names), combos, names).filter(kept)
+    return _first(top.drop("pos").unionByName(rest.withColumn("_total", sums)), order, near)
+
+
+def _group_lists(
+    combos: DataFrame, base: DataFrame, ordered: DataFrame, listed: DataFrame, names: Sequence[str]
+) -> DataFrame:
+    """The ordered list of every combination of groups, down to its ``depth`` of unlisted items.
+
+    Unlisted items follow in the common order ``ordered``.
+    """
+    taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
+    wanted = combos.join(taken, "lst", "left").select(
+        "lst", (F.col("depth") + F.coalesce(F.col("_taken"), F.lit(0))).alias("_limit")
+    )
+    rest = _unlisted(wanted, ordered, listed, names)
+    return _filled(listed.join(base, ITEM_ID).unionByName(rest), combos, names)
+
+
+def _near(
+    who: DataFrame,
+    heads: DataFrame,
+    skip: DataFrame | None,
+    k: int,
+    near: int,
+    small: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``who`` with ``_picks``, the first ``k`` places of the user's list that are not passed, and ``_deep`` where
+    the first ``near`` places do not hold them."""
+    sizes = heads.groupBy("lst").agg(F.count(F.lit(1)).alias("_size"))
+    out = who.join(small(sizes), "lst", "left").withColumn("_size", F.coalesce(F.col("_size"), F.lit(0)))
+    if skip is None:
+        out = out.withColumn("_passed", F.lit(None).cast("array<bigint>"))
+    else:
+        # Few of the passed pairs are left after the first join.
+        close = skip.join(small(heads.select(ITEM_ID).distinct()), ITEM_ID, "left_semi")
+        at = close.join(who.select(USER_ID, "lst"), USER_ID).join(
+            small(heads.select("lst", ITEM_ID, "pos")), ["lst", ITEM_ID]
+        )
+        # At most ``near`` places per user, whatever the history.
+        out = out.join(at.groupBy(USER_ID).agg(F.collect_set("pos").alias("_passed")), USER_ID, "left")
+    none = F.array().cast("array<bigint>")
+    passed = F.coalesce(F.col("_passed"), none)
+    end = F.least(F.size(passed) + F.lit(k), F.col("_size"))
+    first = F.when(end > 0, F.sequence(F.lit(0).cast("long"), (end - 1).cast("long"))).otherwise(none)
+    # A list that does not fill its head ends there.
+    deep = (F.col("_size") >= near) & (F.col("_size") - F.size(passed) < k)
+    return out.withColumn("_deep", deep).withColumn(
+        "_picks", F.when(deep, none).otherwise(F.slice(F.array_except(first, passed), 1, k))
+    ).drop("_passed", "_size")
+
+
+def _deep(
+    who: DataFrame,
+    base: DataFrame,
+    ordered: DataFrame,
+    group_s: Sequence[Scores],
+    listed: DataFrame | None,
+    weights: Mapping[str, float],
+    shared: Sequence[str],
+    skip: DataFrame,
+    k: int,
+) -> DataFrame:
+    """Places of a list for users who have passed nearly all of its head, as many as each of them needs."""
+    groups = [f"g_{s.signal}" for s in group_s]
+    skip = durable(skip.join(who.select(USER_ID), USER_ID, "left_semi").distinct(), "passed")
+    limits = needed_places(who, ordered, skip, k)
+    if group_s:
+        # Read twice.
+        limits = durable(limits, "limits")
+        combos = _with_floors(limits.groupBy("lst", *groups).agg(F.max("limit").alias("depth")), group_s, weights)
+        listed = listed.join(combos.select("lst"), "lst", "left_semi")
+        whole = _group_lists(combos, base, ordered, listed, [s.signal for s in group_s])
+        # Listed items may stand before the common ones.
+        taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
+        deep = F.col("limit") + F.coalesce(F.col("_taken"), F.lit(0))
+        limits = limits.join(taken, "lst", "left").withColumn("limit", F.least(deep, "most"))
+        order = [F.desc("_total"), F.asc(ITEM_ID)]
+        lists = number_rows(
+            whole.withColumn("_total", total([F.col(c) for c in shared])), order, ["lst"]
+        ).select("lst", "pos", ITEM_ID, *shared)
+    else:
+        lists = ordered.select(F.lit("all").alias("lst"), "pos", ITEM_ID, *shared)
+    wanted = places(limits.filter(F.col("limit") > 0), "limit").select(USER_ID, "lst", "pos")
+    walked = read_places(wanted, lists, ["lst"], USER_ID).select(USER_ID, ITEM_ID, *shared)
+    return walked.join(skip, [USER_ID, ITEM_ID], "left_anti")
 
 
 def _sparse(
@@ -232,12 +379,14 @@ def _sparse(
     weights: Mapping[str, float],
     seen: DataFrame | None,
     k: int,
-) -> DataFrame:
-    """Exact candidates for every user's top k, with contribution columns."""
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of every user's top k with contribution columns: those that have ``rank`` and the total already, and
+    candidates that still have to be ranked, of other users."""
     item_s = [s for s in scores if s.grain == ITEM_GRAIN]
     group_s = [s for s in scores if s.grain == GROUP_GRAIN]
     user_s = [s for s in scores if s.grain == USER_GRAIN]
     shared = [contribution(s.signal) for s in item_s + group_s]
+    near = max(NEAR, 4 * k)
 
     base = item_base(pool, item_s, weights)
     who = users.select(USER_ID).distinct()
@@ -259,56 +408,66 @@ def _sparse(
     order = [F.desc("_total"), F.asc(ITEM_ID)]
     ordered = number_rows(
         base.withColumn("_total", total([F.col(contribution(s.signal)) for s in item_s])), order
-    ).drop("_total")
+    )
     passed = [d.select(USER_ID, ITEM_ID) for d in (seen, own) if d is not None]
     skip = reduce(DataFrame.unionByName, passed) if passed else None
-    # Read twice by group lists.
-    limits = durable(needed_places(who, ordered, skip, k), "limits") if group_s else needed_places(who, ordered, skip, k)
     # The same rows, but read from the written table.
-    base = ordered.drop("pos")
+    base = ordered.drop("pos", "_total")
+    # In the order in which the ranking adds them.
+    columns = [contribution(s.signal) for s in scores if s.grain != USER_GRAIN]
     listed = None
     if group_s:
-        combos = limits.groupBy("lst", *groups).agg(F.max("limit").alias("depth"))
-        listed, whole = _group_lists(combos, base, ordered, group_s, weights)
-        # Listed items may stand before the common ones.
-        taken = listed.groupBy("lst").agg(F.count(F.lit(1)).alias("_taken"))
-        deep = F.col("limit") + F.coalesce(F.col("_taken"), F.lit(0))
-        limits = limits.join(taken, "lst", "left").withColumn("limit", F.least(deep, "most"))
-        lists = number_rows(
-            whole.withColumn("_total", total([F.col(c) for c in shared])), order, ["lst"]
-        ).select("lst", "pos", ITEM_ID, *shared)
+        names = [s.signal for s in group_s]
+        combos = _with_floors(who.select("lst", *groups).distinct(), group_s, weights)
+        # Few rows, read several times; so are the listed ones.
+        combos = durable(combos, "combos")
+        listed = durable(_group_listed(combos, base, group_s, weights), "listed")
+        heads = _group_heads(combos, base, ordered, listed, names, columns, near, not user_s)
     else:
-        lists = ordered.select(F.lit("all").alias("lst"), "pos", ITEM_ID, *shared)
+        heads = ordered.filter(F.col("pos") < near).withColumn("lst", F.lit("all"))
+        heads = heads.withColumn("_total", total([F.col(c) for c in columns]))
+    heads = durable(heads.select("lst", "pos", ITEM_ID, *shared, F.col("_total").alias(FINAL_SCORE)), "heads")
 
-    wanted = places(limits, "limit").select(USER_ID, "lst", "pos")
-    walked = read_places(wanted, lists, ["lst"], USER_ID).select(USER_ID, ITEM_ID, *shared)
-    if skip is not None:
-        walked = walked.join(skip, [USER_ID, ITEM_ID], "left_anti")
+    small = F.broadcast if heads.count() <= BROADCAST_ROWS else lambda df: df
 
-    if own is not None:
-        mine = own.join(who.select(USER_ID, "lst", *groups), USER_ID).join(base, ITEM_ID)
-        if group_s:
-            mine = mine.join(listed, ["lst", ITEM_ID], "left")
-            for s in group_s:
-                fill = floors(s, GROUP, weights[s.signal]).withColumnRenamed(GROUP, f"g_{s.signal}")
-                mine = mine.join(fill, f"g_{s.signal}", "left").withColumn(
-                    contribution(s.signal),
-                    F.coalesce(F.col(contribution(s.signal)), F.col(f"f_{s.signal}")),
-                )
-        if seen is not None:
-            mine = exclude_seen(mine, seen)
-        owned = [contribution(s.signal) for s in user_s]
-        for c in owned:
-            walked = walked.withColumn(c, F.lit(None).cast("double"))
-        walked = walked.unionByName(mine.select(USER_ID, ITEM_ID, *shared, *owned))
-        for s in user_s:
-            c = contribution(s.signal)
-            walked = (
-                walked.join(floors(s, USER_ID, weights[s.signal]), USER_ID, "left")
-                .withColumn(c, F.coalesce(F.col(c), F.col(f"f_{s.signal}")))
-                .drop(f"f_{s.signal}")
+    # Read for the users who need more and for the others.
+    state = durable(_near(who, heads, skip, k, near, small), "state")
+    picks = F.posexplode("_picks").alias("_at", "pos")
+    ready = state.select(USER_ID, "lst", picks).join(small(heads), ["lst", "pos"]).select(
+        USER_ID, (F.col("_at") + 1).alias("rank"), ITEM_ID, FINAL_SCORE, *shared
+    )
+    more = state.filter("_deep").drop("_picks", "_deep")
+    walked = None
+    if skip is not None and not more.isEmpty():
+        walked = _deep(more, base, ordered.drop("_total"), group_s, listed, weights, shared, skip, k)
+    if own is None:
+        return ready, walked
+
+    near_rows = ready.select(USER_ID, ITEM_ID, *shared)
+    walked = near_rows if walked is None else near_rows.unionByName(walked)
+    mine = own.join(who.select(USER_ID, "lst", *groups), USER_ID).join(base, ITEM_ID)
+    if group_s:
+        mine = mine.join(listed, ["lst", ITEM_ID], "left")
+        for s in group_s:
+            fill = floors(s, GROUP, weights[s.signal]).withColumnRenamed(GROUP, f"g_{s.signal}")
+            mine = mine.join(fill, f"g_{s.signal}", "left").withColumn(
+                contribution(s.signal),
+                F.coalesce(F.col(contribution(s.signal)), F.col(f"f_{s.signal}")),
             )
-    return walked
+    if seen is not None:
+        mine = exclude_seen(mine, seen)
+    owned = [contribution(s.signal) for s in user_s]
+    for c in owned:
+        walked = walked.withColumn(c, F.lit(None).cast("double"))
+    walked = walked.unionByName(mine.select(USER_ID, ITEM_ID, *shared, *owned))
+    for s in user_s:
+        c = contribution(s.signal)
+        walked = (
+            walked.join(floors(s, USER_ID, weights[s.signal]), USER_ID, "left")
+            .withColumn(c, F.coalesce(F.col(c), F.col(f"f_{s.signal}")))
+            .drop(f"f_{s.signal}")
+        )
+    return None, walked
 
 
 def combine(
@@ -323,8 +482,8 @@ def combine(
 ) -> DataFrame:
     """``(user_id, rank, item_id, final_score, c_<signal>..., breakdown)`` for every user.
 
-    ``candidates`` are the items the scores were scaled over; ``seen`` holds distinct
-    ``(user_id, item_id)`` pairs of these users; ``items`` is needed for ``filters.require_features`` only.
+    ``candidates`` are the items the scores were scaled over; ``seen`` holds ``(user_id, item_id)``
+    pairs, for dense signals distinct ones of these users; ``items`` is needed for ``filters.require_features`` only.
     """
     if not scores:
         raise ValueError("combine needs the scores of at least one signal")
@@ -348,21 +507,19 @@ def combine(
     if seen is not None:
         seen = seen.select(USER_ID, ITEM_ID)
 
+    columns = [contribution(n) for n in names]
+    ready = None
     if any(isinstance(s, DenseScores) for s in active):
         rows = dense_candidates(users, candidates, pool, active, weights, seen, top_k)
     else:
-        rows = _sparse(users, pool, active, weights, seen, top_k)
-    summed = rows.withColumn(FINAL_SCORE, total([F.col(contribution(n)) for n in names]))
-    # A user no signal can score has nothing but nulls: no rows rather than rows of zeros.
-    scored = summed.filter(F.coalesce(*[F.col(contribution(n)) for n in names]).isNotNull())
-    return top_k_per_user(scored, top_k).select(
-        USER_ID,
-        "rank",
-        ITEM_ID,
-        FINAL_SCORE,
-        *[contribution(n) for n in names],
-        breakdown_map(names).alias(BREAKDOWN),
-    )
+        ready, rows = _sparse(users, pool, active, weights, seen, top_k)
+    found = [] if ready is None else [ready.select(USER_ID, "rank", ITEM_ID, FINAL_SCORE, *columns)]
+    if rows is not None:
+        summed = rows.withColumn(FINAL_SCORE, total([F.col(c) for c in columns]))
+        # A user no signal can score has nothing but nulls: no rows rather than rows of zeros.
+        scored = summed.filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull())
+        found.append(top_k_per_user(scored, top_k).select(USER_ID, "rank", ITEM_ID, FINAL_SCORE, *columns))
+    return reduce(DataFrame.unionByName, found).withColumn(BREAKDOWN, breakdown_map(names))
 
 
 def combine_full_outer(

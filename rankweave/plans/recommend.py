@@ -16,6 +16,7 @@ from rankweave.plans.combine import combine
 from rankweave.plans.heuristics import Heuristics
 from rankweave.plans.scores import DenseScores, Scores
 from rankweave.plans.signals import SIGNALS, Artifacts, Features, Signal
+from rankweave.schema import ITEM_ID, USER_ID
 
 log = logging.getLogger(__name__)
 
@@ -91,8 +92,10 @@ def recommend(
     scores = score_all(fitted, users, pool, heuristics.normalization, signals)
     seen = None
     if heuristics.filters.exclude_seen:
-        # Read several times below.
-        seen = durable(seen_items(features.interactions, users), "seen")
+        seen = features.interactions.select(USER_ID, ITEM_ID)
+        if any(isinstance(s, DenseScores) for s in scores):
+            # Read several times below.
+            seen = durable(seen_items(features.interactions, users), "seen")
     return combine(
         users,
         pool,

@@ -283,6 +283,23 @@ def test_far_apart_counts_keep_their_order(spark):
     assert [r["item_id"] for r in found.orderBy("rank").collect()] == ["c", "b", "a"]
 
 
+@pytest.mark.parametrize("mix", MIXES[:5], ids=lambda m: "+".join(m))
+def test_users_who_have_passed_the_head_of_their_list(spark, monkeypatch, mix):
+    """The first 24 of 40 places are looked at first; some users have passed all of them, one has passed everything."""
+    monkeypatch.setattr("rankweave.plans.combine.NEAR", 1)
+    monkeypatch.setattr("rankweave.plans.combine.BROADCAST_ROWS", 30)
+    World(spark, 11).check(mix)
+
+
+def test_rows_of_a_common_list_come_in_order(spark):
+    """No pairs are joined with what a user has seen, and nothing is sorted per user."""
+    world = World(spark, 13)
+    for mix in MIXES[0], MIXES[3]:
+        found = combine(world.users(), world.candidates(), world.scores(*mix), mix, Filters(), K, world.seen_frame())
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "Window" not in plan
+
+
 @pytest.mark.parametrize("block", [7, 100])
 @pytest.mark.parametrize("method, flat", [("zscore", 0.0), ("minmax", 0.5)])
 def test_flat_dense_scores(spark, monkeypatch, block, method, flat):
