@@ -36,7 +36,7 @@ from rankweave.plans.combine import (
     top_k_single,
 )
 from rankweave.plans.heuristics import GENERAL_SIGNALS, SURVEY_TOP_K, Heuristics, SignalConfig
-from rankweave.plans.pairs import score_pairs
+from rankweave.plans.pairs import glued_pairs
 from rankweave.plans.recommend import fit_all, recommend, score_all
 from rankweave.plans.signals import Features
 from rankweave.schema import BREAKDOWN, ITEM_ID, USER_ID
@@ -166,7 +166,10 @@ def recommend_als(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(clicks_features(spark, folder, keep=True), Heuristics("clicks", signals))
 
 
-def _pair_scores(spark: SparkSession, folder: str):
+WEIGHTS = {"popularity": 0.1, "trends": 0.3, "segments": 0.6}
+
+
+def _glued(spark: SparkSession, folder: str, glue) -> DataFrame:
     features = retail_features(spark, folder, keep=True)
     signals = {
         "popularity": SignalConfig(0.1),
@@ -174,22 +177,19 @@ def _pair_scores(spark: SparkSession, folder: str):
         "trends": SignalConfig(0.3),
     }
     fitted = fit_all(features, Heuristics("retail", signals))
-    users, items = features.users.select(USER_ID), filters.candidates(features.items)
+    # Every signal joins the candidates.
+    users, items = features.users.select(USER_ID), durable(filters.candidates(features.items), "candidates")
     scores = score_all(fitted, users, items)
-    pairs = durable(filters.seen_items(features.interactions), "pairs")
-    return score_pairs(pairs, items, scores)
-
-
-WEIGHTS = {"popularity": 0.1, "trends": 0.3, "segments": 0.6}
+    return rounded(glued_pairs(filters.seen_items(features.interactions), items, scores, WEIGHTS, glue))
 
 
 def combine_pairs_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     """Breakdown of every bought pair, signal frames glued by full outer joins."""
-    return rounded(combine_full_outer(_pair_scores(spark, folder), WEIGHTS))
+    return _glued(spark, folder, combine_full_outer)
 
 
 def combine_pairs_union(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(combine_union(_pair_scores(spark, folder), WEIGHTS))
+    return _glued(spark, folder, combine_union)
 
 
 def exclude_seen(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankweave.operators.filters import Filters
 from rankweave.plans import blocks, dense
 from rankweave.plans.combine import combine, combine_full_outer, combine_union, top_k_per_user, top_k_single
-from rankweave.plans.pairs import score_pairs
+from rankweave.plans.pairs import glued_pairs, score_pairs
 from rankweave.plans.scores import (
     GROUP_GRAIN,
     USER_GRAIN,
@@ -252,6 +252,28 @@ def test_full_outer_and_union_agree(spark):
     assert left == [("u", "x", 0.5, 0.0, 0.5), ("u", "y", 0.25, 0.25, 0.5), ("v", "z", 0.0, 0.05, 0.05)]
 
 
+@pytest.mark.parametrize("glue", [combine_full_outer, combine_union])
+@pytest.mark.parametrize("names", [["popularity"], ["popularity", "segments"], ["segments"], ["segments", "rules"]])
+def test_pairs_are_glued_once_per_profile(spark, glue, names):
+    """The table of the glued pairs themselves, users without a group and items that are no candidates included."""
+    world = World(spark, 14)
+    rows = [(u, i) for u in USERS for i in ITEMS[::3]] + [("u1", "no candidate"), ("nobody", "i3")]
+    pairs = spark.createDataFrame(rows, "user_id string, item_id string")
+    weights = {n: 0.3 + 0.1 * j for j, n in enumerate(names)} | {"off": 0.0}
+    scores, sizes = world.scores(*names), []
+
+    def counted(frames, weights):
+        sizes.extend(df.count() for df in frames.values())
+        return glue(frames, weights)
+
+    found = glued_pairs(pairs, world.candidates(), scores, weights, counted)
+    plain = glue(score_pairs(pairs, world.candidates(), scores), weights)
+    assert found.columns == plain.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
+    # At most four profiles: three clusters and none.
+    assert "rules" in names or max(sizes) <= 4 * len(ITEMS[::3])
+
+
 def test_ties_at_the_last_place(spark):
     rows = [("u", i, 1.0) for i in ("d", "b", "c", "a")] + [("u", "z", 2.0)]
     df = spark.createDataFrame(rows, "user_id string, item_id string, final_score double")
