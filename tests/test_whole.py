@@ -52,6 +52,7 @@ def _late(features, params):
 
 LOST = [
     ("recommend_all_signals", "als_cf"),
+    ("recommend_breakdown", "segments"),
 ]
 
 
