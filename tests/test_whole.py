@@ -53,6 +53,7 @@ def _late(features, params):
 LOST = [
     ("recommend_all_signals", "als_cf"),
     ("recommend_breakdown", "segments"),
+    ("recommend_rules", "rules"),
 ]
 
 
