@@ -54,6 +54,7 @@ LOST = [
     ("recommend_all_signals", "als_cf"),
     ("recommend_breakdown", "segments"),
     ("recommend_rules", "rules"),
+    ("recommend_segments", "segments"),
 ]
 
 
