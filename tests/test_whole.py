@@ -55,6 +55,7 @@ LOST = [
     ("recommend_breakdown", "segments"),
     ("recommend_rules", "rules"),
     ("recommend_segments", "segments"),
+    ("recommend_sql_signals", "content"),
 ]
 
 
