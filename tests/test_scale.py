@@ -52,3 +52,30 @@ def test_factors_let_go_of_shuffles_and_blocks_follow_the_ratings(spark, monkeyp
     monkeypatch.setattr(signals, "ALS_BLOCK_RATINGS", 20)
     SIGNALS["als_cf"].fit(_features(spark), {"rank": 3, "max_iter": 2})
     assert asked[0]["checkpointInterval"] == 1 and asked[0]["numUserBlocks"] == asked[0]["numItemBlocks"] == 16
+
+
+@pytest.mark.parametrize("most, join", [(baskets.BROADCAST_BYTES, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_pairs_are_shuffled_once_while_the_frequent_ones_are_small(spark, monkeypatch, most, join):
+    owned = _features(spark).interactions.select("user_id", "item_id")
+    plans, durable = [], baskets.durable
+
+    def spied(df, name="table"):
+        if name == "siblings":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, name)
+
+    monkeypatch.setattr(baskets, "durable", spied)
+    monkeypatch.setattr(baskets, "BROADCAST_BYTES", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {tuple(r["items"]): r["freq"] for r in baskets.frequent_sets(owned, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    own: dict[str, set] = {}
+    for u, i in owned.collect():
+        own.setdefault(u, set()).add(i)
+    ids = sorted({i for x in own.values() for i in x})
+    pairs = {(a, b): sum({a, b} <= x for x in own.values()) for a in ids for b in ids if a < b}
+    assert {s: n for s, n in found.items() if len(s) == 2} == {s: n for s, n in pairs.items() if n >= 4}
+    assert len(plans) > 1 and all(join in p for p in plans[1:])
