@@ -83,8 +83,8 @@ def kmeans_assignments(spark: SparkSession, folder: str) -> DataFrame:
     return assign_clusters(vectors, 8)[1]
 
 
-def _content(spark: SparkSession, folder: str):
-    features = retail_features(spark, folder)
+def _content(spark: SparkSession, folder: str, keep: bool = False):
+    features = retail_features(spark, folder, keep)
     return features, scores_of("content", features)
 
 
@@ -97,7 +97,7 @@ def signal_content_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 def signal_content(spark: SparkSession, folder: str) -> DataFrame:
     """Content score of every pair a customer bought, scaled over the whole catalogue."""
-    features, dense = _content(spark, folder)
+    features, dense = _content(spark, folder, keep=True)
     pairs = seen_items(features.interactions)
     found = score_pairs(pairs, candidates(features.items), [dense])["content"]
     return found.select(USER_ID, ITEM_ID, shown(SCORE).alias(SCORE))

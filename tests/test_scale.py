@@ -9,6 +9,8 @@ import pytest
 
 from rankweave.operators import baskets
 from rankweave.plans import signals
+from rankweave.plans.pairs import score_pairs
+from rankweave.plans.scores import DenseScores
 from rankweave.plans.signals import SIGNALS, Features
 
 DAY = datetime(2020, 1, 1)
@@ -79,3 +81,31 @@ def test_pairs_are_shuffled_once_while_the_frequent_ones_are_small(spark, monkey
     pairs = {(a, b): sum({a, b} <= x for x in own.values()) for a in ids for b in ids if a < b}
     assert {s: n for s, n in found.items() if len(s) == 2} == {s: n for s, n in pairs.items() if n >= 4}
     assert len(plans) > 1 and all(join in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("missing", ["zero", "drop"])
+def test_pairs_are_not_shuffled_with_both_vectors(spark, missing):
+    pairs = _features(spark).interactions.select("user_id", "item_id").distinct()
+    kind = "string, features array<double>"
+    users = spark.createDataFrame([(f"u{u}", [1.0, float(u)]) for u in range(30)], f"user_id {kind}")
+    items = spark.createDataFrame([(f"i{i}", [float(i), 1.0]) for i in range(20)], f"item_id {kind}")
+    pool = spark.createDataFrame([(f"i{i}",) for i in range(25)], "item_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = score_pairs(pairs, pool, [DenseScores("content", users, items, 2, missing)])["content"]
+        lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = {(u, i): x for u, i, x in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line]
+    assert moved and not any("_p#" in m and "_v#" in m for m in moved)
+    last = 25 if missing == "zero" else 20
+    wanted = {}
+    for u, i in pairs.collect():
+        a, b = int(u[1:]), int(i[1:])
+        if a < 30 and b < last:
+            # Items without a vector count 0 where they count.
+            raw = [x + a for x in range(20)] + [0] * (last - 20)
+            wanted[u, i] = (raw[b] - min(raw)) / (max(raw) - min(raw))
+    assert got == pytest.approx(wanted, abs=1e-9)
