@@ -28,6 +28,8 @@ BOUNDS_AT_ONCE = 1 << 21
 # Items of a leaf, and how many leaves a user looks at in the order of their bounds before all others are tried.
 LEAF = 256
 ROUNDS = 4
+# Neighbouring leaves of a node: a leaf has a bound only for users whom its node may concern.
+NODE = 16
 # Distances to boxes pay in few dimensions only.
 FEW = 8
 EPS = float(np.finfo(float).eps)
@@ -130,41 +132,74 @@ class Hull:
         self.radius = np.sqrt(np.maximum.reduceat((gap * gap).sum(axis=1), starts))
         self.norm2 = np.maximum.reduceat((v * v).sum(axis=1), starts)
 
-    def upper(self, p: np.ndarray) -> np.ndarray:
+    def nodes(self) -> Hull:
+        """The same of ``NODE`` leaves at a time."""
+        out, starts = object.__new__(Hull), _nodes(len(self.lo))
+        sizes = np.diff([*starts, len(self.lo)])
+        out.lo, out.hi = np.minimum.reduceat(self.lo, starts), np.maximum.reduceat(self.hi, starts)
+        out.middle = (out.lo + out.hi) / 2
+        gap = self.middle - np.repeat(out.middle, sizes, axis=0)
+        out.radius = np.maximum.reduceat(np.sqrt((gap * gap).sum(axis=1)) + self.radius, starts)
+        out.norm2 = np.maximum.reduceat(self.norm2, starts)
+        return out
+
+    def upper(self, p: np.ndarray, at: slice = slice(None)) -> np.ndarray:
         """Rows x leaves: no product is larger, but for rounding.  By box, by ball, and by distance to the box."""
-        norm2 = (p * p).sum(axis=1)
-        most = np.maximum(p, 0.0) @ self.hi.T + np.minimum(p, 0.0) @ self.lo.T
-        np.minimum(most, p @ self.middle.T + np.sqrt(norm2)[:, None] * self.radius, out=most)
+        lo, hi, norm2 = self.lo[at], self.hi[at], (p * p).sum(axis=1)
+        most = np.maximum(p, 0.0) @ hi.T + np.minimum(p, 0.0) @ lo.T
+        np.minimum(most, p @ self.middle[at].T + np.sqrt(norm2)[:, None] * self.radius[at], out=most)
         if p.shape[1] <= FEW:
             away = np.zeros_like(most)
             for j in range(p.shape[1]):
                 x = p[:, j][:, None]
-                beside = np.maximum(self.lo[:, j] - x, x - self.hi[:, j])
+                beside = np.maximum(lo[:, j] - x, x - hi[:, j])
                 np.maximum(beside, 0.0, out=beside)
                 away += beside * beside
-            np.minimum(most, (norm2[:, None] + self.norm2 - away) / 2, out=most)
+            np.minimum(most, (norm2[:, None] + self.norm2[at] - away) / 2, out=most)
         most[np.isnan(most)] = np.inf
         return most
 
 
+def _nodes(leaves: int) -> np.ndarray:
+    """The first leaves of the nodes."""
+    return np.arange(0, leaves, NODE)
+
+
+def _rows_to_bound(leaves: int) -> int:
+    """Rows whose bounds per node, and whose products with a leaf, are held at once."""
+    return max(8, BOUNDS_AT_ONCE // max(LEAF, len(_nodes(leaves))))
+
+
+def _descent(levels, wanted, rows: np.ndarray, at: slice = slice(0, None)) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves with the rows that have to look at them.  A level, the leaves being the last, gives the bounds of some rows
+    for some of its columns; ``wanted(rows)`` is what they have to reach by now."""
+    for column, mine in _visits(levels[0](rows, at), lambda here: wanted(rows[here])):
+        found = at.start + column
+        if len(levels) == 1:
+            yield found, rows[mine]
+        else:
+            yield from _descent(levels[1:], wanted, rows[mine], slice(found * NODE, found * NODE + NODE))
+
+
 def _visits(bound: np.ndarray, wanted) -> Iterator[tuple[int, np.ndarray]]:
-    """Leaves with the rows that have to look at them; ``wanted()`` is what a bound has to reach by now.
+    """Columns with the rows that have to look at them; ``wanted(rows)`` is what a bound has to reach by now.
 
-    Every row first tries its most promising leaves.  ``bound`` is used up.
+    Every row first tries its most promising columns.  ``bound`` is used up.
     """
+    everyone = np.arange(len(bound))
     for _ in range(ROUNDS):
         leaf = bound.argmax(axis=1)
-        most = bound[np.arange(len(bound)), leaf]
-        rows = np.nonzero((most >= wanted()) & (most > -np.inf))[0]
+        most = bound[everyone, leaf]
+        rows = np.nonzero((most >= wanted(everyone)) & (most > -np.inf))[0]
         if not len(rows):
             return
         rows = rows[np.argsort(leaf[rows], kind="stable")]
         for mine in np.split(rows, np.flatnonzero(np.diff(leaf[rows])) + 1):
             bound[mine, leaf[mine[0]]] = -np.inf
             yield int(leaf[mine[0]]), mine
-    left = np.flatnonzero(((bound >= wanted()[:, None]) & (bound > -np.inf)).any(axis=0))
+    left = np.flatnonzero(((bound >= wanted(everyone)[:, None]) & (bound > -np.inf)).any(axis=0))
     for leaf in left[np.argsort(-bound[:, left].max(axis=0))]:
-        mine = np.nonzero((bound[:, leaf] >= wanted()) & (bound[:, leaf] > -np.inf))[0]
+        mine = np.nonzero((bound[:, leaf] >= wanted(everyone)) & (bound[:, leaf] > -np.inf))[0]
         if len(mine):
             yield int(leaf), mine
 
@@ -210,16 +245,24 @@ class Spread:
         """Smallest and largest product of every row with ``v``, which is in the order of the leaves."""
         size = np.sqrt((p * p).sum(axis=1)) + np.sqrt(hull.norm2.max())
         slack = 16 * (p.shape[1] + 4) * EPS * size * size
-        step = max(8, BOUNDS_AT_ONCE // len(leaves))
+        step, nodes = _rows_to_bound(len(leaves)), hull.nodes()
+        hulls = nodes.nodes(), nodes, hull
+        # All products of a zero vector are 0.
+        some, none = np.flatnonzero(p.any(axis=1)), ~p.any(axis=1)
         for sign, best in ((1.0, self.hi), (-1.0, -self.lo)):
-            for i in range(0, len(p), step):
-                q, room, top = sign * p[i : i + step], slack[i : i + step], best[i : i + step]
-                for leaf, mine in _visits(hull.upper(q), lambda top=top, room=room: _less(top, room)):
+            best[none] = np.maximum(best[none], 0.0)
+            for i in range(0, len(some), step):
+                who = some[i : i + step]
+                q, room, top = sign * p[who], slack[who], best[who]
+                levels = [lambda mine, at, q=q, h=h: h.upper(q[mine], at) for h in hulls]
+                wanted = lambda mine, top=top, room=room: _less(top[mine], room[mine])
+                for leaf, mine in _descent(levels, wanted, np.arange(len(q))):
                     here = v[leaves.at(leaf)]
                     x = _products(q[mine], here)
                     least = _less(np.maximum(top[mine], x.max(axis=1)), room[mine])
                     row, column = np.nonzero(x >= least[:, None])
                     np.maximum.at(top, mine[row], _dots(q[mine[row]], here[column]))
+                best[who] = top
             if sign < 0:
                 self.lo = -best
 
@@ -338,6 +381,8 @@ class BlockScorer:
         self.group_names = list(group_names)
         self.user_names = list(user_names)
         self.folder, self.blocks, self.k = folder, blocks, k
+        # Neighbouring blocks hold neighbouring items: in this order a user's best is soon known well enough.
+        self.order = [int(number) for number in np.random.default_rng(blocks).permutation(blocks)]
         self.held: tuple[int, Block | None] | None = None
 
     def block(self, number: int) -> Block | None:
@@ -360,7 +405,7 @@ class BlockScorer:
     def spreads(self, users: pa.Table, profiles) -> dict[str, Spread]:
         """A user's extremes are looked for in the leaves that may hold them; other scalings take every product."""
         found = {n: Spread(len(users)) for n, *_ in self.dense}
-        for number in range(self.blocks):
+        for number in self.order:
             block = self.block(number)
             for name, _, missing, method, _ in self.dense if block else ():
                 p, (vectors, _) = profiles[name][0], block.vectors[name]
@@ -394,14 +439,13 @@ class BlockScorer:
         """Per user the best k allowed items of all blocks; more only where scores are equal."""
         mine = _Users(self, users)
         extras = extras.append_column("row", pc.index_in(extras[USER_ID], value_set=users[USER_ID].combine_chunks()))
-        extras = extras.sort_by([("ib", "ascending"), ("row", "ascending")])
-        of_block = extras["ib"].to_numpy() if len(extras) else np.zeros(0, int)
+        extras = extras.sort_by("row")
         out = []
-        for number in range(self.blocks):
+        for number in self.order:
             block = self.block(number)
             if block is None:
                 continue
-            pairs = Pairs(extras.slice(*_range(of_block, number)), block)
+            pairs = Pairs(extras, block)
             for rows, groups in mine.kinds:
                 out.append(_Search(self, mine, block, pairs, groups).table(rows))
         fields = [pa.field(USER_ID, pa.string()), pa.field(ITEM_ID, pa.string())]
@@ -534,6 +578,10 @@ class _Search:
     def _walk(self, rows: np.ndarray):
         """All other items, leaf by leaf."""
         users, block, dense = self.users, self.block, self.scorer.dense
+        # Nothing is ranked for users whom no signal can score.
+        rows = rows[np.logical_or.reduce([users.open[rows], *(users.warm[n][rows] for n, *_ in dense)])]
+        if not len(rows):
+            return
         base = block.common[self.usable].copy()
         for values in self.listed.values():
             base += np.nan_to_num(values[self.usable])
@@ -556,35 +604,56 @@ class _Search:
         scored = {n: self.scorer._scored(block, n, missing)[slots] for n, _, missing, _, _ in dense}
         hulls = {n: Hull(vectors[n], leaves) for n, *_ in dense}
         highest = np.maximum.reduceat(base, starts)
+        gaps = {n: np.logical_or.reduceat(~scored[n], starts) for n, *_ in dense}
+        levels = [(hulls, highest, gaps)]
+        for _ in range(2):
+            lower, most, some = levels[0]
+            first = _nodes(len(most))
+            some = {n: np.logical_or.reduceat(g, first) for n, g in some.items()}
+            levels.insert(0, ({n: h.nodes() for n, h in lower.items()}, np.maximum.reduceat(most, first), some))
         leaf_of = np.full(len(block), -1)
         leaf_of[slots] = np.repeat(np.arange(len(leaves)), np.diff(leaves.ends))
         place_of = np.zeros(len(block), int)
         place_of[slots] = np.arange(len(slots)) - np.repeat(starts, np.diff(leaves.ends))
         plain = 1e-13 * (1 + np.abs(base).max() + sum(w for *_, w in dense))
-        step = max(8, BOUNDS_AT_ONCE // len(leaves))
+        step = _rows_to_bound(len(leaves))
         for i in range(0, len(rows), step):
             here = rows[i : i + step]
             shift, slack = np.zeros(len(here)), np.full(len(here), plain)
             for name in self.scorer.user_names:
                 shift += np.nan_to_num(users.floors[name][here])
-            bound = highest[None, :] + shift[:, None]
             for name, dim, *_ in dense:
                 p, slope, up = users.profiles[name][0][here], users.line[name][0][here], users.line[name][1][here]
-                most = hulls[name].upper(p)
-                with np.errstate(invalid="ignore"):
-                    most = slope[:, None] * most + up[:, None]
-                most[np.isnan(most)] = np.inf
-                gaps = np.logical_or.reduceat(~scored[name], starts)
-                if gaps.any():
-                    most[:, gaps] = np.maximum(most[:, gaps], 0.0)
-                bound += most
                 size = np.sqrt((p * p).sum(axis=1)) + np.sqrt(hulls[name].norm2.max())
                 slack += 16 * (dim + 4) * EPS * slope * size * size + 4 * EPS * np.abs(up)
-            bound[np.isnan(bound)] = np.inf
+
+            def least(mine, here=here, slack=slack):
+                return _less(users.best[here[mine], 0], slack[mine])
+
+            reach = [
+                lambda mine, at, here=here, shift=shift, level=level: self._reach(here[mine], shift[mine], *level, at)
+                for level in levels
+            ]
             brought = self._brought(here, leaf_of, place_of)
-            for leaf, mine in _visits(bound, lambda here=here, slack=slack: _less(users.best[here, 0], slack)):
+            for leaf, mine in _descent(reach, least, np.arange(len(here))):
                 yield self._leaf(here, mine, slack, shift, base, vectors, scored, slots, leaves.at(leaf), brought, leaf)
 
+    def _reach(self, who: np.ndarray, shift: np.ndarray, hulls, highest, gaps, at: slice) -> np.ndarray:
+        """Rows x leaves, or nodes: no score of an item there is higher, but for rounding."""
+        bound = highest[None, at] + shift[:, None]
+        for name, *_ in self.scorer.dense:
+            slope, up = (x[who] for x in self.users.line[name])
+            most = hulls[name].upper(self.users.profiles[name][0][who], at)
+            with np.errstate(invalid="ignore"):
+                most = slope[:, None] * most + up[:, None]
+            most[np.isnan(most)] = np.inf
+            open_ = gaps[name][at]
+            if open_.any():
+                most[:, open_] = np.maximum(most[:, open_], 0.0)
+            bound += most
+        bound[np.isnan(bound)] = np.inf
+        return bound
+
     def _brought(self, here: np.ndarray, leaf_of: np.ndarray, place_of: np.ndarray):
         """What these users bring along, by leaf: it is not found on the walk."""
         local = np.full(len(self.users.ids), -1)
@@ -627,8 +696,3 @@ class _Search:
         keep = score >= users.best[here[mine[row]], 0]
         row, column, score = row[keep], column[keep], score[keep]
         return self._kept(here[mine[row]], slots[at][column], score)
-
-
-def _range(of_block: np.ndarray, number: int) -> tuple[int, int]:
-    start, stop = np.searchsorted(of_block, [number, number + 1])
-    return int(start), int(stop - start)

@@ -1,7 +1,7 @@
 """Signals whose score is a dot product for every user and item (content profiles, latent factors).
 
 Scaling such a signal needs its minimum and maximum over all candidates, so every product has to be
-computed; it does not have to be written.  Items are cut into blocks by a hash of their id and written once, with
+computed; it does not have to be written.  Items are cut into blocks of neighbouring vectors and written once, with
 their vectors and common contributions, to the shared folder.  Users are cut into blocks too, one task each, which
 holds its users and what they bring along (seen items, rule scores) and reads one item block after the other:
 first for the users' extremes, then for their best items.  So items are not shuffled per user block, users
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.scaling import fixed
-from rankweave.operators.numbering import scratch
+from rankweave.operators.numbering import drop, durable, scratch
 from rankweave.plans.blocks import BlockScorer
 from rankweave.plans.scores import (
     GROUP,
@@ -34,19 +34,44 @@ from rankweave.plans.scores import (
 from rankweave.schema import ITEM_ID, SCORE, USER_ID
 
 ITEM_BLOCK = 131072
+# Items are neighbours by as many bits of as many components.
+AXES, BITS = 4, 10
 MIN_USER_BLOCK = 512
 MAX_USER_BLOCK = 65536
 
 
-def item_block(item: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+def _places(items: DataFrame, vectors: Mapping[str, tuple[int, float]]) -> Column:
+    """A number that is alike for items with like vectors: the bits of ``AXES`` components that differ most, in turn.
 
-
-def _written(items: DataFrame, blocks: int) -> str:
+    ``vectors`` has the length of each column of vectors and its weight.
+    """
+    parts = [(F.get(name, j), weight) for name, (dim, weight) in vectors.items() for j in range(dim)]
+    plain = [F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x) for x, _ in parts]
+    row = items.agg(*[f(x).alias(f"{f.__name__}{j}") for j, x in enumerate(plain) for f in (F.min, F.max, F.stddev_pop)]).first()
+    spread = [(row[f"stddev_pop{j}"] or 0.0) * weight for j, (_, weight) in enumerate(parts)]
+    chosen = sorted((j for j, x in enumerate(spread) if x > 0), key=lambda j: -spread[j])[:AXES]
+    place = F.lit(0).cast("long")
+    for n, j in enumerate(chosen):
+        lo, hi = row[f"min{j}"], row[f"max{j}"]
+        cell = F.coalesce(F.floor((plain[j] - F.lit(lo)) / F.lit(hi - lo) * F.lit((1 << BITS) - 1)), F.lit(0)).cast("long")
+        for bit in range(BITS):
+            one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
+            place = place.bitwiseOR(F.shiftleft(one, bit * len(chosen) + n))
+    return place
+
+
+def _written(items: DataFrame, blocks: int, vectors: Mapping[str, tuple[int, float]]) -> str:
     """The folder of the item table, a subfolder per block."""
     folder = scratch(items.sparkSession, "item-blocks")
-    cut = items.withColumn("ib", item_block(ITEM_ID, blocks))
-    cut.repartition(blocks, "ib").write.partitionBy("ib").parquet(folder)
+    if blocks > 1:
+        # Read for the spread of the components, for the borders of the blocks and for the blocks.
+        items = durable(items, "items")
+        # Many items of one vector are cut by their ids.
+        cut = items.repartitionByRange(blocks, _places(items, vectors), F.xxhash64(ITEM_ID), ITEM_ID)
+    else:
+        cut = items.repartition(1)
+    cut.withColumn("ib", F.spark_partition_id()).write.partitionBy("ib").parquet(folder)
+    drop(items)
     return folder
 
 
@@ -63,6 +88,10 @@ def user_block_count(users: DataFrame) -> int:
     return max(1, -(-n // size))
 
 
+def _vectors(dense: Sequence[DenseScores], weights: Mapping[str, float]) -> dict[str, tuple[int, float]]:
+    return {f"v_{s.signal}": (s.dim, float(weights.get(s.signal, 1.0))) for s in dense}
+
+
 def _user_block(user_blocks: int):
     return F.pmod(F.xxhash64(USER_ID), F.lit(user_blocks)).cast("int").alias("ub")
 
@@ -75,7 +104,7 @@ def dense_ranges(users: DataFrame, candidates: DataFrame, dense: Sequence[DenseS
         who = who.join(s.users.select(USER_ID, F.col("features").alias(f"p_{s.signal}")), USER_ID, "left")
         items = items.join(s.items.select(ITEM_ID, F.col("features").alias(f"v_{s.signal}")), ITEM_ID, "left")
     blocks, user_blocks = _block_count(candidates), user_block_count(asked)
-    scorer = BlockScorer([(s.signal, s.dim, s.missing, s.method, 1.0) for s in dense], [], [], [], _written(items, blocks), blocks, 0)
+    scorer = BlockScorer([(s.signal, s.dim, s.missing, s.method, 1.0) for s in dense], [], [], [], _written(items, blocks, _vectors(dense, {})), blocks, 0)
     schema = f"{USER_ID} string, signal string, lo double, hi double, n bigint, mean double, sd double"
     dealt = who.select("*", _user_block(user_blocks)).repartition(_tasks(user_blocks), "ub")
     return dealt.groupBy("ub").applyInArrow(lambda part: scorer.ranges(part), schema)
@@ -156,13 +185,13 @@ def dense_candidates(
     def brought(pairs: DataFrame, which: int, value: Column) -> DataFrame:
         """What users bring along: pairs with the signal's place, -1 for seen items."""
         mine = pairs.join(asked, USER_ID, "left_semi")
-        return mine.select(USER_ID, ITEM_ID, item_block(ITEM_ID, blocks).alias("ib"), F.lit(which).alias("which"), value.alias("c"))
+        return mine.select(USER_ID, ITEM_ID, F.lit(which).alias("which"), value.alias("c"))
 
     extras = [brought(s.listed, j, weighted(s)) for j, s in enumerate(user_s)]
     if seen is not None:
         extras.append(brought(seen, -1, F.lit(0.0)))
     if not extras:
-        kind = f"{USER_ID} string, {ITEM_ID} string, ib int, which int, c double"
+        kind = f"{USER_ID} string, {ITEM_ID} string, which int, c double"
         extras.append(users.sparkSession.createDataFrame([], kind))
 
     names = [*[s.signal for s in item_s], *[s.signal for s in dense], *[s.signal for s in group_s], *[s.signal for s in user_s]]
@@ -171,7 +200,7 @@ def dense_candidates(
         [s.signal for s in item_s],
         [s.signal for s in group_s],
         [s.signal for s in user_s],
-        _written(items, blocks),
+        _written(items, blocks, _vectors(dense, weights)),
         blocks,
         k,
     )

@@ -5,10 +5,14 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.operators import baskets
-from rankweave.plans import signals
+from rankweave.plans import blocks, dense, signals
 from rankweave.plans.pairs import score_pairs
 from rankweave.plans.scores import DenseScores
 from rankweave.plans.signals import SIGNALS, Features
@@ -109,3 +113,36 @@ def test_pairs_are_not_shuffled_with_both_vectors(spark, missing):
             raw = [x + a for x in range(20)] + [0] * (last - 20)
             wanted[u, i] = (raw[b] - min(raw)) / (max(raw) - min(raw))
     assert got == pytest.approx(wanted, abs=1e-9)
+
+
+def _units(rng, n):
+    x = np.abs(rng.normal(size=(n, 4)))
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _count_bounds(monkeypatch):
+    cells, upper = [], blocks.Hull.upper
+
+    def counted(self, *given):
+        found = upper(self, *given)
+        cells.append(found.size)
+        return found
+
+    monkeypatch.setattr(blocks.Hull, "upper", counted)
+    return cells
+
+
+def test_leaves_have_bounds_only_where_their_node_may_win(monkeypatch):
+    rng = np.random.default_rng(2)
+    v, p = _units(rng, 40000), _units(rng, 300)
+    # Zero vectors have no best leaf, all products are alike.
+    p[::3] = 0.0
+    products, plain = [], blocks._products
+    monkeypatch.setattr(blocks, "_products", lambda a, b: products.append(len(a) * len(b)) or plain(a, b))
+    cells = _count_bounds(monkeypatch)
+    spread, leaves = blocks.Spread(len(p)), blocks.Leaves(v)
+    v = v[leaves.order]
+    spread.add_extremes(p, v, leaves, blocks.Hull(v, leaves))
+    whole = p @ v.T
+    assert np.abs(spread.lo - whole.min(axis=1)).max() < 1e-14 and np.abs(spread.hi - whole.max(axis=1)).max() < 1e-14
+    assert sum(cells) < len(p) * len(leaves) and sum(products) < whole.size / 4
