@@ -146,3 +146,27 @@ def test_leaves_have_bounds_only_where_their_node_may_win(monkeypatch):
     whole = p @ v.T
     assert np.abs(spread.lo - whole.min(axis=1)).max() < 1e-14 and np.abs(spread.hi - whole.max(axis=1)).max() < 1e-14
     assert sum(cells) < len(p) * len(leaves) and sum(products) < whole.size / 4
+
+
+def _ranges(folder):
+    found = []
+    for number in range(100):
+        where, path = blocks.fs.FileSystem.from_uri(f"{folder}/ib={number}")
+        if where.get_file_info(path).type == blocks.fs.FileType.Directory:
+            files = [x.path for x in where.get_file_info(blocks.fs.FileSelector(path)) if x.path.endswith(".parquet")]
+            rows = pa.concat_tables([pq.ParquetFile(where.open_input_file(x)).read() for x in files])
+            x = np.array([v[0] for v in rows["v_content"].to_pylist() if v is not None])
+            found.append((x.min(), x.max(), len(rows)))
+    return sorted(found)
+
+
+def test_blocks_hold_neighbours_and_copies_are_cut(spark):
+    items = spark.range(2000).select(
+        F.col("id").cast("string").alias("item_id"),
+        F.array(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0, F.lit(0.5)).alias("v_content"),
+    )
+    found = _ranges(dense._written(items, 4, {"v_content": (2, 1.0)}))
+    assert sum(n for *_, n in found) == 2000 and len(found) == 4
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    alike = items.withColumn("v_content", F.array(F.lit(0.1), F.lit(0.2)))
+    assert max(n for *_, n in _ranges(dense._written(alike, 4, {"v_content": (2, 1.0)}))) < 1000
