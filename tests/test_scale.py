@@ -170,3 +170,35 @@ def test_blocks_hold_neighbours_and_copies_are_cut(spark):
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
     alike = items.withColumn("v_content", F.array(F.lit(0.1), F.lit(0.2)))
     assert max(n for *_, n in _ranges(dense._written(alike, 4, {"v_content": (2, 1.0)}))) < 1000
+
+
+def test_ranking_of_a_block_without_all_bounds(monkeypatch, tmp_path):
+    """Popularity, groups and content in two blocks: the ranking of all pairs, with few bounds."""
+    rng, k = np.random.default_rng(4), 5
+    n, users, groups = 16384, 60, ["a", "b"]
+    ids = np.array([f"i{j:05d}" for j in range(n)])
+    v, p = _units(rng, n), _units(rng, users)
+    common, listed = rng.random(n) * 0.02, rng.random((2, n)) * 0.02
+    for block, at in enumerate((slice(0, n // 2), slice(n // 2, n))):
+        (tmp_path / f"ib={block}").mkdir()
+        rows = {"item_id": ids[at], "ok": np.ones(n // 2, bool), "c_popularity": common[at]}
+        rows |= {"lg_segments": [groups] * (n // 2), "lc_segments": listed[:, at].T.tolist(), "v_content": v[at].tolist()}
+        pq.write_table(pa.table(rows), tmp_path / f"ib={block}" / "part.parquet")
+    mine, seen = rng.integers(0, 2, users), [rng.choice(n, 200, replace=False) for _ in range(users)]
+    names = [f"u{u}" for u in range(users)]
+    who = pa.table({"user_id": names, "f_segments": np.zeros(users), "g_segments": [groups[g] for g in mine], "p_content": p.tolist()})
+    pairs = [(names[u], ids[i]) for u in range(users) for i in seen[u]]
+    brought = pa.table(
+        {"user_id": [u for u, _ in pairs], "item_id": [i for _, i in pairs], "which": np.full(len(pairs), -1, np.int32), "c": np.zeros(len(pairs))}
+    )
+    cells = _count_bounds(monkeypatch)
+    monkeypatch.setattr(blocks, "LEAF", 16)
+    scorer = blocks.BlockScorer([("content", 4, "zero", "minmax", 0.5)], ["popularity"], ["segments"], [], str(tmp_path), 2, k)
+    rows = scorer.top(who, brought).to_pylist()
+    for u in range(users):
+        x = v @ p[u]
+        total = common + listed[mine[u]] + 0.5 * (x - x.min()) / (x.max() - x.min())
+        total[seen[u]] = -1.0
+        got = [(r["c_popularity"] + r["c_content"] + r["c_segments"], r["item_id"]) for r in rows if r["user_id"] == names[u]]
+        assert [i for _, i in sorted(got, reverse=True)[:k]] == list(ids[np.argsort(-total)[:k]])
+    assert sum(cells) < users * n / 16
